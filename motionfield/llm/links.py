@@ -86,6 +86,18 @@ def with_payload(units: DataFrame, payload: DataFrame, tag: str) -> DataFrame:
     return rows.join(payload, "id").groupBy("unit", "cell").agg(F.collect_list(F.struct("side", "id", "load")).alias("members")).select("cell", "members")
 
 
+def units_of(batch):
+    """(cell, side, ids, load) of each unit of a batch, one at a time; load is an Arrow array."""
+    cells, column = batch.column("cell").to_pylist(), batch.column("members")
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+    flat = column.flatten()
+    side, ids, load = flat.field("side").to_numpy(), flat.field("id").to_numpy(), flat.field("load")
+    for k, cell in enumerate(cells):
+        s, e = int(offsets[k]), int(offsets[k + 1])
+        order = np.lexsort((ids[s:e], side[s:e]))
+        yield cell, side[s:e][order], ids[s:e][order], load.slice(s, e - s).take(pa.array(order))
+
+
 def local_labels(adjacent: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each index of a symmetric boolean matrix."""
     n = len(adjacent)

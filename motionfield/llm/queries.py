@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc_mod
 from .decontaminate import find_items
+from .gru import lm_scores
+from .itq import embedding_links
 from .licenses import NOTICES, SPELLINGS, TEXTS, license_scan
+from .mil import fit_attention, fit_noisy_or, labelled_sample, score_quality, score_toxicity
 from .packing import pack
 from .simhash import simhash_groups
 from .substring import substring_dedup
@@ -23,11 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most labelled rows that a classifier is fitted on.
+FIT_ROWS = 16_000
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_noisy_or(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_ROWS))
+    return _judged(score_toxicity(docs, model).withColumnRenamed("id", "doc_id"), 0.5)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -51,12 +75,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_attention(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", FIT_ROWS))
+    return _judged(score_quality(docs, model), 0.3)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op9_license_scan)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality)}
 
 
 OP4_SQL = r"""

@@ -89,8 +89,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_quality(docs, model), 0.3)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality, pipeline)}
 
 
 OP4_SQL = r"""

@@ -7,23 +7,24 @@ from motionfield.llm.mil import FEATURES, GatedAttention, NoisyOr, features, lab
 from motionfield.llm.queries import op3_toxicity, op10_quality
 
 SF = "/root/testdata/sf0.01"
+MORE = "/root/testdata/sf0.1"
 
 
-def accuracy(spark, query, label):
-    rows = query(spark, SF)
-    assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
-    joined = rows.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+def accuracy(spark, query, label, sf):
+    rows = query(spark, sf).cache()
+    assert rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    joined = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     held = [r for r in joined if r.held_out]
     assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in joined)
     return sum(r.predicted == r[label] for r in held) / len(held)
 
 
 def test_quality_on_held_out(spark):
-    assert accuracy(spark, op10_quality, "quality") >= 0.95
+    assert accuracy(spark, op10_quality, "quality", SF) >= 0.95
 
 
 def test_toxicity_on_held_out(spark):
-    assert accuracy(spark, op3_toxicity, "toxic") >= 0.9
+    assert accuracy(spark, op3_toxicity, "toxic", MORE) >= 0.96
 
 
 def test_noisy_or_locates_the_sentence():

@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows without an id are ordered after every row that has one.
-LAST_ID = 2**63 - 1
-
+from ..storage import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+__all__ = ["LAST_ID", "ascii_words", "bounds", "crc_mod", "materialize", "partitions", "shared_dir", "slices", "with_row_key"]
 
-
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    The lineage ends there, so lost executors cost no recomputation, and the
-    planner knows the size of what it reads.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mf-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows without an id are ordered after every row that has one.
+LAST_ID = 2**63 - 1
 
 
 def partitions(spark: SparkSession) -> int:

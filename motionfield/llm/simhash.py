@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_words, bounds, materialize, slices
-from .links import cell_units, components, local_labels, with_payload
+from .links import cell_units, components, local_labels, units_of, with_payload
 
 LANES = np.uint64(0x0101010101010101)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
     """(id, fp): fingerprints of ``64 * words`` bits as big-endian binary, for every row; all bits zero without words."""
 
     def run(batches):
-        for b in slices(batches, 16 << 20):
+        for b in slices(batches, 4 << 20):
             per = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
             starts = bounds(np.fromiter(map(len, per), np.int64, len(per)))
             h = np.fromiter(itertools.chain.from_iterable(per), np.uint64, int(starts[-1]))
@@ -122,16 +122,13 @@ def _cells(grids, words):
     return run
 
 
-def hamming_links(members, radius: int, words: int):
+def hamming_links(side, ids, load, radius: int, words: int):
     """Star links of one unit: (member id, first id of its local component)."""
-    side, ids = np.array([m["side"] for m in members]), np.array([m["id"] for m in members], np.int64)
-    raw = np.frombuffer(b"".join(m["load"] for m in members), np.uint8).reshape(len(ids), 8 * words)
-    order = np.lexsort((ids, side))
-    side, ids, raw = side[order], ids[order], raw[order]
+    raw = np.frombuffer(b"".join(load.to_pylist()), np.uint8).reshape(len(ids), 8 * words)
     bit = np.unpackbits(raw, axis=1).astype(np.float32)
     # Manhattan distance of byte counts bounds the Hamming distance from below
-    count = bit.reshape(len(ids), -1, 8).sum(axis=2)
     if len(ids) == 2:
+        count = bit.reshape(2, -1, 8).sum(axis=2)
         if np.abs(count[0] - count[1]).sum() > radius or (bit[0] != bit[1]).sum() > radius:
             return ids[:0], ids[:0]
         return ids[1:], ids[:1]
@@ -148,8 +145,8 @@ def _verify(radius, words):
     def run(batches):
         for b in batches:
             a, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for members in b.column("members").to_pylist():
-                x, y = hamming_links(members, radius, words)
+            for _, side, ids, load in units_of(b):
+                x, y = hamming_links(side, ids, load, radius, words)
                 a.append(x), c.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
 

@@ -33,10 +33,11 @@ VIEWS = {
         SELECT raster_id, concat('pz', CAST(raster_id % 12 AS STRING)) AS pz_name, CAST(2000 + raster_id % 7 AS INT) AS left_year, CAST(2000 + (3 * raster_id + 1) % 7 AS INT) AS right_year,
           CASE raster_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'clipped' WHEN 2 THEN 'complete' ELSE 'empty' END AS pa_status
         FROM (SELECT DISTINCT CAST(event_id // 1024 AS INT) AS raster_id FROM {events}) AS r""",
+    "zone_centres": """
+        SELECT n_nationkey AS zone_id, CAST(8.37 AS DOUBLE) + (13 * n_nationkey) % 48 AS cx, CAST(8.41 AS DOUBLE) + (29 * n_nationkey) % 48 AS cy FROM {nation}""",
     "zone_edges": """
-        SELECT zone_id, cx + ax AS x1, cy + ay AS y1, cx + bx AS x2, cy + by2 AS y2 FROM
-          (SELECT n_nationkey AS zone_id, CAST(8.37 AS DOUBLE) + (13 * n_nationkey) % 48 AS cx, CAST(8.41 AS DOUBLE) + (29 * n_nationkey) % 48 AS cy FROM {nation}) AS n
-          CROSS JOIN (SELECT -6 AS ax, -5 AS ay, 7 AS bx, -4 AS by2 UNION ALL SELECT 7, -4, 1, 8 UNION ALL SELECT 1, 8, -6, -5) AS e""",
+        SELECT zone_id, cx - 6 AS x1, cy - 5 AS y1, cx + 7 AS x2, cy - 4 AS y2 FROM {zone_centres} AS a UNION ALL SELECT zone_id, cx + 7, cy - 4, cx + 1, cy + 8 FROM {zone_centres} AS b
+        UNION ALL SELECT zone_id, cx + 1, cy + 8, cx - 6, cy - 5 FROM {zone_centres} AS c""",
     "zones": """
         SELECT n_nationkey AS zone_id, concat('pz', CAST(n_nationkey % 12 AS STRING)) AS ge_pz_name, concat('GE', CAST(n_nationkey AS STRING)) AS ge_frogi_id FROM {nation}
         UNION ALL SELECT n_nationkey, concat('pz', CAST(n_nationkey % 12 AS STRING)), concat('GE', CAST(n_nationkey AS STRING)) FROM {nation} WHERE n_nationkey = 3""",

@@ -107,13 +107,11 @@ def search_pzones(pzones: DataFrame, criteria="") -> DataFrame:
 def search_geomorphs(geomorphs: DataFrame, pzones: DataFrame, criteria) -> DataFrame:
     """Criteria that name a zone filter on the zone, others on the id; all must hold."""
     many = [criteria] if isinstance(criteria, str) else list(criteria)
-    zones = F.broadcast(pzones.filter(F.col("pz_name").isin(many)).select("pz_name").distinct()) if many else None  # no more rows than criteria
-    out = geomorphs
+    # no more rows than criteria
+    known = {r[0] for r in pzones.filter(F.col("pz_name").isin(many)).select("pz_name").distinct().collect()} if many else set()
     for c in many:
-        named = zones.filter(F.col("pz_name") == c).select(F.lit(True).alias("mf_zone"), F.col("pz_name").alias("mf_name"))
-        known = out.withColumn("mf_c", F.lit(c)).join(named, F.col("mf_c") == F.col("mf_name"), "left")
-        out = known.filter(F.when(F.col("mf_zone"), F.col("ge_pz_name") == c).otherwise(F.col("ge_frogi_id") == c)).drop("mf_c", "mf_zone", "mf_name")
-    return out
+        geomorphs = geomorphs.filter(F.col("ge_pz_name" if c in known else "ge_frogi_id") == c)
+    return geomorphs
 
 
 def pairs_on_period(pairs: DataFrame, first: int, last: int, relation: str = "within", left: str = "pa_left_year", right: str = "pa_right_year") -> DataFrame:

@@ -106,7 +106,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _index(window, seed):
     def run(batches):
-        for b in slices(batches, 16 << 20):
+        for b in slices(batches, 4 << 20):
             parts = []
             ids, keys = b.column("mf_id").to_numpy(zero_copy_only=False), b.column("mf_key").to_numpy(zero_copy_only=False)
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -126,7 +126,7 @@ def _index(window, seed):
 
 def _windows(window):
     def run(batches):
-        for b in slices(batches, 16 << 20):
+        for b in slices(batches, 4 << 20):
             ids, keys = b.column("mf_id").to_numpy(zero_copy_only=False), b.column("mf_key").to_numpy(zero_copy_only=False)
             asked = b.column("asked").to_pylist()
             parts = []
@@ -165,7 +165,7 @@ def factor_spans(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _cut(keep_columns):
     def run(batches):
-        for b in slices(batches, 16 << 20, "mf_text"):
+        for b in slices(batches, 4 << 20, "mf_text"):
             n_words, n_removed, kept, spans_out = [], [], [], []
             spans = b.column("mf_spans").to_pylist()
             for i, text in enumerate(b.column("mf_text").to_pylist()):
@@ -213,11 +213,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # reference blocks: equal content once, with the first document
     refs = materialize(rows.groupBy("anchor", "h1", "h2", "length").agg(F.min("mf_id").alias("lead"), F.max("mf_id").alias("last")), "rlz-refs")
     keys = ["anchor", "h1", "h2", "length"]
-    whole = rows.join(refs.filter("lead < last").drop("last"), keys).filter("mf_id > lead").select("mf_id", "mf_key", "start", "length")
     # anchors with several blocks: these can share windows without being equal
-    several = refs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lead").alias("lo"), F.max("last").alias("hi")).filter("n > 1 and lo < hi").select("anchor")
-    leads = refs.join(several, "anchor", "left_semi").select(*keys, "lead")
-    asked = rows.join(leads, keys).filter("mf_id = lead").groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("start", "length")).alias("asked"))
+    several = refs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lead").alias("lo"), F.max("last").alias("hi")).filter("n > 1 and lo < hi").select("anchor", F.lit(True).alias("several"))
+    useful = refs.join(several, "anchor", "left").withColumn("several", F.coalesce("several", F.lit(False))).filter("several or lead < last").select(*keys, "lead", "several")
+    placed = rows.join(useful, keys).filter("mf_id > lead or several").select("mf_id", "mf_key", "start", "length", (F.col("mf_id") > F.col("lead")).alias("copied"))
+    placed = materialize(placed, "rlz-placed")
+    whole = placed.filter("copied").drop("copied")
+    asked = placed.filter("not copied").groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("start", "length")).alias("asked"))
     grams = materialize(texts.join(asked, ["mf_id", "mf_key"]).mapInArrow(_windows(window), "w1 long, w2 long, mf_id long, mf_key long, start int"), "rlz-windows")
     firsts = grams.groupBy("w1", "w2").agg(F.min("mf_id").alias("lead"), F.max("mf_id").alias("last")).filter("lead < last").drop("last")
     part = grams.join(firsts, ["w1", "w2"]).filter("mf_id > lead").groupBy("mf_id", "mf_key").agg(F.sort_array(F.collect_list("start")).alias("hit"))

@@ -116,9 +116,16 @@ def _index(window, seed):
             if not parts:
                 continue
             row, anchor, h1, h2, start, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # equal blocks of a document are one row: text that repeats itself has few of them
+            order = np.lexsort((start, h2, h1, row))
+            row, h1, h2 = row[order], h1[order], h2[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+            places = start[order].astype("<i4").tobytes()
+            edge = np.append(first, len(order)) * 4
+            starts = pa.array([places[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [_signed(anchor), _signed(h1), _signed(h2), pa.array(ids[row]), pa.array(keys[row]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
-                ["anchor", "h1", "h2", "mf_id", "mf_key", "start", "length"],
+                [_signed(anchor[order][first]), _signed(h1[first]), _signed(h2[first]), pa.array(ids[row[first]]), pa.array(keys[row[first]]), starts, pa.array(length[order][first].astype(np.int32))],
+                ["anchor", "h1", "h2", "mf_id", "mf_key", "starts", "length"],
             )
 
     return run
@@ -134,8 +141,9 @@ def _windows(window):
                 h = word_hashes(words_of(text))
                 mark = np.zeros(len(h) + 1, np.int64)
                 for a in asked[i]:
-                    mark[a["start"]] += 1
-                    mark[a["start"] + a["length"] - window + 1] -= 1
+                    at = np.frombuffer(a["starts"], "<i4")
+                    np.add.at(mark, at, 1)
+                    np.add.at(mark, at + (a["length"] - window + 1), -1)
                 at = np.flatnonzero(np.cumsum(mark[: len(h) - window + 1]) > 0)
                 w1, w2 = (scramble(run_hashes(h, window, odd))[at] for odd in ODD)
                 parts.append((np.full(len(at), i), w1, w2, at))
@@ -172,7 +180,7 @@ def _cut(keep_columns):
                 words, found = words_of(text), spans[i]
                 n_words.append(len(words))
                 merged: list[list[int]] = []
-                for s, e in sorted((x["start"], x["start"] + x["length"]) for x in found or ()):
+                for s, e in sorted((at, at + x["length"]) for x in found or () for at in np.frombuffer(x["starts"], "<i4").tolist()):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
@@ -209,22 +217,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = ["n_words", "n_removed", "kept_text", "spans"]
     base = with_row_key(docs.drop(*(c for c in docs.columns if c in made)), id_col, text_col)
     texts = base.select("mf_id", "mf_key", F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(_index(window, seed), "anchor long, h1 long, h2 long, mf_id long, mf_key long, start int, length int"), "rlz-blocks")
+    rows = materialize(texts.mapInArrow(_index(window, seed), "anchor long, h1 long, h2 long, mf_id long, mf_key long, starts binary, length int"), "rlz-blocks")
     # reference blocks: equal content once, with the first document
     refs = materialize(rows.groupBy("anchor", "h1", "h2", "length").agg(F.min("mf_id").alias("lead"), F.max("mf_id").alias("last")), "rlz-refs")
     keys = ["anchor", "h1", "h2", "length"]
     # anchors with several blocks: these can share windows without being equal
     several = refs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lead").alias("lo"), F.max("last").alias("hi")).filter("n > 1 and lo < hi").select("anchor", F.lit(True).alias("several"))
     useful = refs.join(several, "anchor", "left").withColumn("several", F.coalesce("several", F.lit(False))).filter("several or lead < last").select(*keys, "lead", "several")
-    placed = rows.join(useful, keys).filter("mf_id > lead or several").select("mf_id", "mf_key", "start", "length", (F.col("mf_id") > F.col("lead")).alias("copied"))
+    placed = rows.join(useful, keys).filter("mf_id > lead or several").select("mf_id", "mf_key", "starts", "length", (F.col("mf_id") > F.col("lead")).alias("copied"))
     placed = materialize(placed, "rlz-placed")
     whole = placed.filter("copied").drop("copied")
-    asked = placed.filter("not copied").groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("start", "length")).alias("asked"))
+    asked = placed.filter("not copied").groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("starts", "length")).alias("asked"))
     grams = materialize(texts.join(asked, ["mf_id", "mf_key"]).mapInArrow(_windows(window), "w1 long, w2 long, mf_id long, mf_key long, start int"), "rlz-windows")
     firsts = grams.groupBy("w1", "w2").agg(F.min("mf_id").alias("lead"), F.max("mf_id").alias("last")).filter("lead < last").drop("last")
     part = grams.join(firsts, ["w1", "w2"]).filter("mf_id > lead").groupBy("mf_id", "mf_key").agg(F.sort_array(F.collect_list("start")).alias("hit"))
-    part = part.select("mf_id", "mf_key", F.explode(_spans_udf(window)("hit")).alias("s")).select("mf_id", "mf_key", "s.start", "s.length")
-    spans = whole.unionByName(part).groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("start", "length")).alias("mf_spans"))
+    part = part.select("mf_id", "mf_key", F.explode(_spans_udf(window)("hit")).alias("s")).select("mf_id", "mf_key", "s.starts", "s.length")
+    spans = whole.unionByName(part).groupBy("mf_id", "mf_key").agg(F.collect_list(F.struct("starts", "length")).alias("mf_spans"))
     keep = [c for c in base.columns if c not in ("mf_id", "mf_key")]
     joined = base.withColumn("mf_text", F.col(text_col)).join(spans, ["mf_id", "mf_key"], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keep) + ", n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>"
@@ -232,9 +240,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _spans_udf(window):
-    @F.pandas_udf("array<struct<start: int, length: int>>")
+    @F.pandas_udf("array<struct<starts: binary, length: int>>")
     def spans(hit: pd.Series) -> pd.Series:
-        return hit.map(lambda h: [{"start": s, "length": e - s} for s, e in factor_spans(np.asarray(h), window)])
+        return hit.map(lambda h: [{"starts": np.array([s], "<i4").tobytes(), "length": e - s} for s, e in factor_spans(np.asarray(h), window)])
 
     return spans
 

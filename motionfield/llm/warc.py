@@ -1,4 +1,4 @@
-"""WARC archives written and read as chunked record tables.
+"""WARC archives (a gzip member for each record) written and read as chunked record tables.
 
 Records go to archives as streams: the writer hashes a payload once and
 writes it in pieces; the reader yields rows (record, chunk number, bytes)
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ def roles(pages: DataFrame, least: int = 100) -> DataFrame:
     Of equal payloads of ``least`` bytes or more the smallest page_id is the
     response; the join is on page and digest, and only these two travel.
     """
-    marked = pages.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long")})
+    marked = pages.withColumns({"digest": F.sha2(F.col("payload"), 256), "bytes": F.octet_length("payload").cast("long")})
     marks = materialize(marked.select("page_id", "digest", "bytes"), "warc-marks")
     first = marks.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisits = marks.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
@@ -55,29 +56,34 @@ def _write(folder: str, chunk: int):
 
         t = TaskContext.get()
         # a name of its own for every attempt: only what a finished task reports is read
-        path = f"{folder}/part-{t.partitionId():06d}-{t.taskAttemptId()}.warc"
+        path = f"{folder}/part-{t.partitionId():06d}-{t.taskAttemptId()}.warc.gz"
         out, n = None, 0
         for b in slices(batches, 8 << 20, "payload"):
-            for r in b.to_pylist():
+            payloads = b.column("payload")
+            for k, r in enumerate(b.drop_columns(["payload"]).to_pylist()):
                 out = out or _open(path, "w")
-                payload, revisit = (r["payload"] or "").encode(), r["refers_to"] is not None
+                # a view of the batch: the payload isn't copied
+                payload, revisit = memoryview(payloads[k].as_buffer()), r["refers_to"] is not None
+                gz = zlib.compressobj(3, zlib.DEFLATED, 31)  # a gzip member for each record
                 out.write(
-                    _header(
-                        {
-                            "WARC-Type": "revisit" if revisit else "response",
-                            "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
-                            "WARC-Target-URI": _clean(r["url"]),
-                            "X-Page-Id": r["page_id"],
-                            "WARC-Payload-Digest": f"sha256:{r['digest']}",
-                            "X-Payload-Length": r["bytes"],
-                            "WARC-Refers-To": f"<page:{r['refers_to']}>" if revisit else None,
-                            "Content-Length": 0 if revisit else len(payload),
-                        }
+                    gz.compress(
+                        _header(
+                            {
+                                "WARC-Type": "revisit" if revisit else "response",
+                                "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+                                "WARC-Target-URI": _clean(r["url"]),
+                                "X-Page-Id": r["page_id"],
+                                "WARC-Payload-Digest": f"sha256:{r['digest']}",
+                                "X-Payload-Length": r["bytes"],
+                                "WARC-Refers-To": f"<page:{r['refers_to']}>" if revisit else None,
+                                "Content-Length": 0 if revisit else len(payload),
+                            }
+                        )
                     )
                 )
                 for at in range(0, 0 if revisit else len(payload), chunk):
-                    out.write(payload[at : at + chunk])
-                out.write(b"\r\n\r\n")
+                    out.write(gz.compress(payload[at : at + chunk]))
+                out.write(gz.compress(b"\r\n\r\n") + gz.flush())
                 n += 1
         if out:
             out.close()
@@ -101,6 +107,30 @@ def write_warc(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return materialize(pages.mapInArrow(_write(folder, chunk), "path string, records long"), "warc-manifest")
 
 
+class Inflated:
+    """Reads a file of gzip members piece by piece."""
+
+    def __init__(self, stream, piece: int = 64 << 10):
+        self.stream, self.piece, self.raw, self.member = stream, piece, b"", None
+
+    def read(self, n: int) -> bytes:
+        """At most ``n`` bytes; none at the end."""
+        while True:
+            if not self.raw:
+                self.raw = self.stream.read(self.piece)
+                if not self.raw:
+                    if self.member and not self.member.eof:
+                        raise ValueError("archive ends within a record")
+                    return b""
+            self.member = self.member or zlib.decompressobj(31)
+            out = self.member.decompress(self.raw, n)
+            self.raw = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = None
+            if out:
+                return out
+
+
 def records(stream, chunk: int):
     """(headers, chunk number, bytes, digest so far, last) for every chunk of every record; one empty chunk for an empty payload."""
     held = b""
@@ -154,7 +184,7 @@ def _read(chunk: int):
             for path in b.column("path").to_pylist():
                 rows, size = [], 0
                 with _open(path, "r") as stream:
-                    for h, number, piece, sha, last in records(stream, chunk):
+                    for h, number, piece, sha, last in records(Inflated(stream), chunk):
                         page, ref = h.get("X-Page-Id"), h.get("WARC-Refers-To")
                         rows.append((h["WARC-Record-ID"], page and int(page), h.get("WARC-Target-URI"), h["WARC-Type"], ref and int(ref[6:-1]), h["WARC-Payload-Digest"][7:], int(h["X-Payload-Length"]), number, last, sha, piece))
                         size += len(piece) + 300
@@ -184,7 +214,7 @@ def warc_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     payload have the same role; line ends in a url are percent-encoded; other
     columns are not stored; an empty table writes no archive.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     chunks = read_warc(write_warc(roles(rows), chunk), chunk)
     seen = chunks.select("record_id", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "chunk", "digest_so_far", F.octet_length("data").cast("long").alias("n"))
     per = seen.groupBy("record_id").agg(

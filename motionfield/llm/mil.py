@@ -70,32 +70,39 @@ class NoisyOr:
 
     def fit(self, documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_docs: int = 1, epochs: int = 120, rate: float = 0.3, sparsity: float = 1.5) -> NoisyOr:
         """documents: as from ``features``."""
-        seen = np.bincount(np.concatenate([np.unique(w) for w, _ in documents] or [np.empty(0, np.int32)]), minlength=1 << self.bits)
+        seen = np.zeros(1 << self.bits, np.int64)
+        for w, _ in documents:
+            seen[np.unique(w)] += 1
         index = np.full(1 << self.bits, -1, np.int32)
         kept = np.flatnonzero(seen >= least_docs)
         index[kept] = np.arange(len(kept))
-        word = np.concatenate([index[w] for w, _ in documents] or [np.empty(0, np.int32)])
-        sizes = np.concatenate([np.diff(s) for _, s in documents] or [np.empty(0, np.int64)])
-        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[word >= 0]
-        word = word[word >= 0]
-        doc = np.repeat(np.arange(len(documents)), [len(s) - 1 for _, s in documents])
-        n, m = len(sizes), len(documents)
+        # documents in blocks, so that what is worked on at once is small
+        blocks, m = [], max(1, len(documents))
+        for at in range(0, len(documents), 400):
+            some = documents[at : at + 400]
+            word = np.concatenate([index[w] for w, _ in some])
+            sizes = np.concatenate([np.diff(s) for _, s in some])
+            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[word >= 0]
+            doc = np.repeat(np.arange(len(some)), [len(s) - 1 for _, s in some])
+            blocks.append((word[word >= 0], of, doc, len(sizes), y[at : at + 400]))
         w, bias = np.zeros(len(kept)), -5.0
         m1, m2, c1, c2 = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
         for t in range(1, epochs + 1):
-            z = bias + np.bincount(of, w[word], n)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), m)
-            any_p = np.clip(-np.expm1(log_none), 1e-9, 1)
-            up = np.where(y == 1, -(1 - any_p) / any_p, 1.0) / max(1, m)
-            dz = up[doc] * p
-            g, gb = np.bincount(word, dz[of], len(kept)), dz.sum()
+            g, gb = np.zeros(len(kept)), 0.0
+            for word, of, doc, n, label in blocks:
+                z = bias + np.bincount(of, w[word], n)
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label))
+                any_p = np.clip(-np.expm1(log_none), 1e-9, 1)
+                dz = (np.where(label == 1, -(1 - any_p) / any_p, 1.0) / m)[doc] * p
+                g += np.bincount(word, dz[of], len(kept))
+                gb += dz.sum()
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             c1, c2 = 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
-            step = rate / (np.sqrt(m2 / (1 - 0.99**t)) + 0.3 / max(1, m))
+            step = rate / (np.sqrt(m2 / (1 - 0.99**t)) + 0.3 / m)
             w -= step * m1 / (1 - 0.9**t)
             # words that ``sparsity`` documents or fewer speak for get no weight
-            w = np.sign(w) * np.maximum(np.abs(w) - step * sparsity / max(1, m), 0)
+            w = np.sign(w) * np.maximum(np.abs(w) - step * sparsity / m, 0)
             bias -= 0.1 * (c1 / (1 - 0.9**t)) / (np.sqrt(c2 / (1 - 0.99**t)) + 1e-8)
         self.bias, self.weights = float(bias), np.zeros(1 << self.bits, np.float32)
         self.weights[kept] = w
@@ -142,7 +149,7 @@ def _sentence_rows(bits, kept):
     return run
 
 
-def fit_noisy_or(sample: DataFrame, bits: int = 20, least_docs: int = 6, most_share: float = 0.2) -> NoisyOr:
+def fit_noisy_or(sample: DataFrame, bits: int = 20, least_docs: int = 6, most_share: float = 0.1) -> NoisyOr:
     """Fits on ``sample``; features in fewer than ``least_docs`` of its documents, or in over ``most_share``, are left out.
 
     At most 2^bits counts, and the kept features of the bounded sample, come to the driver.

@@ -29,6 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Most labelled rows that a classifier is fitted on.
 FIT_ROWS = 16_000
+#: The same for toxicity, whose features are the words of all sentences.
+FIT_TEXTS = 8_000
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def _judged(rows: DataFrame, threshold: float) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_noisy_or(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_ROWS))
+    model = fit_noisy_or(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_TEXTS))
     return _judged(score_toxicity(docs, model).withColumnRenamed("id", "doc_id"), 0.5)
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, crc_mod, materialize, slices
+from .common import bounds, crc_mod, slices
 
 PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 #: Sentence ends become line ends, other ASCII punctuation becomes blanks.
@@ -121,44 +121,25 @@ class NoisyOr:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _document_frequency(bits):
+def _sentence_rows(bits):
     def run(batches):
-        total = np.zeros(1 << bits, np.int32)
-        for b in slices(batches, 4 << 20):
-            for text in b.column("text").to_pylist():
-                total[np.unique(features(sentences(text), bits)[0])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen].astype(np.int64))], ["feature", "df"])
-
-    return run
-
-
-def _sentence_rows(bits, kept):
-    def run(batches):
-        use = np.zeros(1 << bits, bool)
-        use[kept] = True
         for b in slices(batches, 4 << 20):
             words, starts = [], []
             for text in b.column("text").to_pylist():
                 w, at = features(sentences(text), bits)
-                mask = use[w]
-                words.append(w[mask].tobytes())
-                starts.append(np.concatenate([[0], np.cumsum(mask)])[at].astype(np.int32).tobytes())
+                words.append(w.tobytes())
+                starts.append(at.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(starts, pa.binary()), b.column("y")], ["words", "starts", "y"])
 
     return run
 
 
-def fit_noisy_or(sample: DataFrame, bits: int = 20, least_docs: int = 6, most_share: float = 0.1) -> NoisyOr:
-    """Fits on ``sample``; features in fewer than ``least_docs`` of its documents, or in over ``most_share``, are left out.
+def fit_noisy_or(sample: DataFrame, bits: int = 20) -> NoisyOr:
+    """Fits on all features of ``sample``: none is left out for being rare or common.
 
-    At most 2^bits counts, and the kept features of the bounded sample, come to the driver.
+    Four bytes for each feature of the bounded sample come to the driver.
     """
-    sample = materialize(sample, "mil-sample")
-    n = sample.count()
-    df = sample.mapInArrow(_document_frequency(bits), "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-    kept = df.filter((F.col("df") >= least_docs) & (F.col("df") <= max(least_docs, most_share * n))).select("feature").toPandas()["feature"].to_numpy(np.int64)
-    got = sample.mapInArrow(_sentence_rows(bits, kept), "words binary, starts binary, y int").toPandas()
+    got = sample.mapInArrow(_sentence_rows(bits), "words binary, starts binary, y int").toPandas()
     documents = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32).astype(np.int64)) for w, s in zip(got["words"], got["starts"], strict=True)]
     return NoisyOr(bits).fit(documents, got["y"].to_numpy(np.int64))
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from motionfield.llm.mil import FEATURES, GatedAttention, NoisyOr, features, labelled_sample, passage_features, score_quality, score_toxicity, sentences
+from motionfield.llm.mil import FEATURES, GatedAttention, NoisyOr, features, fit_noisy_or, labelled_sample, passage_features, score_quality, score_toxicity, sentences
 from motionfield.llm.queries import op3_toxicity, op10_quality
 
 SF = "/root/testdata/sf0.01"
@@ -72,3 +72,20 @@ def test_sample_is_bounded_and_leaves_out_the_fold(spark):
     got = labelled_sample(docs, labels, "toxic", 50).collect()
     assert len(got) == 50
     assert all(zlib.crc32(r.text[1:].encode()) % 5 for r in got)
+
+
+def test_fit_weighs_common_and_rare_words(spark):
+    """A word of every toxic document, in a third of the sample, and one of four documents only."""
+    rng = random.Random(1)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") * 2
+    rows = []
+    for k in range(300):
+        body = [[word() for _ in range(8)] for _ in range(4)]
+        if k < 4:
+            body[1][2] = "vile"
+        elif k < 100:
+            body[k % 4][3] = "nasty"
+        rows.append((". ".join(" ".join(s) for s in body), int(k < 100)))
+    model = fit_noisy_or(spark.createDataFrame(rows, "text string, y int"), 16)
+    scores = [1 - np.prod(1 - model.sentence_scores(sentences(t))) for t, _ in rows]
+    assert all((p >= 0.5) == bool(y) for p, (_, y) in zip(scores, rows, strict=True))

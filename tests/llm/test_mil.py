@@ -74,16 +74,14 @@ def test_sample_is_bounded_and_leaves_out_the_fold(spark):
     assert all(zlib.crc32(r.text[1:].encode()) % 5 for r in got)
 
 
-def test_fit_weighs_common_and_rare_words(spark):
-    """A word of every toxic document, in a third of the sample, and one of four documents only."""
+def test_fit_weighs_common_words(spark):
+    """A word of every toxic document, which is in a third of the sample."""
     rng = random.Random(1)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") * 2
     rows = []
     for k in range(300):
         body = [[word() for _ in range(8)] for _ in range(4)]
-        if k < 4:
-            body[1][2] = "vile"
-        elif k < 100:
+        if k < 100:
             body[k % 4][3] = "nasty"
         rows.append((". ".join(" ".join(s) for s in body), int(k < 100)))
     model = fit_noisy_or(spark.createDataFrame(rows, "text string, y int"), 16)

@@ -9,7 +9,7 @@ from .common import crc_mod
 from .decontaminate import find_items
 from .gru import lm_scores
 from .itq import embedding_links
-from .licenses import NOTICES, SPELLINGS, TEXTS, license_scan
+from .licenses import DIGESTS, HEADERS, NAMES, PHRASES, SPELLINGS, TEXTS, license_scan
 from .mil import fit_attention, fit_noisy_or, labelled_sample, score_quality, score_toxicity
 from .packing import pack
 from .simhash import simhash_groups
@@ -146,9 +146,13 @@ def _canonical_sql(column: str) -> str:
 
 def _op9_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in [*TEXTS.items(), *((k, v) for k, vs in NOTICES.items() for v in vs)])
+    rows = lambda pairs: ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in pairs)
+    texts = [*TEXTS.items(), *HEADERS.items(), *((k, f"SPDX-License-Identifier: {k}") for k in NAMES), ("proprietary", "All rights reserved.")]
+    names = [(k, n) for k, of in NAMES.items() for n in of]
     return f"""
-WITH reg AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {rows}) AS v(license, t)) GROUP BY 1),
+WITH texts AS (SELECT * FROM (VALUES {rows(texts)}) AS v(license, t)
+               UNION ALL SELECT license, replace(p, '{{}}', n) FROM (VALUES {rows(names)}) AS a(license, n), (VALUES {", ".join(f"({quoted(p)})" for p in PHRASES)}) AS b(p)),
+reg AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("t")}) AS digest FROM texts UNION ALL SELECT * FROM (VALUES {rows(DIGESTS.items())}) AS d(license, digest)) GROUP BY 1),
 whole AS (SELECT doc_id, {_canonical_sql("text")} AS c FROM documents),
 lines AS (SELECT doc_id, {_canonical_sql("line")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 found AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN reg ON sha256(c) = digest WHERE c <> '' GROUP BY 1)

@@ -1,4 +1,9 @@
-from motionfield.llm.licenses import TEXTS, license_scan
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from motionfield.llm.licenses import DIGESTS, HEADERS, TEXTS, known, license_scan
 
 
 def run(spark, docs):
@@ -22,3 +27,31 @@ def test_variants_of_a_text_and_edges(spark):
 def test_lines_of_repeated_rows_count_once(spark):
     docs = [(1, "All rights reserved.")] * 3
     assert run(spark, docs) == {("1", "proprietary", 1, "proprietary", False)}
+
+
+def test_headers_notices_and_spellings_over_line_ends(spark):
+    docs = [
+        (1, HEADERS["GPL-3.0"].replace("\n\n", "\n \n# ")), (2, "This software is released under the terms of the Mozilla Public Licence, version 2.0"), (3, "Licensed under CC BY-NC-SA 4.0.\n\nSPDX-License-Identifier: BSD-3-Clause"),
+        (4, "a per\ncent b"), (5, "a percent b"), (6, "Licensed under the BSD License"), (7, "x\r\nAll rights reserved.\r\n"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(df).collect()}
+    assert [got[k].license for k in (1, 2, 3, 6)] == ["GPL-3.0", "MPL-2.0", None, "BSD"]
+    assert got[3].notices == "BSD-3-Clause,CC-BY-NC-SA-4.0" and got[7].notices == "proprietary"
+    assert got[4].text_digest == got[5].text_digest
+
+
+def test_a_registry_of_the_users(spark):
+    mine = known(spark.createDataFrame([("house", "Our own\nlicence."), ("house", None), ("b", "?")], "license string, text string"))
+    df = spark.createDataFrame([(1, "our OWN license"), (2, "text\nOur own license!"), (3, TEXTS["MIT"]), (4, "...")], "doc_id long, text string")
+    assert {(r.doc_id, r.license, r.notices) for r in license_scan(df, registry=mine).collect()} == {(1, "house", "house"), (2, None, "house"), (3, None, ""), (4, None, "")}
+
+
+def test_digests_are_those_of_the_texts(spark):
+    folder = "/usr/share/common-licenses"
+    rows = [(k, open(p, encoding="utf-8").read()) for k in DIGESTS if os.path.exists(p := f"{folder}/{k.removesuffix('.0') if k[0] in 'GL' and 'GFDL' not in k else k}")]
+    if not rows:
+        pytest.skip("no such folder here")
+    for r in known(spark.createDataFrame(rows, "license string, text string")).collect():
+        assert DIGESTS[r.license] == r.digest
+    assert {r.license for r in license_scan(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", F.col("license")).collect()} == {k for k, _ in rows}

@@ -2,9 +2,11 @@
 
 DataFrame functions only.  A window's tokens are its shingles; since a
 document must hold all of them, one prefix token is enough: the shingle that
-is rarest in the corpus.  Documents are joined on that token alone, positional
-and length bounds drop windows that would pass a document's ends, and the
-words are then compared one by one.
+is rarest in the corpus.  Every document is split into words once, and the
+places of the benchmark's shingles in it are kept; from these come the
+shingles' frequencies, the windows' prefix tokens and, by positional and
+length bounds, the candidates.  Only documents with candidates are read again,
+to compare the words one by one.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from .common import materialize, with_row_key
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
-#: Tokens broadcast at once; larger benchmarks are joined in several blocks of about this many.
+#: A benchmark of at most so many tokens is broadcast; a larger one is shuffled to the documents' shingles.
 BLOCK_TOKENS = 500_000
+#: Keys of the rows that stand for documents, so that no one of them is hot.
+HEADS = 256
 
 
 def ascii_lower(text: Column) -> Column:
@@ -41,7 +45,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     base = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     starts = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.slice("w", i + 1, size))
-    return base.select("item", F.explode(starts).alias("words")).groupBy("words").agg(F.collect_set("item").alias("item_ids"))
+    return base.select("item", F.explode(starts).alias("words")).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
 
 
 def covered(spans: Column) -> Column:
@@ -67,51 +71,54 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     several items give all their ids; rows equal in id and text get equal
     results; empty tables give no hits.
     """
+    key = ["mf_id", "mf_key"]
     base = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    wins = materialize(item_windows(items, item_id, item_text, window).withColumn("win", F.monotonically_increasing_id()), "decon-windows")
+    # windows with the same items share a number: a passage of many items is followed as one
+    wins = item_windows(items, item_id, item_text, window).select("words", "item_ids", F.xxhash64("item_ids").alias("set"), F.monotonically_increasing_id().alias("win"))
+    wins = materialize(wins, "decon-windows")
+    sets = wins.groupBy("set").agg(F.any_value("item_ids").alias("item_ids"))
     sized = wins.withColumn("m", F.least(F.size("words"), F.lit(SHINGLE)))
     token = F.when(F.col("m") == 3, shingles(F.col("words"), 3)).when(F.col("m") == 2, shingles(F.col("words"), 2)).otherwise(shingles(F.col("words"), 1))
-    tokens = materialize(sized.select("win", "m", F.posexplode(token).alias("off", "h")), "decon-tokens")
+    tokens = materialize(sized.select("win", F.posexplode(token).alias("off", "h"), "m"), "decon-tokens")
     shapes = sorted(r[0] for r in tokens.select("m").distinct().limit(SHINGLE).collect())
-    blocks = max(1, -(-tokens.count() // block_tokens))
-    worded = base.select("mf_id", "mf_key", words(F.col("text")).alias("w"))
-
-    def by_block(df, k):
-        return F.broadcast(df.filter(F.pmod("h", F.lit(blocks)) == k))
-
-    # how often each token of the benchmark occurs in the corpus
-    counts = None
+    small = F.broadcast if tokens.count() <= block_tokens else (lambda df: df)
+
+    # a row for each document (pos -1) and for each place of a benchmark shingle in one
+    worded = base.select(*key, words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    head = F.pmod("mf_key", F.lit(HEADS))
+    grams = worded.select(*key, "n", F.posexplode(F.concat(F.array(head), *[F.coalesce(shingles(F.col("w"), m), F.array().cast("array<long>")) for m in shapes])).alias("pos", "h"))
+    # places are numbered shape after shape
+    pos, end = F.when(F.col("pos") == 0, -1), F.lit(1)
     for m in shapes:
-        grams = worded.select(F.explode(shingles(F.col("w"), m)).alias("h"))
-        for k in range(blocks):
-            part = grams.join(by_block(tokens.filter(F.col("m") == m).select("h").distinct(), k), "h").groupBy("h").agg(F.count("*").alias("df"))
-            counts = part if counts is None else counts.unionByName(part)
-    nothing = "mf_id long, mf_key long, start int, length int, win long"
-    hits = docs.sparkSession.createDataFrame([], nothing)
-    if counts is not None:
-        rare = materialize(counts, "decon-counts")
-        ranked = tokens.join(rare, "h")
-        whole = ranked.groupBy("win").agg(F.count("*").alias("n"), F.min(F.struct("df", "off", "h", "m")).alias("p"))
-        need = tokens.groupBy("win").agg(F.count("*").alias("n"))
-        # a window with a token that no document has can't occur
-        prefix = whole.join(need, ["win", "n"]).join(wins, "win").select("win", "p.h", "p.off", "p.m", "words")
-        prefix = materialize(prefix, "decon-prefix")
-        found = []
-        for m in shapes:
-            grams = worded.select("mf_id", "mf_key", "w", F.posexplode(shingles(F.col("w"), m)).alias("pos", "h"))
-            for k in range(blocks):
-                j = grams.join(by_block(prefix.filter(F.col("m") == m).drop("m"), k), "h")
-                start = F.col("pos") - F.col("off")
-                fits = (start >= 0) & (start + F.size("words") <= F.size("w"))
-                j = j.filter(F.when(fits, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")).otherwise(False))
-                found.append(j.select("mf_id", "mf_key", start.cast("int").alias("start"), F.size("words").alias("length"), "win"))
-        hits = found[0]
-        for f in found[1:]:
-            hits = hits.unionByName(f)
-        hits = materialize(hits, "decon-hits")
-    spans = hits.groupBy("mf_id", "mf_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    who = hits.join(wins.select("win", F.explode("item_ids").alias("item")), "win").groupBy("mf_id", "mf_key").agg(F.collect_set("item").alias("item_ids"))
-    per = spans.join(who, ["mf_id", "mf_key"], "left").select("mf_id", "mf_key", covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
-    out = worded.select("mf_id", "mf_key", F.size("w").cast("long").alias("n_words")).join(per, ["mf_id", "mf_key"], "left")
+        begin, end = end, end + F.greatest(F.col("n") - (m - 1), F.lit(0))
+        pos = pos.when(F.col("pos") < end, F.col("pos") - begin)
+    known = tokens.select("h").union(docs.sparkSession.range(HEADS)).distinct()
+    grams = grams.select(*key, "n", pos.alias("pos"), "h")
+    places = materialize(grams.join(small(known), "h"), "decon-places")
+    found = places.filter("pos >= 0")
+
+    rare = found.groupBy("h").agg(F.count("*").alias("df"))
+    whole = tokens.join(rare, "h").groupBy("win").agg(F.count("*").alias("got"), F.min(F.struct("df", "off", "h")).alias("p"))
+    need = tokens.groupBy("win").agg(F.count("*").alias("got"))
+    # a window with a token that no document has can't occur
+    prefix = whole.join(need, ["win", "got"]).join(wins, "win").select("p.h", "p.off", "words", "set")
+    start = F.col("pos") - F.col("off")
+    fits = found.join(small(prefix), "h").filter((start >= 0) & (start + F.size("words") <= F.col("n")))
+    asked = materialize(fits.groupBy(*key).agg(F.collect_set(F.struct(start.alias("start"), "words", "set")).alias("asked")), "decon-asked")
+
+    texts = base.select(*key, "text").join(asked, key).select(*key, words(F.col("text")).alias("w"), "asked")
+    # word by word up to the first that differs: a slice would copy all of a long document
+    # (with two uses of w the planner keeps it a column of its own; with one it would be split anew for each candidate)
+    true = F.filter("asked", lambda c: (c["start"] + F.size(c["words"]) <= F.size("w")) & F.forall(F.sequence(F.lit(0), F.size(c["words"]) - 1), lambda k: F.get("w", c["start"] + k) == F.get(c["words"], k)))
+    hits = texts.select(*key, true.alias("hits")).groupBy(*key).agg(F.any_value("hits").alias("hits")).filter(F.size("hits") > 0)
+    per = hits.select(
+        *key, covered(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("length")))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["set"]))).alias("sets"),
+    )
+    per = materialize(per, "decon-hits")
+    # the items of each combination of sets, once
+    kinds = per.select("sets").distinct().select("sets", F.explode("sets").alias("set")).join(sets, "set")
+    kinds = kinds.groupBy("sets").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    out = places.filter("pos = -1").select(*key, F.col("n").cast("long").alias("n_words")).join(per.join(kinds, "sets", "left").drop("sets"), key, "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("mf_id", "mf_key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast(wins.schema["item_ids"].dataType)).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(*key, "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast(wins.schema["item_ids"].dataType)).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

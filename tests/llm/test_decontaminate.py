@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
     docs += [(60, None), (61, ""), (None, items[7][1]), (None, items[7][1]), (62, docs[3][1]), (62, docs[3][1]), (63, "the lazy dog " * 20000)]
     want = brute(docs, items)
     assert run(spark, docs, items) == want
-    # several broadcast blocks give the same
+    # a benchmark too large to broadcast gives the same
     assert run(spark, docs, items, block_tokens=20) == want
 
 

@@ -4,9 +4,10 @@ Counts of every token of the training documents are gathered by Spark.  The
 most frequent words, up to ``VOCABULARY``, are the network's symbols; all
 others are spread over ``BUCKETS`` symbols by their ending, and share a
 bucket's probability in proportion to their counts plus one.  The network is
-trained in shards by truncated backpropagation in numpy, with the shards'
-parameters averaged after every round; documents are scored from end to end,
-the state being carried from window to window.
+trained by truncated backpropagation in numpy, once over all training
+documents: in a few rounds of growing parts of them, each dealt to shards of a
+fixed size whose parameters are averaged after the round.  Documents are
+scored from end to end, the state being carried from window to window.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, ascii_words, bounds, crc_mod, materialize, partitions, slices, with_row_key
+from ..storage import fresh_path
+from .common import LAST_ID, bounds, crc_mod, materialize, slices, with_row_key
+from .simhash import mixed
+from .substring import powers
 
 VOCABULARY = 1984
 BUCKETS = 63
@@ -30,75 +34,75 @@ WINDOW = 32
 #: Counts looked up inside the tasks: the most frequent words, a bounded table.
 HEAD = 131_072
 END = 0  # symbol and hash of the end token; no word hashes to 0 for practical purposes
-WORDS_KEPT = 300_000
 #: Documents scored side by side.
-SIDE = 4096
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-def bucket_of(word: bytes) -> int:
-    """0 .. BUCKETS - 1, by the word's last three bytes."""
-    return xxhash.xxh64_intdigest(word[-3:], 9) % BUCKETS
-
-
-class Hasher:
-    """Word to (hash, bucket), with a bounded memory of words met."""
-
-    def __init__(self):
-        self.index: dict[bytes, int] = {}
-        self.hash, self.bucket = [], []
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, buckets, starts) of the words of the texts."""
-        if len(self.index) > WORDS_KEPT:
-            self.__init__()
-        split = [ascii_words(t) for t in texts]
-        for w in {w for words in split for w in words if w not in self.index}:
-            self.index[w] = len(self.hash)
-            self.hash.append(word_hash(w))
-            self.bucket.append(bucket_of(w))
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.index.__getitem__
-        at = np.fromiter((get(w) for words in split for w in words), np.int64, int(sizes.sum()))
-        return np.array(self.hash, np.uint64)[at], np.array(self.bucket, np.int8)[at], bounds(sizes)
-
-
-_state: dict = {}
-
-
-def hasher() -> Hasher:
-    """One for each Python worker."""
-    return _state.setdefault("hasher", Hasher())
+SIDE = 8192
+#: Lanes of symbols trained side by side: one for each ``PER_LANE`` symbols that training has seen, so that small corpora get many updates.
+LANES, PER_LANE = (16, 256), 8192
+#: Symbols of a lane between two cuts, and of a shard (about).
+LANE, SHARD = 4096, 4_000_000
+#: Rounds of training: the first takes 1/32 of the documents, the second as many, each further one twice as many.
+ROUNDS = 6
+
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def ending(byte: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """0 .. BUCKETS - 1 for each word, by its last three bytes."""
+    key = np.zeros(len(end), np.uint64)
+    for k in (1, 2, 3):
+        there = end - k >= begin
+        key = key * np.uint64(257) + np.where(there, byte[np.maximum(end - k, 0)] + np.uint64(1), np.uint64(0))
+    return (mixed(key, 1) % np.uint64(BUCKETS)).astype(np.int8)
+
+
+def word_hashes(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, bucket) of each word of a string array without nulls: a polynomial of its bytes modulo 2^64, mixed."""
+    edge = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+    byte = np.frombuffer(distinct.buffers()[2], np.uint8)[edge[0] : edge[-1]].astype(np.uint64) if len(distinct) and edge[-1] > edge[0] else np.zeros(1, np.uint64)
+    begin, end = edge[:-1] - edge[0], edge[1:] - edge[0]
+    power, back = powers(ODD, len(byte) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((byte + np.uint64(1)) * power[: len(byte)], dtype=np.uint64)])
+        return mixed((total[end] - total[begin]) * back[begin], 1), ending(byte, begin, end)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word among them, words of each text); words as by ``ascii_words``."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    encoded, at = split.flatten().dictionary_encode(), bounds(np.diff(split.offsets.to_numpy()))
+    distinct, number = encoded.dictionary, encoded.indices.to_numpy()
+    # blanks at an end of a text give empty words
+    none = pc.index(distinct, "").as_py()
+    if none >= 0:
+        full = number != none
+        at, number = bounds(full)[at], number[full]
+    return distinct, number, np.diff(at)
 
 
 # ---- counts ----------------------------------------------------------------------
 
 
 def _count(batches):
-    total: list = []
-    rows = 0
+    held, size = [], 0
 
     def merged():
-        h, n, b = (np.concatenate(c) for c in zip(*total, strict=True))
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        return u, np.bincount(back, n).astype(np.int64), b[first]
-
-    for batch in slices(batches, 4 << 20):
-        h, b, starts = hasher()(batch.column("text").to_pylist())
-        u, first, n = np.unique(h, return_index=True, return_counts=True)
-        total.append((u, n, b[first]))
-        total.append((np.zeros(1, np.uint64), np.array([len(starts) - 1]), np.array([-1], np.int8)))
-        rows += len(u)
-        if rows > 2_000_000:
-            u, n, b = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array(b)], ["h", "c", "bucket"])
-            total, rows = [], 0
-    if total:
-        u, n, b = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array(b)], ["h", "c", "bucket"])
+        h, c, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, first, back = np.unique(h, return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(back, c).astype(np.int64)), pa.array(b[first])], ["h", "c", "bucket"])
+
+    for batch in slices(batches, 8 << 20):
+        distinct, number, sizes = split_words(batch.column("text"))
+        h, bucket = word_hashes(distinct)
+        count = np.bincount(number, minlength=len(h))
+        there = count > 0
+        held += [(h[there], count[there], bucket[there]), (np.zeros(1, np.uint64), np.array([len(sizes)]), np.array([-1], np.int8))]
+        size += len(h)
+        if size > 2_000_000:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -152,7 +156,12 @@ class Symbols:
 
 
 def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Gru:
@@ -161,47 +170,63 @@ class Gru:
     def __init__(self, size: int, place: np.ndarray, per: int, mass: np.ndarray | None = None, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.size, self.per, self.classes = size, per, -(-size // per)
-        self.cls, self.within = (place // per).astype(np.int64), (place % per).astype(np.int64)
+        self.cls, self.within = (place // per).astype(np.int16), (place % per).astype(np.int64)
         k = HIDDEN
         init = lambda *s: (rng.normal(size=s) * 0.1).astype(np.float32)
-        self.p = {
-            "X": init(size, 3 * k), "x": np.zeros(3 * k, np.float32), "U": init(k, 2 * k), "H": init(k, k),
-            "C": init(k, self.classes), "c": np.zeros(self.classes, np.float32), "W": init(self.classes, k, per), "w": np.zeros((self.classes, per), np.float32),
-        }
+        #: X: a symbol's part of update gate, reset gate and new state; U, H: the state's; C, W: class and symbol.
+        self.p = {"X": init(3, size, k), "U": init(2, k, k), "H": init(k, k), "C": init(k, self.classes), "c": np.zeros(self.classes, np.float32), "W": init(self.classes, k, per), "w": np.zeros((self.classes, per), np.float32)}
+        self.m2 = {n: np.full_like(v, 1e-4) for n, v in self.p.items()}
         # places of the last class that no symbol has
         self.void = np.ones((self.classes, per), bool)
         self.void[self.cls, self.within] = False
         if mass is not None:
             share = np.zeros((self.classes, per))
             share[self.cls, self.within] = mass + 1
+            share /= share.sum()
             self.p["c"][:] = np.log(share.sum(axis=1))
-            self.p["w"][:] = np.log(np.maximum(share, 1e-9))
+            self.p["w"][:] = np.log(np.maximum(share / share.sum(axis=1, keepdims=True), 1e-30))
         self.p["w"][self.void] = -1e9
 
-    def step(self, symbol: np.ndarray, h: np.ndarray):
-        k, p = HIDDEN, self.p
-        a = p["X"][symbol]
-        g = _sigmoid(a[:, : 2 * k] + h @ p["U"])
-        z, r = g[:, :k], g[:, k:]
-        rh = r * h
-        n = np.tanh(a[:, 2 * k :] + rh @ p["H"])
-        return h + z * (n - h), z, r, n, rh
+    def step(self, a: np.ndarray, h: np.ndarray):
+        """The next state; ``a``: rows of X for the symbols, overwritten by the gates and the new state's proposal."""
+        zr, n = a[:2], a[2]
+        zr += np.matmul(h, self.p["U"])
+        _sigmoid(zr)
+        rh = zr[1] * h
+        n += rh @ self.p["H"]
+        np.tanh(n, out=n)
+        new = n - h
+        new *= zr[0]
+        new += h
+        return new, rh
+
+    def by_class(self, h: np.ndarray, symbol: np.ndarray):
+        """(order, class edges, states in order, places within a class in order)."""
+        cls = self.cls[symbol]
+        order = np.argsort(cls, kind="stable")
+        edge = np.zeros(self.classes + 1, np.int64)
+        np.cumsum(np.bincount(cls, minlength=self.classes), out=edge[1:])
+        return order, edge, h[order], self.within[symbol[order]]
 
-    def log_probs(self, h: np.ndarray, symbol: np.ndarray):
+    def log_probs(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after each state."""
         p = self.p
-        cls, within = self.cls[symbol], self.within[symbol]
-        a = h @ p["C"] + p["c"]
-        a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(h)), cls] - np.log(np.exp(a).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        order, edge, f, within = self.by_class(h, symbol)
+        a = f @ p["C"]
+        a += p["c"]
+        out = a[np.arange(len(f)), np.repeat(np.arange(self.classes), np.diff(edge))]
+        np.exp(a, out=a)
+        total = a.sum(axis=1)
         for c in np.flatnonzero(edge[1:] > edge[:-1]):
-            rows = order[edge[c] : edge[c + 1]]
-            b = h[rows] @ p["W"][c] + p["w"][c]
-            b -= b.max(axis=1, keepdims=True)
-            out[rows] += b[np.arange(len(rows)), within[rows]] - np.log(np.exp(b).sum(axis=1))
-        return out
+            s, e = edge[c], edge[c + 1]
+            b = f[s:e] @ p["W"][c]
+            b += p["w"][c]
+            out[s:e] += b[np.arange(e - s), within[s:e]]
+            np.exp(b, out=b)
+            total[s:e] *= b.sum(axis=1)
+        back = np.empty(len(f), np.float32)
+        back[order] = out - np.log(total)
+        return back
 
     def score(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability of each document; every document ends with the end symbol, which also begins it.
@@ -221,163 +246,207 @@ class Gru:
         h = np.zeros((len(size), HIDDEN), np.float32)
         before = np.full(len(size), END, np.int64)
         longest = int(size[0]) if len(size) else 0
+        left = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than t
         for t0 in range(0, longest, WINDOW):
-            states, targets, rows = [], [], []
-            for t in range(t0, min(t0 + WINDOW, longest)):
-                n = int(np.searchsorted(-size, -t, "left"))  # documents longer than t
-                if not n:
-                    break
-                h[:n] = self.step(before[:n], h[:n])[0]
-                target = symbols[begin[:n] + t]
-                states.append(h[:n].copy()), targets.append(target), rows.append(np.arange(n))
-                before[:n] = target
-            lp = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(rows), lp, len(size))
+            states, targets = [], []
+            for n in left[t0 : t0 + WINDOW].tolist():
+                h, begin = h[:n], begin[:n]
+                h = self.step(self.p["X"].take(before[:n], axis=1), h)[0]
+                before = symbols[begin]
+                states.append(h), targets.append(before)
+                begin = begin + 1
+            lp, at = self.log_probs(np.concatenate(states), np.concatenate(targets)), 0
+            for s in states:
+                out[: len(s)] += lp[at : at + len(s)]
+                at += len(s)
         return out
 
-    def train(self, symbols: np.ndarray, lanes: int, rate: float, moments: tuple | None = None) -> int:
-        """One pass of truncated backpropagation over a stream of symbols cut into ``lanes`` side by side."""
-        k, p = HIDDEN, self.p
+    def train(self, symbols: np.ndarray, lanes: int, rate: float) -> int:
+        """One pass of truncated backpropagation over a stream of symbols cut into ``lanes`` side by side; symbols that fill no lane are left over."""
+        k, p, m2 = HIDDEN, self.p, self.m2
         length = len(symbols) // lanes
         if length < 2:
             return 0
-        x = symbols[: lanes * length].reshape(lanes, length)
-        m2 = {n: np.full_like(v, 1e-6) for n, v in p.items()} if moments is None else moments
+        x = np.ascontiguousarray(symbols[: lanes * length].reshape(lanes, length).T)
         h = np.zeros((lanes, k), np.float32)
         for t0 in range(0, length - 1, WINDOW):
-            hs, zs, rs, ns, rhs, ins, outs, old, open_ = [h], [], [], [], [], [], [], [], []
-            for t in range(t0, min(t0 + WINDOW, length - 1)):
-                # a document doesn't see the one before it
-                open_.append((x[:, t] != END).astype(np.float32)[:, None])
-                old.append(hs[-1] * open_[-1])
-                new, z, r, n, rh = self.step(x[:, t], old[-1])
-                hs.append(new), zs.append(z), rs.append(r), ns.append(n), rhs.append(rh), ins.append(x[:, t]), outs.append(x[:, t + 1])
-            steps, total = len(ins), len(ins) * lanes
-            flat, target = np.concatenate(hs[1:]), np.concatenate(outs)
-            grad = {n: np.zeros_like(v) for n, v in p.items() if n != "X"}
-            cls, within = self.cls[target], self.within[target]
-            a = flat @ p["C"] + p["c"]
-            a = np.exp(a - a.max(axis=1, keepdims=True))
+            ins, target = x[t0 : t0 + WINDOW][: length - 1 - t0], x[t0 + 1 : t0 + 1 + WINDOW].ravel()
+            steps, total = len(ins), len(target)
+            # a document doesn't see the one before it
+            open_ = (ins != END).astype(np.float32)[:, :, None]
+            gates = p["X"].take(ins.ravel(), axis=1).reshape(3, steps, lanes, k)
+            old, new, rhs = (np.empty((steps, lanes, k), np.float32) for _ in range(3))
+            for t in range(steps):
+                np.multiply(h, open_[t], out=old[t])
+                new[t], rhs[t] = self.step(gates[:, t], old[t])
+                h = new[t]
+            z, r, n = gates
+            # outputs
+            order, edge, f, within = self.by_class(new.reshape(total, k), target)
+            grad = {}
+            a = f @ p["C"]
+            a += p["c"]
+            np.exp(a, out=a)
             a /= a.sum(axis=1, keepdims=True)
-            a[np.arange(total), cls] -= 1
-            grad["C"], grad["c"] = flat.T @ a, a.sum(axis=0)
-            dflat = a @ p["C"].T
-            order = np.argsort(cls, kind="stable")
-            edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
+            a[np.arange(total), np.repeat(np.arange(self.classes), np.diff(edge))] -= 1
+            grad["C"], grad["c"] = f.T @ a, a.sum(axis=0)
+            df = a @ p["C"].T
+            grad["W"], grad["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
             for c in np.flatnonzero(edge[1:] > edge[:-1]):
-                rows = order[edge[c] : edge[c + 1]]
-                b = flat[rows] @ p["W"][c] + p["w"][c]
-                b = np.exp(b - b.max(axis=1, keepdims=True))
+                s, e = edge[c], edge[c + 1]
+                b = f[s:e] @ p["W"][c]
+                b += p["w"][c]
+                np.exp(b, out=b)
                 b /= b.sum(axis=1, keepdims=True)
-                b[np.arange(len(rows)), within[rows]] -= 1
-                grad["W"][c], grad["w"][c] = flat[rows].T @ b, b.sum(axis=0)
-                dflat[rows] += b @ p["W"][c].T
-            dflat = dflat.reshape(steps, lanes, k)
-            dh, dx = np.zeros((lanes, k), np.float32), []
-            for s in range(steps - 1, -1, -1):
-                dh = dh + dflat[s]
-                z, r, n, rh, prev = zs[s], rs[s], ns[s], rhs[s], old[s]
-                dn = dh * z * (1 - n * n)
-                drh = dn @ p["H"].T
-                dz, dr = dh * (n - prev) * z * (1 - z), drh * prev * r * (1 - r)
-                dg = np.concatenate([dz, dr], axis=1)
-                grad["H"] += rh.T @ dn
-                grad["U"] += prev.T @ dg
-                dx.append(np.concatenate([dg, dn], axis=1))
-                dh = (dh * (1 - z) + drh * r + dg @ p["U"].T) * open_[s]
-            dx = np.concatenate(dx[::-1])
-            seen = np.concatenate(ins)
+                b[np.arange(e - s), within[s:e]] -= 1
+                grad["W"][c], grad["w"][c] = f[s:e].T @ b, b.sum(axis=0)
+                df[s:e] += b @ p["W"][c].T
+            dnew = np.empty((total, k), np.float32)
+            dnew[order] = df
+            dnew = dnew.reshape(steps, lanes, k)
+            # back through the steps; what doesn't depend on later steps is formed at once
+            by_n, by_z, by_r, stay = z * (1 - n * n), (n - old) * z * (1 - z), old * r * (1 - r), 1 - z
+            d = np.empty((3, steps, lanes, k), np.float32)
+            back_u, back_h = np.ascontiguousarray(p["U"].transpose(0, 2, 1)), np.ascontiguousarray(p["H"].T)
+            dh = np.zeros((lanes, k), np.float32)
+            for t in range(steps - 1, -1, -1):
+                dh += dnew[t]
+                np.multiply(dh, by_n[t], out=d[2, t])
+                drh = d[2, t] @ back_h
+                np.multiply(dh, by_z[t], out=d[0, t])
+                np.multiply(drh, by_r[t], out=d[1, t])
+                dh *= stay[t]
+                drh *= r[t]
+                dh += drh
+                both = np.matmul(d[:2, t], back_u)
+                dh += both[0]
+                dh += both[1]
+                dh *= open_[t]
+            flat = d.reshape(3, total, k)
+            grad["H"] = rhs.reshape(total, k).T @ flat[2]
+            grad["U"] = np.matmul(old.reshape(total, k).T, flat[:2])
+            seen = ins.ravel()
             order = np.argsort(seen, kind="stable")
-            used, first = np.unique(seen[order], return_index=True)
-            gx = np.add.reduceat(dx[order], first, axis=0)
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()) + float((gx * gx).sum()))
+            ranked = seen[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            used = ranked[first]
+            gx = np.add.reduceat(flat.take(order, axis=1), first, axis=1)
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in [*grad.values(), gx]))
             scale = np.float32(min(1.0, 5.0 * total / max(norm, 1e-12)) / lanes)
-            for n, g in grad.items():
-                if n == "x":
-                    continue
-                g = g * scale
-                m2[n] += g * g
-                p[n] -= rate * g / np.sqrt(m2[n])
-            g = gx * scale
-            m2["X"][used] += g * g
-            p["X"][used] -= rate * g / np.sqrt(m2["X"][used])
+            for name, g in grad.items():
+                g *= scale
+                m2[name] += g * g
+                p[name] -= rate * g / np.sqrt(m2[name])
+            gx *= scale
+            moved = m2["X"][:, used] + gx * gx
+            m2["X"][:, used] = moved
+            p["X"][:, used] -= rate * gx / np.sqrt(moved)
+            # so that no exponential overflows
+            for name in ("C", "W"):
+                np.clip(p[name], -4, 4, out=p[name])
             p["w"][self.void] = -1e9
-            h = hs[-1]
         return lanes * length
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in sorted(self.p)])
+        """Parameters and the sums of squared gradients that their steps follow from."""
+        return np.concatenate([x[n].ravel() for x in (self.p, self.m2) for n in sorted(self.p)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for n in sorted(self.p):
-            self.p[n] = flat[at : at + self.p[n].size].reshape(self.p[n].shape).astype(np.float32)
-            at += self.p[n].size
+        for x in (self.p, self.m2):
+            for n in sorted(self.p):
+                x[n] = flat[at : at + x[n].size].reshape(x[n].shape).astype(np.float32)
+                at += x[n].size
 
 
 def _symbol_rows(symbols):
     def run(batches):
-        for b in slices(batches, 4 << 20):
-            h, bucket, starts = hasher()(b.column("text").to_pylist())
-            s = symbols.look_up(h, bucket)[0].astype("<u2")
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array([np.append(s[i:j], np.uint16(END)).tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["shard", "symbols"])
+        for b in slices(batches, 8 << 20):
+            distinct, number, sizes = split_words(b.column("text"))
+            s, at = symbols.look_up(*word_hashes(distinct))[0].astype("<u2")[number], bounds(sizes)
+            raw = [np.append(s[i:j], np.uint16(END)).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("turn"), pa.array(raw, pa.binary())], ["key", "turn", "symbols"])
 
     return run
 
 
-def _train_shard(args, flat, lanes, rate, block):
-    """Trains on a shard's documents as they come, ``block`` symbols at a time."""
+def _train_shard(args, flat, before, rate):
+    """Trains on a shard's documents as they come, block by block; ``before``: symbols seen in earlier rounds."""
 
     def run(batches):
         model = Gru(*args)
-        if flat is not None:
-            model.load(flat)
-        held, size, seen = [], 0, 0
-        moments = {n: np.full_like(v, 1e-4) for n, v in model.p.items()}
+        model.load(flat)
+        held, size, seen, shard = [], 0, 0, None
+
+        def block(n):
+            nonlocal held, size, seen
+            x = np.concatenate(held).astype(np.int64)
+            did = model.train(x, n, rate)
+            held, size, seen = [x[did:]], len(x) - did, seen + did
+
+        def lanes():
+            return int(np.clip(2 ** int(math.log2(max(1, (before + seen) // PER_LANE))), *LANES))
+
         for b in batches:
-            for raw in b.column("symbols").to_pylist():
+            for raw, shard in zip(b.column("symbols").to_pylist(), b.column("shard").to_pylist(), strict=True):
                 held.append(np.frombuffer(raw, "<u2"))
                 size += len(held[-1])
-                if size >= block:
-                    seen += model.train(np.concatenate(held).astype(np.int64), lanes, rate, moments)
-                    held, size = [], 0
+                if size >= lanes() * LANE:
+                    block(lanes())
         if size:
-            seen += model.train(np.concatenate(held).astype(np.int64), max(1, min(lanes, size // 64)), rate, moments)
+            block(max(1, min(lanes(), size // (8 * WINDOW))))
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], ["n", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], ["shard", "n", "params"])
 
     return run
 
 
 def _average(batches):
-    total, n = None, 0
+    total, n, shard = None, 0, None
     for b in batches:
-        for k, raw in zip(b.column("n").to_pylist(), b.column("params").to_pylist(), strict=True):
+        for shard, k, raw in zip(b.column("shard").to_pylist(), b.column("n").to_pylist(), b.column("params").to_pylist(), strict=True):
             x = np.frombuffer(raw, np.float32).astype(np.float64) * k
             total, n = x if total is None else total + x, n + k
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "params"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["shard", "n", "params"])
+
+
+TRAINED = "shard long, n long, params binary"
 
 
-def fit_gru(texts: DataFrame, symbols: Symbols, *, rounds: int = 3, lanes: int = 16, rate: float = 0.05, block: int = 65_536) -> Gru:
-    """Trains on all of ``texts`` (text), dealt to shards by a hash; parameters are averaged after each round.
+def fit_gru(texts: DataFrame, symbols: Symbols, *, rounds: int = ROUNDS, rate: float = 0.15, shard: int = SHARD) -> Gru:
+    """Trains once on all of ``texts`` (key, text), in ``rounds`` rounds; parameters are averaged after each.
 
-    The number of shards follows the number of shuffle partitions.  Averages
-    are formed by up to 8 tasks, so the driver gets 8 parameter sets a round.
+    The documents of a round and a shard follow from ``key``, and so does
+    their order; the number of shards follows from the number of tokens alone.
+    Averages are formed level by level, 32 to one, so the driver gets at most
+    8 parameter sets a round.
     """
-    spark = texts.sparkSession
     args = (symbols.size, symbols.place, symbols.per, symbols.mass)
-    shards = max(1, partitions(spark) // 2)
-    rows = texts.select("text").withColumn("shard", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(shards)).cast("int"))
-    rows = materialize(rows.mapInArrow(_symbol_rows(symbols), "shard int, symbols binary"), "gru-text").repartition(shards, "shard")
     model = Gru(*args)
+    if not rounds:
+        return model
+    part = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(2 ** (rounds - 1)))
+    turn = F.when(part == 0, 0).otherwise(F.floor(F.log2(part)) + 1).cast("int")
+    rows = texts.select("key", turn.alias("turn"), "text").mapInArrow(_symbol_rows(symbols), "key long, turn int, symbols binary")
+    path = fresh_path(texts.sparkSession, "gru-text")
+    rows.write.partitionBy("turn").option("compression", "zstd").parquet(path)
+    rows = texts.sparkSession.read.schema("key long, symbols binary, turn int").parquet(path)
+    before = 0
     for k in range(rounds):
-        trained = rows.mapInArrow(_train_shard(args, model.flat(), lanes, rate / (1 + k), block), "n long, params binary")
-        means = materialize(trained, "gru-shards").repartition(8).mapInArrow(_average, "n long, params binary").collect()
-        if not means:
-            break
-        n = sum(r.n for r in means)
-        model.load(sum(np.frombuffer(r.params, np.float32).astype(np.float64) * r.n for r in means) / n)
+        n = max(1, math.ceil(symbols.tokens * (0.5 ** (rounds - max(k, 1))) / shard))
+        dealt = rows.filter(F.col("turn") == k).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(n)))
+        dealt = dealt.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "symbols").select("shard", "symbols")
+        means = materialize(dealt.mapInArrow(_train_shard(args, model.flat(), before, rate), TRAINED), "gru-shards")
+        while n > 8:
+            n = -(-n // 32)
+            means = means.withColumn("shard", F.pmod("shard", F.lit(n)))
+            means = materialize(means.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "n", "params").mapInArrow(_average, TRAINED), "gru-means")
+        got = sorted(means.collect(), key=lambda r: r.shard)
+        if got:
+            total = sum(r.n for r in got)
+            before += total
+            model.load((sum(np.frombuffer(r.params, np.float32).astype(np.float64) * r.n for r in got) / total).astype(np.float32))
     return model
 
 
@@ -389,15 +458,11 @@ def _score(model, symbols):
     n, v = symbols.tokens, symbols.distinct
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            parts = [hasher()(c.column("text").to_pylist()) for c in slices([b], 4 << 20)]
-            h, bucket = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-            starts = bounds(np.concatenate([np.diff(x[2]) for x in parts]))
-            symbol, count, found = symbols.look_up(h, bucket)
-            docs = len(starts) - 1
-            sizes = np.diff(starts)
+        for b in slices(batches, 16 << 20):
+            distinct, number, sizes = split_words(b.column("text"))
+            h, bucket = word_hashes(distinct)
+            h, bucket, symbol, count, found = (x[number] for x in (h, bucket, *symbols.look_up(h, bucket)))
+            starts, docs = bounds(sizes), len(sizes)
             of = np.repeat(np.arange(docs), sizes)
             ends = np.insert(symbol, starts[1:], END)
             log10 = model.score(ends, starts + np.arange(docs + 1)) / math.log(10)
@@ -434,14 +499,14 @@ def _score(model, symbols):
 SCORED = "mf_id long, mf_key long, h long, tf long, n_tokens long, n_known long, base double, score double"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: int = 7, held: int = 2, fit_one_in: int = 32, rounds: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fold: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of ``docs``.
 
     Learns from rows whose crc32(id as text) modulo ``fold`` is not ``held``:
-    counts from all of them, the network from one in ``fit_one_in`` of them,
-    by a hash of the id, so both grow with the corpus.  ``base_score`` is the
+    the counts and the network, both from all of them.  ``base_score`` is the
     add-one unigram log10 probability, ``score`` the network's; an unseen
-    word's share of its bucket is that of a count of 0.
+    word's share of its bucket is that of a count of 0.  Equal inputs give
+    equal scores, but for the last digits, whatever the cluster.
 
     Null and empty texts have the end token alone; a row with a null id is
     not held out; rows that repeat get equal results, and each counts in
@@ -470,8 +535,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     tail = materialize(counts.join(in_head, "h", "left_anti"), "gru-tail")
     sums = {r.bucket: (int(r.c), int(r.n)) for r in tail.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
     symbols = Symbols(head_rows, sums, int(tokens), int(distinct))
-    sample = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(fit_one_in)) == 0)
-    model = fit_gru(sample, symbols, rounds=rounds)
+    model = fit_gru(train.select(F.xxhash64("mf_id", "mf_key").alias("key"), "text"), symbols, rounds=rounds)
     rows = materialize(base.select("mf_id", "mf_key", "text").mapInArrow(_score(model, symbols), SCORED), "gru-scored")
     seen = rows.filter("h is not null").select("mf_id", "mf_key", "h", "tf").join(tail.select("h", "c"), "h")
     more = seen.groupBy("mf_id", "mf_key").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("gain"))

@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 
-from motionfield.llm.gru import END, Gru, lm_scores
+import pyarrow as pa
+
+from motionfield.llm.gru import END, Gru, lm_scores, split_words, word_hashes
 from motionfield.llm.queries import op8_lm_scoring
 
 SF = "/root/testdata/sf0.001"
@@ -50,23 +52,89 @@ def test_probabilities_sum_to_one_and_windows_carry_state():
             model.p[n] = (rng.normal(size=x.shape) * 0.3).astype(np.float32)
     h = rng.normal(size=(3, 16)).astype(np.float32)
     total = sum(np.exp(model.log_probs(h, np.full(3, s))) for s in range(size))
-    assert np.allclose(total, 1, atol=1e-4)
+    assert np.allclose(total, 1, atol=1e-3)
     docs = [rng.integers(0, size, n) for n in (150, 1, 40, 97)]
     starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     got = model.score(np.concatenate(docs), starts)
     for d, x in zip(docs, got, strict=True):
         h, before, want = np.zeros((1, 16), np.float32), END, 0.0
         for s in d:
-            h = model.step(np.array([before]), h)[0]
+            h = model.step(model.p["X"].take([before], axis=1), h)[0]
             want += float(model.log_probs(h, np.array([s]))[0])
             before = s
         assert abs(want - x) < 1e-2
 
 
+def test_gradients_by_differences():
+    """A step of plain descent moves each parameter along the slope of the loss."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 7, 60)
+    x[20] = END
+    model = Gru(7, rng.permutation(7), 3, rng.random(7))
+    for n in model.p:
+        model.p[n] = (rng.normal(size=model.p[n].shape) * 0.4).astype(np.float32)
+    model.p["w"][model.void] = -1e9
+    before = {n: v.copy() for n, v in model.p.items()}
+    # with equal large moments Adagrad is plain descent
+    model.m2 = {n: np.full_like(v, 1e8) for n, v in model.p.items()}
+    model.train(x[:20], 1, 1.0)
+    moved = {n: (before[n] - model.p[n]) * 1e4 for n in before}
+
+    def loss(name, at, by):
+        m = Gru(7, np.arange(7), 3)
+        m.cls, m.within, m.void = model.cls, model.within, model.void
+        m.p = {n: v.astype(np.float64) for n, v in before.items()}
+        m.p[name][at] += by
+        h, out = np.zeros((1, 16)), 0.0
+        for a, b in zip(x[:19], x[1:20], strict=True):
+            h = m.step(m.p["X"].take([a], axis=1), h)[0]
+            out -= float(m.log_probs(h, np.array([b]))[0])
+        return out
+
+    for name in ("X", "U", "H", "C", "c", "W", "w"):
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in before[name].shape)
+            if name == "w" and model.void[at]:
+                continue
+            slope = (loss(name, at, 1e-2) - loss(name, at, -1e-2)) / 2e-2
+            assert abs(slope - moved[name][at]) < 2e-3 + 0.02 * abs(slope), (name, at)
+
+
+def test_splitting_equals_the_plain_way():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aBÉß \t\n\x0b\x0c\r\x1c\x85x"), rng.integers(0, 30))) for _ in range(2000)] + [None, "", " ", "word " * 30000]
+    distinct, number, sizes = split_words(pa.array(texts))
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert [distinct[i].as_py().encode() for i in number[:5000].tolist()] == [w for t in plain for w in t][:5000]
+    assert sizes.tolist() == [len(t) for t in plain] and len(number) == sum(sizes)
+    h, bucket = word_hashes(distinct)
+    assert len(set(h.tolist())) == len(distinct) and 0 not in h and bucket.min() >= 0
+    again = word_hashes(distinct.slice(3, 40))
+    assert (again[0] == h[3:43]).all() and (again[1] == bucket[3:43]).all()
+
+
 def test_training_learns_a_cycle():
     x = np.tile(np.array([1, 2, 3, 4, 5]), 4000)
     model = Gru(6, np.arange(6), 3)
     before = model.score(x[:200], np.array([0, 200]))[0]
     for _ in range(4):
-        model.train(x, 16, 0.05)
+        assert model.train(x, 16, 0.05) == 20000
     assert model.score(x[:200], np.array([0, 200]))[0] > before * 0.3
+
+
+def test_scores_follow_from_the_rows_alone(spark):
+    """Other partitions, other numbers of shuffle partitions and several shards: the same but for the last digits, which vary with how rows meet in batches."""
+    import motionfield.llm.gru as gru
+
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    keep = gru.SHARD
+    try:
+        gru.fit_gru.__kwdefaults__["shard"] = 3000
+        one = sorted(tuple(r) for r in lm_scores(df).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        other = sorted(tuple(r) for r in lm_scores(df.repartition(7)).collect())
+        assert [r[:5] for r in other] == [r[:5] for r in one]
+        assert np.allclose([r[5:] for r in other], [r[5:] for r in one], rtol=1e-6)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        gru.fit_gru.__kwdefaults__["shard"] = keep

@@ -18,10 +18,10 @@ VIEWS = {
     "thumb_files": """
         SELECT DISTINCT th_valid, concat('/bank/', pz, '/opticals/', pz, '_', th_date, '_', sensor, ext) AS th_path FROM (
           SELECT CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS th_valid,
-            CASE WHEN (o_orderkey // 50) % 11 = 0 THEN concat('pz_', CAST(o_custkey % 12 AS STRING)) ELSE concat('pz', CAST(o_custkey % 12 AS STRING)) END AS pz,
+            CASE WHEN o_orderkey % 11 = 0 THEN concat('pz_', CAST(o_custkey AS STRING)) ELSE concat('pz', CAST(o_custkey AS STRING)) END AS pz,
             DAY(o_orderdate) AS th_date, CASE o_orderkey % 3 WHEN 0 THEN 'spot6' WHEN 1 THEN 'SPOT7' ELSE 'aerial' END AS sensor,
-            CASE WHEN (o_orderkey // 50) % 7 = 0 THEN '.jpg' WHEN (o_orderkey // 50) % 5 = 0 THEN '.TIF' ELSE '.tif' END AS ext
-          FROM {orders} WHERE o_orderkey % 50 = 0) AS t""",
+            CASE WHEN o_orderkey % 7 = 0 THEN '.jpg' WHEN o_orderkey % 5 = 0 THEN '.TIF' ELSE '.tif' END AS ext
+          FROM {orders}) AS t""",
     "pix": """
         SELECT CAST(event_id // 1024 AS INT) AS raster_id, CAST((event_id % 1024) // 32 AS INT) AS row, CAST(event_id % 32 AS INT) AS col,
           (value - 50) / CAST(10 AS DOUBLE) AS dx, (user_id % 21 - 10) / CAST(2 AS DOUBLE) AS dy, ((event_id * 7919) % 1000) / CAST(1000 AS DOUBLE) AS cc,

@@ -5,7 +5,7 @@ A polygon is its edges, an array of struct<x1, y1, x2, y2>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def bounds(edges: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
-def cell_range(low: Column, high: Column, size: float) -> Column:
+def level(box: Column) -> Column:
+    """The smallest whole number whose power of 2 is no less than the sides of a rectangle: it touches at most 4 cells of that size."""
+    return F.ceil(F.log2(F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"], F.lit(2.0**-30)))).cast("int")
+
+
+def levels_in_use(levels: DataFrame) -> Column:
+    """The distinct levels of a one-column table as an array: at most a few dozen, whatever the number of rows."""
+    return F.array(*[F.lit(r[0]) for r in levels.distinct().collect() if r[0] is not None]).cast("array<int>")
+
+
+def cell_range(low: Column, high: Column, size: Column) -> Column:
     """Numbers of the grid cells that an interval touches."""
     return F.sequence(F.floor(low / size), F.floor(high / size))

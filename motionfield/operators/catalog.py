@@ -181,19 +181,28 @@ def bank_features(files: DataFrame, headers: DataFrame, xml: DataFrame, data_typ
     return rows.select(file_name(F.col("filepath")).alias("filename"), F.col("mf_a.sensor").alias("sensor"), F.abs("px").alias("xRes"), F.abs("py").alias("yRes"), "bands", F.col("n_rows").alias("rows"), F.col("n_cols").alias("cols"), F.col("mf_a.acq_date").alias("acq_date"), extent.alias("extent"), "filepath")
 
 
-def images_on_zones(images: DataFrame, zones: DataFrame, cell: float = 16.0) -> DataFrame:
+def images_on_zones(images: DataFrame, zones: DataFrame) -> DataFrame:
     """Images whose extent meets a zone's polygon (touching counts).
 
-    A grid join: both sides go to the cells they touch; a pair is taken in the
-    one cell that holds the lower left corner of the common bounds, so no
-    distinct is needed.  ``zones``: zone_id, edges.
+    A join over grids of several levels: a rectangle goes to the cells that
+    it touches at the level of its own size and at the coarser levels in use,
+    at most four of each, whatever the units of the map.  A pair is taken at
+    the coarser level of the two, in the one cell that holds the lower left
+    corner of the common bounds, so no distinct is needed.  ``zones``:
+    zone_id, edges.
     """
     e, b = F.col("extent"), F.col("zb")
-    left = images.withColumn("gx", F.explode(G.cell_range(e["xmin"], e["xmax"], cell))).withColumn("gy", F.explode(G.cell_range(e["ymin"], e["ymax"], cell)))
-    right = zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("gx", F.explode(G.cell_range(b["xmin"], b["xmax"], cell))).withColumn("gy", F.explode(G.cell_range(b["ymin"], b["ymax"], cell)))
-    met = left.join(right, ["gx", "gy"]).filter((b["xmin"] <= e["xmax"]) & (b["xmax"] >= e["xmin"]) & (b["ymin"] <= e["ymax"]) & (b["ymax"] >= e["ymin"]))
-    met = met.filter((F.col("gx") == F.floor(F.greatest(b["xmin"], e["xmin"]) / cell)) & (F.col("gy") == F.floor(F.greatest(b["ymin"], e["ymin"]) / cell)))
-    return met.filter(G.box_meets_polygon(e["xmin"], e["ymin"], e["xmax"], e["ymax"], F.col("edges"))).drop("gx", "gy", "zb", "edges")
+    left, right = images.withColumn("el", G.level(e)), zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("zl", G.level(b))
+    levels = G.levels_in_use(left.select("el").union(right.select("zl")))
+    size = F.pow(F.lit(2.0), "gl")
+
+    def placed(df, own, box):
+        df = df.withColumn("gl", F.explode(F.filter(levels, lambda x: x >= F.col(own))))
+        return df.withColumn("gx", F.explode(G.cell_range(box["xmin"], box["xmax"], size))).withColumn("gy", F.explode(G.cell_range(box["ymin"], box["ymax"], size)))
+
+    met = placed(left, "el", e).join(placed(right, "zl", b), ["gl", "gx", "gy"]).filter(F.col("gl") == F.greatest("el", "zl")).filter((b["xmin"] <= e["xmax"]) & (b["xmax"] >= e["xmin"]) & (b["ymin"] <= e["ymax"]) & (b["ymax"] >= e["ymin"]))
+    met = met.filter((F.col("gx") == F.floor(F.greatest(b["xmin"], e["xmin"]) / size)) & (F.col("gy") == F.floor(F.greatest(b["ymin"], e["ymin"]) / size)))
+    return met.filter(G.box_meets_polygon(e["xmin"], e["ymin"], e["xmax"], e["ymax"], F.col("edges"))).drop("gl", "gx", "gy", "el", "zl", "zb", "edges")
 
 
 def group_scenes(images: DataFrame) -> DataFrame:

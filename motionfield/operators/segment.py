@@ -37,7 +37,8 @@ def kmeans_1d(pixels: DataFrame, value: str, k: int = 2, rounds: int = 20, key:
         sums = [f(F.when(F.col("label") == i, x)) for i in range(k) for f, x in ((F.sum, F.col("v") * F.col("n")), (F.sum, F.col("n")))]
         near = counts.join(centres, key).withColumn("label", at)
         means = F.array(*[F.coalesce(F.try_divide(sums[2 * i], sums[2 * i + 1]), F.get(F.any_value("c"), i)) for i in range(k)])
-        new = near.groupBy(key).agg(means.alias("c"), F.any_value("c").alias("old"))
+        # ascending again: an empty cluster that kept its centre may have been passed
+        new = near.groupBy(key).agg(F.array_sort(means).alias("c"), F.any_value("c").alias("old"))
         new = materialize(new.select(key, "c", (F.col("c") != F.col("old")).alias("moved")), "kmeans-centres")
         centres = new.drop("moved")
         if new.filter("moved").isEmpty():  # further rounds change nothing
@@ -158,19 +159,20 @@ def outline_edges(areas: DataFrame) -> DataFrame:
 
 
 def chain_rings(sides: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Directed sides to closed rings; at a corner that two rings touch the turn to the left is taken, so 4-connected areas stay simple."""
+    """Directed sides to closed rings; at a corner that two sides leave, the one that keeps the area's own cell on its inside is taken, so the rings of 4-connected areas are simple."""
     out = defaultdict(list)
     for r1, c1, r2, c2 in sorted(sides):
         out[(r1, c1)].append((r2, c2))
     rings = []
-    while out:
-        start = min(out)
+    for start in [c for c in sorted(out) for _ in out[c]]:
+        if start not in out:
+            continue
         ring, at, came = [start], start, None
         while True:
             nxt = out[at]
             if len(nxt) > 1 and came is not None:
                 turn = lambda n: (n[1] - at[1]) * came[0] - (n[0] - at[0]) * came[1]  # noqa: E731, B023
-                step = max(nxt, key=turn)
+                step = min(nxt, key=turn)
             else:
                 step = nxt[0]
             nxt.remove(step)

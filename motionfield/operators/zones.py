@@ -13,17 +13,22 @@ def zones_from_edges(edges: DataFrame, zone: str = "zone_id") -> DataFrame:
     return edges.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
 
 
-def zonal_join(pixels: DataFrame, zones: DataFrame, cell: float = 16.0) -> DataFrame:
+def zonal_join(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     """Pixels (with x, y) inside each polygon of ``zones`` (zone_id, edges).
 
-    A grid join on the cells of the polygons' bounds, then the bounds, then the
+    A grid join: a polygon goes to the at most four cells of the level that
+    its own size asks for, a pixel to its cell of every level in use, whatever
+    the units of the map.  Then the bounds, then the
     crossing count over the polygon's own edges: pixels are never regrouped.
     """
     b = F.col("zb")
-    cells = zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("gx", F.explode(G.cell_range(b["xmin"], b["xmax"], cell))).withColumn("gy", F.explode(G.cell_range(b["ymin"], b["ymax"], cell)))
-    placed = pixels.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
-    met = placed.join(cells, ["gx", "gy"]).filter(F.col("x").between(b["xmin"], b["xmax"]) & F.col("y").between(b["ymin"], b["ymax"]))
-    return met.filter(G.inside(F.col("x"), F.col("y"), F.col("edges"))).drop("gx", "gy", "zb", "edges")
+    cells = zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("gl", G.level(b))
+    levels = G.levels_in_use(cells.select("gl"))
+    size = F.pow(F.lit(2.0), "gl")
+    cells = cells.withColumn("gx", F.explode(G.cell_range(b["xmin"], b["xmax"], size))).withColumn("gy", F.explode(G.cell_range(b["ymin"], b["ymax"], size)))
+    placed = pixels.withColumn("gl", F.explode(levels)).withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    met = placed.join(cells, ["gl", "gx", "gy"]).filter(F.col("x").between(b["xmin"], b["xmax"]) & F.col("y").between(b["ymin"], b["ymax"]))
+    return met.filter(G.inside(F.col("x"), F.col("y"), F.col("edges"))).drop("gl", "gx", "gy", "zb", "edges")
 
 
 def zone_mean(hits: DataFrame, value: str = "magn") -> DataFrame:
@@ -50,14 +55,18 @@ def point_cells(points: DataFrame, x0: float, y0: float, px: float, py: float) -
 
 
 def sample_points(points: DataFrame, pixels: DataFrame, value: str, name: str, x0: float, y0: float, px: float, py: float) -> DataFrame:
-    """Adds the value of the cell under each point as a column named after the raster file up to the first dot; null off the raster."""
+    """Adds raster_id and the value of the cell under each point, for each raster on the grid that has the cell.
+
+    The value's column is named after the raster file up to the first dot; a
+    point off all rasters is one row of nulls.
+    """
     column = name.split(".")[0]
     cells = point_cells(points, x0, y0, px, py)
-    return cells.join(pixels.select("row", "col", F.col(value).alias(column)), ["row", "col"], "left").drop("row", "col")
+    return cells.join(pixels.select("raster_id", "row", "col", F.col(value).alias(column)), ["row", "col"], "left").drop("row", "col")
 
 
 def sample_points_buffer(points: DataFrame, pixels: DataFrame, value: str, radius: float, x0: float, y0: float, px: float, py: float, key: str = "point_id") -> DataFrame:
-    """(key, mean): mean of the cells whose centres are within ``radius`` of the point; null where there is none.
+    """(key, raster_id, mean): mean of a raster's cells whose centres are within ``radius`` of the point; one row of nulls where there is none.
 
     The points' own cells are listed, not the pixels.
     """
@@ -65,5 +74,5 @@ def sample_points_buffer(points: DataFrame, pixels: DataFrame, value: str, radiu
     cells = points.select(key, "x", "y", F.explode(span("y", y0, py).cast("array<int>")).alias("row")).select("*", F.explode(span("x", x0, px).cast("array<int>")).alias("col"))
     cx, cy = F.lit(x0) + (F.col("col") + 0.5) * px, F.lit(y0) + (F.col("row") + 0.5) * py
     near = cells.filter((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y")) <= radius * radius)
-    means = near.join(pixels.select("row", "col", F.col(value).alias("v")), ["row", "col"]).groupBy(key).agg(F.avg("v").alias("mean"))
+    means = near.join(pixels.select("raster_id", "row", "col", F.col(value).alias("v")), ["row", "col"]).groupBy(key, "raster_id").agg(F.avg("v").alias("mean"))
     return points.select(key).join(means, key, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.displacement import magnitude, vector_attributes
 from ..operators import catalog, matching, raster, segment, zones
+from ..storage import materialize
 
 
 def zone_velocities(pixels: DataFrame, pairs: DataFrame, polygons: DataFrame, px: float) -> DataFrame:
@@ -46,8 +47,6 @@ def process_pairs(clipped: DataFrame, pairs: DataFrame, px: float, py: float, *,
 
     A pair without a single match is in the log as ABORT.
     """
-    from ..storage import materialize
-
     disp = materialize(matching.match_blocks(clipped, kernel, search, threshold), "matches")
     cc = matching.corr_eval_tiles(clipped, disp, kernel, search)
     field = disp.join(cc, ["pair_id", "row", "col"]).withColumnRenamed("pair_id", "raster_id")
@@ -62,13 +61,19 @@ def process_pairs(clipped: DataFrame, pairs: DataFrame, px: float, py: float, *,
 
 
 def moving_areas(pixels: DataFrame, pairs: DataFrame, value: str, n_rows: int, n_cols: int, px: float, py: float, *, box: int = 30, min_surface: float = 0.0) -> DataFrame:
-    """Moving areas of each zone: k-means of each complete pair, sum, k-means of the sum, closing, areas, label 1 above a size."""
+    """(zone, component, raster_val, n, area, extent) of each zone's moving areas: k-means of each complete pair, sum, k-means of the sum, closing, areas, label 1 above a size.
+
+    Cells that not all of a zone's pairs have stay outside: the closing doesn't fill them.
+    """
     done = pairs.filter("pa_status = 'complete'")
     labels, _ = segment.kmeans_1d(pixels.join(done.select("raster_id"), "raster_id", "left_semi"), value)
     sums = segment.add_moving_areas(labels, pairs)
     grouped, _ = segment.cluster_addition(sums)
-    zone_ids = grouped.withColumn("raster_id", F.regexp_extract("zone", r"(\d+)", 1).cast("long")).select("raster_id", "row", "col", "label")
+    # a number for each zone's name, of which there is one row; written, so that it stays the same
+    numbers = materialize(grouped.select("zone").distinct().coalesce(1).withColumn("raster_id", F.monotonically_increasing_id()), "zone-numbers")
+    zone_ids = materialize(grouped.join(numbers, "zone").select("raster_id", "row", "col", "label"), "zone-labels")
     meta = zone_ids.select("raster_id").distinct().withColumns({"n_rows": F.lit(n_rows), "n_cols": F.lit(n_cols)})
     closed = raster.morph_close(raster.densify(zone_ids, meta), "label", box)
+    closed = closed.join(zone_ids.select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_semi")
     stats = segment.area_stats(segment.connected_areas(closed, n_cols), px, py)
-    return segment.min_surface_filter(stats, min_surface, 1)
+    return segment.min_surface_filter(stats, min_surface, 1).join(numbers, "raster_id").drop("raster_id")

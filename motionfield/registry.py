@@ -270,10 +270,10 @@ def _f11_crop_pixels(spark, d):
     return raster.crop_pixels(view(spark, d, "pix"), 10.5, 20, 30, 41, X0, Y0, PX, PY).select("raster_id", "row", "col")
 
 
-@query(f"WITH {HITS} SELECT raster_id, row, col, CASE WHEN h.raster_id IS NOT NULL THEN round(p.dx, 6) + 0.0 END AS dx FROM {{pix}} p LEFT JOIN (SELECT DISTINCT raster_id, row, col FROM hits WHERE zone_id = 4) h USING (raster_id, row, col)")
+@query(f"WITH {HITS} SELECT raster_id, row, col, CASE WHEN h.raster_id IS NOT NULL THEN round(p.dx, 6) + 0.0 END AS dx FROM {{pix}} p LEFT JOIN (SELECT DISTINCT raster_id, row, col FROM hits) h USING (raster_id, row, col)")
 def _f11_mask_pixels(spark, d):
     pix = view(spark, d, "pix")
-    hits = zones.zonal_join(pix.select("raster_id", "row", "col", "x", "y"), polygons(spark, d).filter("zone_id = 4"))
+    hits = zones.zonal_join(pix.select("raster_id", "row", "col", "x", "y"), polygons(spark, d))
     return r6(raster.mask_pixels(pix.select("raster_id", "row", "col", "dx"), hits, ["dx"]), "dx")
 
 
@@ -357,14 +357,17 @@ def _j9_geomorph_spines(spark, d):
     return catalog.geomorph_spines(view(spark, d, "zones"), view(spark, d, "spines")).select("ge_frogi_id", "sp_id")
 
 
-@query("SELECT point_id, round(dx, 6) + 0.0 AS shift FROM (SELECT *, CAST(floor((y - 64) / -2.0::DOUBLE) AS INT) AS r, CAST(floor(x / 2.0::DOUBLE) AS INT) AS c FROM {points}) p LEFT JOIN (SELECT * FROM {pix} WHERE raster_id = 0) q ON q.row = p.r AND q.col = p.c")
+@query("SELECT point_id, raster_id, round(dx, 6) + 0.0 AS shift FROM (SELECT *, CAST(floor((y - 64) / -2.0::DOUBLE) AS INT) AS r, CAST(floor(x / 2.0::DOUBLE) AS INT) AS c FROM {points}) p LEFT JOIN {pix} q ON q.row = p.r AND q.col = p.c")
 def _j10_sample_points(spark, d):
-    return r6(zones.sample_points(view(spark, d, "points"), view(spark, d, "pix").filter("raster_id = 0"), "dx", "shift.v1.tif", X0, Y0, PX, PY).select("point_id", "shift"), "shift")
+    return r6(zones.sample_points(view(spark, d, "points"), view(spark, d, "pix"), "dx", "shift.v1.tif", X0, Y0, PX, PY).select("point_id", "raster_id", "shift"), "shift")
 
 
-@query("SELECT point_id, round(avg(dx), 6) + 0.0 AS mean FROM (SELECT * FROM {points}) p LEFT JOIN (SELECT dx, x AS cx, y AS cy FROM {pix} WHERE raster_id = 0) q ON cx BETWEEN p.x - 3 AND p.x + 3 AND (cx - p.x) * (cx - p.x) + (cy - p.y) * (cy - p.y) <= 9 GROUP BY 1")
+@query("""WITH near AS (SELECT point_id, unnest(range(CAST(floor((64 - p.y - 3) / 2.0::DOUBLE) AS INT), CAST(ceil((64 - p.y + 3) / 2.0::DOUBLE) AS INT) + 1)) AS row, p.x, p.y FROM {points} p),
+  cells AS (SELECT point_id, row, unnest(range(CAST(floor((x - 3) / 2.0::DOUBLE) AS INT), CAST(ceil((x + 3) / 2.0::DOUBLE) AS INT) + 1)) AS col, x, y FROM near),
+  means AS (SELECT point_id, raster_id, avg(dx) AS m FROM cells c JOIN {pix} q USING (row, col) WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 9 GROUP BY 1, 2)
+  SELECT point_id, raster_id, round(m, 6) + 0.0 AS mean FROM {points} LEFT JOIN means USING (point_id)""")
 def _j11_sample_points_buffer(spark, d):
-    return r6(zones.sample_points_buffer(view(spark, d, "points"), view(spark, d, "pix").filter("raster_id = 0"), "dx", 3.0, X0, Y0, PX, PY), "mean")
+    return r6(zones.sample_points_buffer(view(spark, d, "points"), view(spark, d, "pix"), "dx", 3.0, X0, Y0, PX, PY), "mean")
 
 
 @query(f"WITH {HITS} SELECT zone_id, raster_id, row, col FROM hits")
@@ -442,12 +445,13 @@ def _a8_add_moving_areas(spark, d):
     return segment.add_moving_areas(view(spark, d, "pix").select("raster_id", "row", "col", "label"), view(spark, d, "pair_meta"))
 
 
-def kmeans_sql(source: str, key: str, value: str, rounds: int = 20) -> str:
+def kmeans_sql(source: str, key: str, value: str, rounds: int = 20, name: str = "c") -> str:
     """The same rounds, unrolled (k = 2)."""
-    parts = [f"kv AS MATERIALIZED (SELECT {key} AS g, {value}::DOUBLE AS v, count(*) AS n FROM {source} GROUP BY 1, 2)", f"c0 AS MATERIALIZED (SELECT {key} AS g, quantile_cont({value}::DOUBLE, 0.25) AS a, quantile_cont({value}::DOUBLE, 0.75) AS b FROM {source} GROUP BY 1)"]
+    parts = [f"{name}v AS MATERIALIZED (SELECT {key} AS g, {value}::DOUBLE AS v, count(*) AS n FROM {source} GROUP BY 1, 2)", f"{name}0 AS MATERIALIZED (SELECT {key} AS g, quantile_cont({value}::DOUBLE, 0.25) AS a, quantile_cont({value}::DOUBLE, 0.75) AS b FROM {source} GROUP BY 1)"]
     for r in range(rounds):
         far = "abs(v - a) <= abs(v - b)"
-        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT g, coalesce(sum(v * n) FILTER ({far}) / sum(n) FILTER ({far}), any_value(a)) AS a, coalesce(sum(v * n) FILTER (NOT {far}) / sum(n) FILTER (NOT {far}), any_value(b)) AS b FROM kv JOIN c{r} USING (g) GROUP BY 1)")
+        a, b = f"coalesce(sum(v * n) FILTER ({far}) / sum(n) FILTER ({far}), any_value(a))", f"coalesce(sum(v * n) FILTER (NOT {far}) / sum(n) FILTER (NOT {far}), any_value(b))"
+        parts.append(f"{name}{r + 1} AS MATERIALIZED (SELECT g, least(p, q) AS a, greatest(p, q) AS b FROM (SELECT g, {a} AS p, {b} AS q FROM {name}v JOIN {name}{r} USING (g) GROUP BY 1))")
     return ", ".join(parts)
 
 
@@ -691,6 +695,19 @@ def _d2_process_pairs(spark, d):
     return r6(vectors, "cc", "dx_in_meters", "dy_in_meters", "d_in_meters")
 
 
-@query()
+D3 = f"""WITH RECURSIVE done AS (SELECT p.*, pz_name AS zone FROM {{pix}} p JOIN {{pair_meta}} USING (raster_id) WHERE pa_status = 'complete'), {kmeans_sql('done', 'raster_id', 'dx', name='p')},
+  lab AS (SELECT zone, row, col, CASE WHEN abs(dx - a) <= abs(dx - b) THEN 0 ELSE 1 END AS label FROM done JOIN p20 ON g = raster_id),
+  want AS (SELECT pz_name AS zone, count(*) AS n FROM {{pair_meta}} WHERE pa_status = 'complete' GROUP BY 1),
+  good AS MATERIALIZED (SELECT zone, row, col, total FROM (SELECT zone, row, col, sum(label) AS total, count(*) AS n FROM lab GROUP BY 1, 2, 3) JOIN want USING (zone, n)), {kmeans_sql('good', 'zone', 'total', name='z')},
+  two AS MATERIALIZED (SELECT zone AS raster_id, row, col, CASE WHEN abs(total - a) <= abs(total - b) THEN 0 ELSE 1 END AS label FROM good JOIN z20 ON g = zone),
+  dense AS (SELECT r.raster_id, CAST(i.r AS INT) AS row, CAST(j.c AS INT) AS col, label AS v FROM (SELECT DISTINCT raster_id FROM two) r CROSS JOIN range(0, 32) i(r) CROSS JOIN range(0, 32) j(c) LEFT JOIN two t ON t.raster_id = r.raster_id AND t.row = i.r AND t.col = j.c),
+  {window_sql('e', 'dense', 'max', 1, 1)}, {window_sql('o', 'e', 'min', 1, 1)},
+  one AS MATERIALIZED (SELECT o.raster_id, o.row, o.col, o.row * 32 + o.col AS cell FROM o JOIN two t USING (raster_id, row, col) WHERE v = 1),
+  reach AS (SELECT raster_id, row, col, cell AS seed FROM one UNION SELECT n.raster_id, n.row, n.col, r.seed FROM reach r JOIN (SELECT *, unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS o FROM one) n
+    ON n.raster_id = r.raster_id AND n.row + o[1] = r.row AND n.col + o[2] = r.col WHERE r.seed < n.cell)
+  SELECT raster_id AS zone, component::BIGINT AS component, 1::BIGINT AS raster_val, count(*)::BIGINT AS n, count(*) * 4.0::DOUBLE AS area FROM (SELECT raster_id, row, col, min(seed) AS component FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query(D3)
 def _d3_moving_areas(spark, d):
-    return flows.moving_areas(view(spark, d, "pix"), view(spark, d, "pair_meta"), "dx", SIZE, SIZE, PX, PY, box=3).select("raster_id", "component", "raster_val", "n", "area")
+    return flows.moving_areas(view(spark, d, "pix"), view(spark, d, "pair_meta"), "dx", SIZE, SIZE, PX, PY, box=3).select("zone", "component", "raster_val", "n", "area")

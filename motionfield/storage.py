@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``; in local mode a temporary folder where it is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

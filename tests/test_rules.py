@@ -110,7 +110,7 @@ def test_boxes_and_polygons(spark):
 def test_points_off_the_raster(spark):
     points = spark.createDataFrame([(1, -0.5, 1.0), (2, 0.5, -0.5), (3, 99.0, 0.0)], "point_id int, x double, y double")
     pixels = spark.createDataFrame([(0, 0, 7.0)], "row int, col int, v double")
-    assert {r.point_id: r.a for r in zones.sample_points(points, pixels, "v", "a.b.tif", 0.0, 0.0, 1.0, -1.0).collect()} == {1: None, 2: 7.0, 3: None}
+    assert {r.point_id: r.a for r in zones.sample_points(points, pixels.withColumn("raster_id", F.lit(0)), "v", "a.b.tif", 0.0, 0.0, 1.0, -1.0).collect()} == {1: None, 2: 7.0, 3: None}
 
 
 def test_layers(spark, tmp_path):
@@ -127,3 +127,26 @@ def test_layers(spark, tmp_path):
     assert layers.list_files(spark, f"{root}/pzones").filter(F.col("filepath").endswith(".parquet")).count() >= 1
     files = spark.createDataFrame([("/a/x.tif",), ("/a/x.TIF",), ("/a/x.Tif",), ("/a/x.JP2",), ("/a/tif",)], "filepath string")
     assert layers.list_bank(files).count() == 3
+
+
+def test_joins_by_place_in_any_unit(spark):
+    """Images of 60 km and zones of 40 m to 90 km in metres: at most four cells of a level for each, and the same pairs as by all pairs."""
+    import random
+
+    from motionfield.functions import geometry as G
+
+    rng = random.Random(2)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    images = [(f"i{k}", x, y, x + s, y + s) for k in range(12) for s in [rng.choice([60_000.0, 900.0, 15.0])] for x, y in [(rng.uniform(6e5, 7e5), rng.uniform(4.9e6, 5e6))]]
+    zone = [(k, rng.uniform(6e5, 7e5), rng.uniform(4.9e6, 5e6), s, s / 2) for k in range(15) for s in [rng.choice([40.0, 3_000.0, 90_000.0])]]
+    edges = lambda ring: [{"x1": a[0], "y1": a[1], "x2": b[0], "y2": b[1]} for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    zs = spark.createDataFrame([(k, edges(box(*z))) for k, *z in zone], "zone_id int, edges array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    ims = spark.createDataFrame([(n, dict(zip(("xmin", "ymin", "xmax", "ymax"), b, strict=True))) for n, *b in images], "filepath string, extent struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    want = {(n, k) for n, x1, y1, x2, y2 in images for k, x, y, w, h in zone if x1 <= x + w and x2 >= x and y1 <= y + h and y2 >= y}
+    got = [(r.filepath, r.zone_id) for r in catalog.images_on_zones(ims, zs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    points = [(k, rng.uniform(6e5, 8e5), rng.uniform(4.9e6, 5.1e6)) for k in range(300)]
+    hits = {(r.k, r.zone_id) for r in zones.zonal_join(spark.createDataFrame(points, "k int, x double, y double"), zs).collect()}
+    assert hits == {(p, k) for p, px, py in points for k, x, y, w, h in zone if x < px < x + w and y < py < y + h} and hits
+    cells = ims.withColumn("s", F.pow(F.lit(2.0), G.level(F.col("extent"))))
+    assert cells.select(F.max(F.size(G.cell_range(F.col("extent.xmin"), F.col("extent.xmax"), F.col("s"))))).first()[0] <= 2

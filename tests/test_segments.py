@@ -114,3 +114,19 @@ def test_matching_finds_a_shift(spark, tile):
     by_tile = {(r.row, r.col): r.cc for r in matching.corr_eval_tiles(df, disp, 5, 3, tile).collect()}
     assert by_join.keys() == by_tile.keys()
     assert all((by_join[k] is None) == (by_tile[k] is None) and (by_join[k] is None or abs(by_join[k] - by_tile[k]) < 1e-6) for k in by_join)
+
+
+def test_moving_areas_keep_zones_apart_and_gaps_empty(spark):
+    """Zones whose names share their digits, or have none, stay apart; the closing fills no cell without data."""
+    from motionfield.plans import flows
+
+    rng, rows, pairs = np.random.default_rng(5), [], []
+    for k, zone in enumerate(["pz1", "pz_1", "north"]):
+        fast = np.zeros((8, 8), bool)
+        fast[2 : 4 + k, 2:6] = True
+        pairs.append((k, zone, "complete"))
+        rows += [(k, r, c, float(fast[r, c] * 5 + rng.random() * 0.1)) for r in range(8) for c in range(8) if (r, c) != (2, 3)]
+    pix = spark.createDataFrame(rows, "raster_id int, row int, col int, dx double")
+    meta = spark.createDataFrame(pairs, "raster_id int, pz_name string, pa_status string")
+    got = {(r.zone, r.component): r.n for r in flows.moving_areas(pix, meta, "dx", 8, 8, 1.0, -1.0, box=3).collect()}
+    assert got == {("pz1", 18): 7, ("pz_1", 18): 11, ("north", 18): 15}

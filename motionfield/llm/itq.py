@@ -1,10 +1,12 @@
 """Embedding near-duplicates by iterative quantisation.
 
 Rotations of the principal axes are learned so that vectors lie close to the
-corners of the binary cube, with a median threshold for each bit so that codes
-are balanced.  The codes are cut into tables of ``table_bits`` bits; vectors
-that agree in a table are candidates (several hash tables over one long code),
-and candidates are ranked again by the cosine of the original vectors.
+corners of the binary cube, with a threshold at the median of each bit so that
+codes are balanced.  The codes are cut into tables of ``table_bits`` bits
+(multi-index hashing).  A table is probed within a Hamming radius of 1: its
+bits are cut into ``GROUPS`` groups, and codes that differ in one bit, or in
+any bits of one group, agree in a key made of the other groups.  Candidates
+are ranked again by the cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .links import cell_units, components, local_labels, units_of, with_payload
+from .links import BLOCK, cell_units, components, local_labels, units_of, with_payload
 from .simhash import mixed
 
 
+#: Groups of a table's bits, of which one is left out of each key.
+GROUPS = 4
+
+
 class Itq:
-    """Learned codes: ``fit`` on a sample of unit vectors, ``cells`` for any."""
+    """Learned codes: ``fit`` on a sample of unit vectors, ``codes`` for any; a code has ``tables`` times ``table_bits`` bits."""
 
     def __init__(self, tables: int, table_bits: int):
         self.tables, self.table_bits = tables, table_bits
@@ -38,103 +44,152 @@ class Itq:
                 r = (u @ w).T
             maps.append(axes @ r)
         self.maps = np.concatenate(maps, axis=1)[:, : self.tables * self.table_bits]
-        self.cut = np.median((x - self.mean) @ self.maps, axis=0)
+        # between two projections, so that no fitted vector lies on a threshold
+        ranked = np.sort((x - self.mean) @ self.maps, axis=0)
+        self.cut = (ranked[(len(x) - 1) // 2] + ranked[min(len(x) - 1, (len(x) - 1) // 2 + 1)]) / 2
         return self
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """A cell for each vector and table."""
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """The code of each vector: a 64-bit word for each table."""
         bit = ((x - self.mean) @ self.maps > self.cut).reshape(len(x), self.tables, self.table_bits)
-        key = bit @ (1 << np.arange(self.table_bits, dtype=np.uint64)) + (np.arange(1, self.tables + 1, dtype=np.uint64) << np.uint64(self.table_bits))
-        return mixed(key, 1).view(np.int64)
+        return bit @ (np.uint64(1) << np.arange(self.table_bits, dtype=np.uint64))
+
+
+def table_keys(codes: np.ndarray, table_bits: int) -> np.ndarray:
+    """The keys of codes: for each table the words with one group of bits left out, not yet mixed."""
+    edge = np.linspace(0, table_bits, GROUPS + 1).astype(np.int64)
+    masks = np.array([(1 << table_bits) - 1 ^ ((1 << int(hi)) - (1 << int(lo))) for lo, hi in zip(edge[:-1], edge[1:], strict=True)], np.uint64)
+    keys = codes[:, :, None] & masks
+    number = np.arange(1, codes.shape[1] * GROUPS + 1, dtype=np.uint64).reshape(codes.shape[1], GROUPS)
+    return (keys | number << np.uint64(table_bits)).reshape(len(codes), -1)
+
 
+def cell_of(key: np.ndarray, size) -> np.ndarray:
+    """A 64-bit cell for each key: one to one among vectors of one size."""
+    return mixed(mixed(key, 1) + np.asarray(size, np.uint64), 1).view(np.int64)
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    # scaled first: squares of very large or small components stay within range
+    x /= np.abs(x).max(axis=1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _clean(batches):
-    """(id, raw, size): the vector's bytes, null where it can link with nothing."""
-    for b in batches:
-        raw, sizes = [], []
-        for v in b.column("v").to_pylist():
-            ok = v and all(c is not None for c in v)
-            x = np.array(v, "<f4") if ok else None
-            ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
-            raw.append(x.tobytes() if ok else None)
-            sizes.append(len(v) if ok else None)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(raw, pa.binary()), pa.array(sizes, pa.int32())], ["id", "raw", "size"])
+def _clean(kind):
+    def run(batches):
+        """(id, raw, size): the vector's bytes, null where it can link with nothing."""
+        for b in batches:
+            raw, sizes = [], []
+            for v in b.column("v").to_pylist():
+                ok = v and all(c is not None for c in v)
+                x = np.array(v, kind) + 0.0 if ok else None  # one zero
+                ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
+                raw.append(x.tobytes() if ok else None)
+                sizes.append(len(v) if ok else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(raw, pa.binary()), pa.array(sizes, pa.int32())], ["id", "raw", "size"])
+
+    return run
+
+
+def _code(models, kind):
+    """Adds each vector's code, in words of 64 bits; rows of a batch may differ in size."""
+
+    def run(batches):
+        for b in batches:
+            sizes, raw, out = b.column("size").to_numpy(zero_copy_only=False), b.column("raw").to_pylist(), [b""] * b.num_rows
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size).tolist()
+                if size in models:
+                    for k, code in zip(rows, models[size].codes(unit_rows([raw[k] for k in rows], kind)), strict=True):
+                        out[k] = code.astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "code"])
+
+    return run
 
 
-def _cells(model):
+def _cells(table_bits):
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                cell = model.cells(unit_rows(b.column("raw").to_pylist()))
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(ids, cell.shape[1]))], ["cell", "id"])
+            code, size, ids = b.column("code").to_pylist(), b.column("size").to_numpy(zero_copy_only=False).astype(np.uint64), b.column("id").to_numpy(zero_copy_only=False)
+            few = np.array([not c for c in code], bool)
+            if few.any():
+                # too few of this size for codes: all in one cell
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(size[few], 2).view(np.int64)), pa.array(ids[few])], ["cell", "id"])
+            if not few.all():
+                key = table_keys(np.frombuffer(b"".join(code), np.uint64).reshape(int((~few).sum()), -1), table_bits)
+                cell = cell_of(key, size[~few][:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(ids[~few], cell.shape[1]))], ["cell", "id"])
 
     return run
 
 
-def _compare(model, least):
+def _compare(table_bits, least, kind):
     def run(batches):
         for b in batches:
             out = [[], [], []]
             for cell, side, ids, load in units_of(b):
-                many = load.field("n").to_numpy()
-                x = unit_rows(load.field("raw").to_pylist())
-                near = x @ x.T >= least
-                np.fill_diagonal(near, False)
-                if side.any():
-                    near &= side[:, None] != side[None, :]
-                hot = np.flatnonzero(near.any(axis=1))
-                if not len(hot):
-                    continue
-                near, ids, many = near[np.ix_(hot, hot)], ids[hot], many[hot]
-                label = ids[local_labels(near)]
-                # a pair counts in the first table that both share
-                key = model.cells(x[hot])
-                table = int(np.flatnonzero((key == cell).all(axis=0))[0])
-                counted = near.copy()
-                for t in range(table):
-                    counted &= key[:, t][:, None] != key[:, t][None, :]
-                out[0].append(ids), out[1].append(label), out[2].append(counted @ many)
+                raw, many = load.field("raw").to_pylist(), load.field("n").to_numpy()
+                code, sizes = load.field("code").to_pylist(), np.array([len(x) for x in raw])
+                # different cells may have one hash: only vectors of one size are compared
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    x = unit_rows([raw[k] for k in at.tolist()], kind)
+                    near = x @ x.T >= least
+                    np.fill_diagonal(near, False)
+                    if side.any():
+                        near &= side[at][:, None] != side[at][None, :]
+                    hot = np.flatnonzero(near.any(axis=1))
+                    if not len(hot):
+                        continue
+                    near, who = near[np.ix_(hot, hot)], at[hot]
+                    out[0].append(ids[who]), out[1].append(ids[who][local_labels(near)])
+                    if code[who[0]]:
+                        # a pair counts in the first cell that both share; words and cells of one size correspond
+                        key = table_keys(np.frombuffer(b"".join(code[k] for k in who.tolist()), np.uint64).reshape(len(who), -1), table_bits)
+                        t = int(np.flatnonzero((cell_of(key, size // np.dtype(kind).itemsize) == cell).all(axis=0))[0])
+                        for u in range(t):
+                            near &= key[:, u][:, None] != key[:, u][None, :]
+                    out[2].append(near @ many[who])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b", "links"])
 
     return run
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, least: float = 0.95, tables: int = 25, table_bits: int = 20, fit_rows: int = 20_000) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, least: float = 0.95, tables: int = 11, table_bits: int = 28, fit_rows: int = 20_000) -> DataFrame:
     """(id, n_links, component): a row for each row of ``vectors``.
 
     Links are found pairs with a cosine of ``least`` or more, in double
     precision.  Equal vectors are one class: they link with each other and
     enter the tables once.  Codes are learned from at most ``fit_rows``
-    vectors; all vectors are indexed and looked up.
+    vectors (1,024 of each length, if there are many lengths); all vectors are
+    indexed and looked up.  A code is formed once and travels with its vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, nor do those whose length isn't the commonest (the
-    smaller of two as common); a null id takes part in no minimum; rows that
-    repeat link with each other; other columns are not read; an empty table
-    gives an empty result.
+    link with nothing; vectors of different lengths don't link; a null id
+    takes part in no minimum; rows that repeat link with each other; other
+    columns are not read; an empty table gives an empty result.
     """
-    rows = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(_clean, "id long, raw binary, size int"), "itq-rows", "snappy")
-    common = rows.filter("size is not null").groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    if not common:
-        return alone
-    used = F.coalesce(F.col("size") == common[0][0], F.lit(False))
-    classes = materialize(rows.filter(used).groupBy("raw").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "itq-classes", "snappy")
-    sample = classes.select("raw", F.xxhash64("raw").alias("h")).orderBy("h").limit(fit_rows).select("raw").toPandas()
-    model = Itq(tables, table_bits).fit(unit_rows(list(sample["raw"])))
-    units = cell_units(classes.select("id", "raw").mapInArrow(_cells(model), "cell long, id long"), "itq")
-    load = classes.select("id", F.struct("raw", "n").alias("load"))
-    found = materialize(with_payload(units, load, "itq").mapInArrow(_compare(model, least), "a long, b long, links long"), "itq-links")
+    kind = "<f8" if "double" in vectors.schema[vector_col].dataType.simpleString() else "<f4"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_clean(kind), "id long, raw binary, size int")
+    rows = materialize(rows, "itq-rows", "snappy")
+    classes = rows.filter("size is not null").groupBy("size", "raw").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "itq-classes", "snappy")
+    # lengths with more vectors than are compared at once get codes; each of these stands for over BLOCK rows
+    sizes = [r[0] for r in classes.groupBy("size").count().filter(F.col("count") > BLOCK).select("size").orderBy("size").collect()]
+    models = {}
+    for size in sizes:
+        of = classes.filter(F.col("size") == size).select("raw", F.xxhash64("raw").alias("h")).orderBy("h", "raw").limit(max(BLOCK, fit_rows // len(sizes)))
+        models[size] = Itq(tables, table_bits).fit(unit_rows([bytes(r.raw) for r in of.select("raw").collect()], kind))
+    coded = materialize(classes.mapInArrow(_code(models, kind), "size int, raw binary, least long, n long, id long, code binary"), "itq-codes", "snappy")
+    units = cell_units(coded.select("id", "size", "code").mapInArrow(_cells(table_bits), "cell long, id long"), "itq")
+    load = coded.select("id", F.struct("raw", "n", "code").alias("load"))
+    found = materialize(with_payload(units, load, "itq").mapInArrow(_compare(table_bits, least, kind), "a long, b long, links long"), "itq-links")
     linked = components(found.select("a", "b"), "itq")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
-    named = classes.join(linked, "id", "left").join(links, "id", "left").select("raw", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    named = coded.select("raw", "id", "least", "n").join(linked, "id", "left").join(links, "id", "left").select("raw", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
     top = named.groupBy("c").agg(F.min("least").alias("component"))
     of_class = named.join(top, "c").select("raw", "n_links", "component")
-    return rows.filter(used).join(of_class, "raw").select("id", "n_links", "component").unionByName(rows.filter(~used).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+    there = rows.filter("size is not null").join(of_class, "raw").select("id", "n_links", "component")
+    return there.unionByName(rows.filter("size is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))

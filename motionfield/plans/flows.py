@@ -42,6 +42,16 @@ def cut_scenes(scenes: DataFrame, pixels: DataFrame, polygons: DataFrame) -> Dat
     return raster.mosaic(inside, ["th_path", "row", "col"])
 
 
+def process_project(pixels: DataFrame, value: str, pairs: DataFrame, px: float, py: float, origin: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """``process_pairs`` from the thumbs' pixels (raster_id, row, col, value): each pair is clipped to its common area first.
+
+    ``pairs``: pair_id, left_id, right_id, pz_name, left_year, right_year;
+    ``origin`` (raster_id, row0, col0) places the rasters on one grid.
+    """
+    clipped = materialize(raster.clip_pair(pixels, pairs.select("pair_id", "left_id", "right_id"), value, origin), "clipped")
+    return process_pairs(clipped, pairs.drop("left_id", "right_id"), px, py, **how)
+
+
 def process_pairs(clipped: DataFrame, pairs: DataFrame, px: float, py: float, *, kernel: int = 7, search: int = 10, threshold: float = 10.0, vector_size: float | None = 20.0) -> tuple[DataFrame, DataFrame]:
     """(vectors, log) of pairs (pair_id, pz_name, left_year, right_year): match, evaluate, resample, attributes.
 

@@ -623,7 +623,7 @@ def _g5_polygonize(spark, d):
 # ---- matching ---------------------------------------------------------------------------------
 
 
-def match_sql(k: int, s: int) -> str:
+def match_sql(k: int, s: int, source: str = "{match_pairs}", ctes: str = "") -> str:
     off = f"range(-{s}, {s + 1})"
 
     def best(n: str, left: str, right: str) -> str:
@@ -633,9 +633,9 @@ def match_sql(k: int, s: int) -> str:
         {n}s AS MATERIALIZED (SELECT o.pair_id, o.row, o.col, dy, dx, count(*) AS n, corr(lv, v) AS s FROM {n}l o JOIN {right} r ON r.pair_id = o.pair_id AND r.row = rr AND r.col = rc GROUP BY ALL),
         {n} AS MATERIALIZED (SELECT pair_id, row, col, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, row, col ORDER BY round(s, 7) DESC, dy * dy + dx * dx, dy, dx) AS rk FROM {n}s WHERE n = {k * k} AND s IS NOT NULL AND NOT isnan(s)) WHERE rk = 1)"""
 
-    return f"""WITH lf AS MATERIALIZED (SELECT pair_id, row, col, lv AS v FROM {{match_pairs}}), rt AS MATERIALIZED (SELECT pair_id, row, col, rv AS v FROM {{match_pairs}}), {best("fwd", "lf", "rt")}, {best("bwd", "rt", "lf")}
+    return f"""WITH {ctes}lf AS MATERIALIZED (SELECT pair_id, row, col, lv AS v FROM {source}), rt AS MATERIALIZED (SELECT pair_id, row, col, rv AS v FROM {source}), {best("fwd", "lf", "rt")}, {best("bwd", "rt", "lf")}
     SELECT m.pair_id::BIGINT AS pair_id, m.row, m.col, CASE WHEN ok THEN f.dx::DOUBLE + 0.0 END AS dx, CASE WHEN ok THEN f.dy::DOUBLE + 0.0 END AS dy, CASE WHEN ok THEN 1 ELSE 0 END AS good
-    FROM {{match_pairs}} m LEFT JOIN fwd f ON f.pair_id = m.pair_id AND f.row = m.row AND f.col = m.col LEFT JOIN bwd b ON b.pair_id = m.pair_id AND b.row = m.row + f.dy AND b.col = m.col + f.dx
+    FROM {source} m LEFT JOIN fwd f ON f.pair_id = m.pair_id AND f.row = m.row AND f.col = m.col LEFT JOIN bwd b ON b.pair_id = m.pair_id AND b.row = m.row + f.dy AND b.col = m.col + f.dx
     CROSS JOIN LATERAL (SELECT coalesce(abs(f.dx + b.dx) <= 10 AND abs(f.dy + b.dy) <= 10, false) AS ok)"""
 
 
@@ -688,11 +688,39 @@ def _d1_sieve(spark, d):
     return flows.sieve(images, zone, done).select("th_path", F.array_join("files", ",").alias("files"))
 
 
-@query()
+CLIP = """pr AS (SELECT raster_id AS pair_id, raster_id AS left_id, raster_id + 1 AS right_id FROM {pair_meta}),
+  pl AS (SELECT raster_id, row + raster_id % 3 AS row, col + raster_id % 2 AS col, dx FROM {pix}),
+  clip AS MATERIALIZED (SELECT pair_id, l.row, l.col, l.dx AS lv, r.dx AS rv FROM pr JOIN pl l ON l.raster_id = left_id JOIN pl r ON r.raster_id = right_id AND r.row = l.row AND r.col = l.col), """
+FIELD = match_sql(3, 1, "clip", CLIP)
+D2 = f"""{FIELD[: FIELD.rindex("SELECT m.pair_id")].rstrip()}, disp AS MATERIALIZED ({FIELD[FIELD.rindex("SELECT m.pair_id") :]}),
+  o AS MATERIALIZED (SELECT pair_id, row, col, row + y AS lr, col + x AS lc, row + y + dy::INT AS rr, col + x + dx::INT AS rc FROM disp CROSS JOIN range(-1, 2) a(y) CROSS JOIN range(-1, 2) b(x) WHERE dx IS NOT NULL),
+  ol AS MATERIALIZED (SELECT o.*, lv FROM o JOIN clip c ON c.pair_id = o.pair_id AND c.row = lr AND c.col = lc),
+  cc AS (SELECT o.pair_id, o.row, o.col, count(*) AS n, corr(o.lv, c.rv) AS s FROM ol o JOIN clip c ON c.pair_id = o.pair_id AND c.row = rr AND c.col = rc GROUP BY ALL),
+  cells AS (SELECT pair_id, CAST(floor(row * 2 / 4.0) AS INT) AS row, CAST(floor(col * 2 / 4.0) AS INT) AS col, avg(dx) AS dx, avg(dy) AS dy, avg(CASE WHEN n = 9 AND NOT isnan(s) THEN s END) AS cc FROM disp LEFT JOIN cc USING (pair_id, row, col) GROUP BY 1, 2, 3)"""
+
+
+def project_pairs(spark, d):
+    meta = view(spark, d, "pair_meta")
+    pairs = meta.select(F.col("raster_id").cast("long").alias("pair_id"), F.col("raster_id").alias("left_id"), (F.col("raster_id") + 1).alias("right_id"), "pz_name", "left_year", "right_year")
+    origin = meta.select("raster_id", (F.col("raster_id") % 3).alias("row0"), (F.col("raster_id") % 2).alias("col0"))
+    return flows.process_project(view(spark, d, "pix"), "dx", pairs, PX, PY, origin, kernel=3, search=1, vector_size=4.0)
+
+
+@query(f"""{D2}, m AS (SELECT c.*, dx * 2 * s AS mx, dy * -2 * s AS my, nullif(abs(left_year - right_year), 0) AS n FROM cells c JOIN (SELECT raster_id, left_year, right_year, CASE WHEN left_year > right_year THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM {{pair_meta}}) ON raster_id = pair_id WHERE dx IS NOT NULL AND dy IS NOT NULL)
+  SELECT pair_id, row, col, round(cc, 6) + 0.0 AS cc, round(dx, 6) + 0.0 AS dx_in_pixels, round(dy, 6) + 0.0 AS dy_in_pixels, round(mx, 6) + 0.0 AS dx_in_meters, round(my, 6) + 0.0 AS dy_in_meters, round(sqrt(mx * mx + my * my), 6) AS d_in_meters,
+  round(mx / n, 6) + 0.0 AS dx_in_meters_per_year, round(my / n, 6) + 0.0 AS dy_in_meters_per_year, round(sqrt(mx * mx + my * my) / n, 6) AS d_in_meters_per_year, round(degrees(atan2(dy + 0.0, dx + 0.0)), 6) AS direction FROM m""")
 def _d2_process_pairs(spark, d):
-    pairs = view(spark, d, "pair_meta").select(F.col("raster_id").cast("long").alias("pair_id"), "pz_name", "left_year", "right_year")
-    vectors, _ = flows.process_pairs(matched(spark, d), pairs, PX, PY, kernel=3, search=1, vector_size=4.0)
-    return r6(vectors, "cc", "dx_in_meters", "dy_in_meters", "d_in_meters")
+    vectors = project_pairs(spark, d)[0]
+    # averages may be zeros of either sign
+    angle = F.degrees(F.atan2(F.col("dy_in_pixels") + F.lit(0.0), F.col("dx_in_pixels") + F.lit(0.0)))
+    return r6(vectors.withColumn("direction", angle), *[c for c in vectors.columns if c not in ("pair_id", "row", "col")])
+
+
+@query(f"""{D2}, outcome AS (SELECT pz_name, CAST(raster_id AS BIGINT) AS k, coalesce(g, 0) AS g FROM {{pair_meta}} LEFT JOIN (SELECT pair_id, max(good) AS g FROM disp GROUP BY 1) ON pair_id = raster_id)
+  SELECT pz_name, coalesce(string_agg(CAST(k AS STRING), ',' ORDER BY k) FILTER (g = 1), '') AS complete, coalesce(string_agg(CAST(k AS STRING), ',' ORDER BY k) FILTER (g = 0), '') AS abort FROM outcome GROUP BY 1""")
+def _d2_log(spark, d):
+    log = project_pairs(spark, d)[1]
+    return log.select("pz_name", F.array_join(F.col("complete").cast("array<string>"), ",").alias("complete"), F.array_join(F.col("abort").cast("array<string>"), ",").alias("abort"))
 
 
 D3 = f"""WITH RECURSIVE done AS (SELECT p.*, pz_name AS zone FROM {{pix}} p JOIN {{pair_meta}} USING (raster_id) WHERE pa_status = 'complete'), {kmeans_sql('done', 'raster_id', 'dx', name='p')},

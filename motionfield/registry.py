@@ -5,6 +5,7 @@ Doubles are rounded to 6 digits on both sides, counts are BIGINT.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import displacement as D
 from .functions import naming
 from .operators import catalog, matching, profiles, raster, segment, zones
 from .plans import flows
+from .schemas import LAYERS
 from .sources import layers
 from .storage import fresh_path
 
@@ -68,6 +70,18 @@ def _s1_zone_names(spark, d):
     return layers.zone_names(layers.read_layers(spark, root, 2154, ("pzones",))["pzones"])
 
 
+@query("SELECT layer, pz_name, count(*)::BIGINT AS n FROM (SELECT unnest(['thumbs', 'pairs', 'pzones', 'geomorphs', 'xzones', 'spines']) AS layer, ge_pz_name AS pz_name FROM {zones}) GROUP BY 1, 2")
+def _s1_read_layers(spark, d):
+    root, rows = fresh_path(spark, "project"), view(spark, d, "zones")
+    value = lambda f: F.col("ge_pz_name") if f.name.endswith("pz_name") else F.lit(2154 if f.name == "epsg" else None).cast(f.dataType)
+    for name, schema in LAYERS.items():
+        layers.write_layer(rows.select(*[value(f).alias(f.name) for f in spark.createDataFrame([], schema).schema]), root, name)
+    found = layers.read_layers(spark, root, 2154)
+    zone = lambda df: next(c for c in df.columns if c.endswith("pz_name"))
+    counts = [df.groupBy(F.lit(name).alias("layer"), F.col(zone(df)).alias("pz_name")).agg(F.count("*").alias("n")) for name, df in found.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 @query("SELECT event_id, filepath FROM {bank_files} WHERE NOT ends_with(filepath, '.png')")
 def _s2_list_bank(spark, d):
     return layers.list_bank(view(spark, d, "bank_files"))
@@ -688,6 +702,21 @@ def _d1_sieve(spark, d):
     return flows.sieve(images, zone, done).select("th_path", F.array_join("files", ",").alias("files"))
 
 
+@query(f"""WITH {BANK}, {MET}, sc AS (SELECT zone_id, filepath, concat('/thumbs/', CAST(zone_id AS STRING), '/opticals/', CAST(zone_id AS STRING), '_', acq_date, '_', sensor, '.tif') AS th_path FROM met WHERE acq_date IS NOT NULL),
+  cells AS (SELECT filepath, i.r - y0::INT AS row, x0::INT + j.c AS col, x0 + j.c + 0.5::DOUBLE AS x, y0 - i.r - 0.5::DOUBLE AS y FROM {{bank_headers}}, range(0, 4) i(r), range(0, 4) j(c))
+  SELECT th_path, row::INT AS row, col::INT AS col, round(arg_min(length(filepath) + row * 0.25::DOUBLE + (length(filepath) % 7) * 0.5::DOUBLE, filepath), 6) + 0.0 AS value
+  FROM sc JOIN zb USING (zone_id) JOIN cells USING (filepath) WHERE x BETWEEN a AND c AND y BETWEEN b AND d GROUP BY 1, 2, 3""")
+def _d1_cut_scenes(spark, d):
+    images, zone = bank(spark, d), polygons(spark, d)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    cells = view(spark, d, "bank_headers").select("filepath", "x0", "y0", steps.alias("i")).withColumn("j", steps)
+    size = F.length("filepath")
+    pixels = cells.select("filepath", (F.col("i") - F.col("y0").cast("int")).alias("row"), (F.col("x0").cast("int") + F.col("j")).alias("col"), (F.col("x0") + F.col("j") + 0.5).alias("x"), (F.col("y0") - F.col("i") - 0.5).alias("y"))
+    pixels = pixels.withColumn("value", size + F.col("row") * 0.25 + (size % 7) * 0.5)
+    scenes = flows.sieve(images, zone, spark.createDataFrame([], "th_path string"))
+    return r6(flows.cut_scenes(scenes, pixels, zone), "value")
+
+
 CLIP = """pr AS (SELECT raster_id AS pair_id, raster_id AS left_id, raster_id + 1 AS right_id FROM {pair_meta}),
   pl AS (SELECT raster_id, row + raster_id % 3 AS row, col + raster_id % 2 AS col, dx FROM {pix}),
   clip AS MATERIALIZED (SELECT pair_id, l.row, l.col, l.dx AS lv, r.dx AS rv FROM pr JOIN pl l ON l.raster_id = left_id JOIN pl r ON r.raster_id = right_id AND r.row = l.row AND r.col = l.col), """

@@ -38,9 +38,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_layer(df: DataFrame, root: str, layer: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Replaces a layer: writes beside it, then points the layer's folder to the new version.
+    """Replaces a layer: writes the new version beside it, then moves it to the old one's place.
 
-    Readers see the old version until the new one is complete.
+    The old version stays until the new one is complete, and is put back if
+    the move fails; between the two moves the layer has no folder for a
+    moment, so a job that opens it just then has to be repeated.
     """
     spark = df.sparkSession
     version = f"{root}/.versions/{layer}-{uuid.uuid4().hex}"
@@ -54,7 +56,10 @@ def write_layer(df: DataFrame, root: str, layer: str, partition_by: tuple[str, .
         raise OSError(f"can't move {target}")
     fs.mkdirs(target.getParent())
     if not fs.rename(path(version), target):
+        if fs.exists(old):
+            fs.rename(old, target)
         raise OSError(f"can't move {version} to {target}")
+    fs.delete(old, True)
     return f"{root}/{layer}"
 
 

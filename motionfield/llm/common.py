@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["LAST_ID", "ascii_words", "bounds", "crc_mod", "materialize", "partitions", "shared_dir", "slices", "with_row_key"]
+__all__ = ["LAST_ID", "ascii_words", "bounds", "crc_mod", "materialize", "partitions", "shared_dir", "slices", "text_key", "with_row_key"]
 
 #: Rows without an id are ordered after every row that has one.
 LAST_ID = 2**63 - 1
@@ -18,9 +18,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_key(text):
+    return F.xxhash64(text)
+
+
 def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds ``mf_id`` (the id, null last) and ``mf_key`` (a hash of the text): rows equal in both are the same document."""
-    return df.withColumns({"mf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "mf_key": F.xxhash64(F.col(text_col))})
+    return df.withColumns({"mf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "mf_key": text_key(F.col(text_col))})
 
 
 def ascii_words(text: str | None) -> list[bytes]:

@@ -19,6 +19,8 @@ from .common import materialize, partitions
 __all__ = ["cell_units", "components", "local_labels", "units_of", "with_payload"]
 
 BLOCK = 1024
+#: Tasks that share the pairs of chunks of a cell with over BLOCK rows.
+SALTS = 16
 
 
 def _gather(block: int):
@@ -74,8 +76,10 @@ def cell_units(cells: DataFrame, tag: str, block: int = BLOCK) -> DataFrame:
     )
     within = grouped.filter(F.size("ids") >= 2).select("cell", F.col("ids").alias("left"), F.lit(None).cast("array<long>").alias("right"))
     big = grouped.filter("many").select("cell", "chunk", "ids")
-    other = big.select("cell", F.col("chunk").alias("chunk2"), F.col("ids").alias("right"))
-    across = big.withColumnRenamed("ids", "left").join(other, "cell").filter("chunk < chunk2").select("cell", "left", "right")
+    # the pairs of a cell's chunks are dealt to SALTS tasks by the right chunk
+    other = big.select("cell", (F.col("chunk") % SALTS).alias("salt"), F.col("chunk").alias("chunk2"), F.col("ids").alias("right"))
+    left = big.withColumnRenamed("ids", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    across = left.join(other, ["cell", "salt"]).filter("chunk < chunk2").select("cell", "left", "right")
     return within.unionByName(across)
 
 

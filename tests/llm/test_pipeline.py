@@ -49,7 +49,7 @@ def test_stages_on_edges(spark):
     body = " ".join(f"w{rng.randrange(900)}" for _ in range(300))
     rows = [(1, body), (2, body), (None, body), (3, None), (4, ""), (5, body + " end"), (6, "short text"), (6, "short text")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, docs, SF).collect()) == [0, 1, 3, 6, 6]
+    assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, docs, SF).collect()) == [1, 3, 6]
     cut = {r.doc_id: r for r in P.repeated_passages(spark, docs, SF).collect()}
     assert cut[1].text == body and cut[2].text == "" and cut[2].n_chars == 0 and cut[5].text == "end" and cut[3].text is None and cut[6].text == "short text"
     assert len(P.benchmark_passages(spark, docs, SF).collect()) == len(rows)
@@ -58,5 +58,26 @@ def test_stages_on_edges(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_near_dedup_judges_rows_by_their_own_text(spark):
+    rng = random.Random(1)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (7, a), (7, b), (None, c), (None, c), (9, b), (7, b), (2, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()) == sorted([(1, a), (7, b), (2, c + " more")])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like an operator's own come through with their values."""
+    names = ["mf_id", "mf_key", "score", "top_passage", "n_words", "n_removed", "kept_text", "spans", "factors", "id", "key", "stay", "label", "mf_text", "mf_pieces", "own_column_3"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    for name, stage in P.STAGES[:-1]:
+        plain = sorted(map(tuple, stage(spark, docs, SF).collect()), key=str)
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert sorted((tuple(r)[:5] for r in rows), key=str) == plain and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+
+
 def test_query(spark):
     assert pipeline(spark, "/root/testdata/sf0.001").count() > 0

@@ -125,17 +125,19 @@ def _cells(grids, words):
 def hamming_links(side, ids, load, radius: int, words: int):
     """Star links of one unit: (member id, first id of its local component)."""
     raw = np.frombuffer(b"".join(load.to_pylist()), np.uint8).reshape(len(ids), 8 * words)
-    bit = np.unpackbits(raw, axis=1).astype(np.float32)
-    # Manhattan distance of byte counts bounds the Hamming distance from below
-    if len(ids) == 2:
-        count = bit.reshape(2, -1, 8).sum(axis=2)
-        if np.abs(count[0] - count[1]).sum() > radius or (bit[0] != bit[1]).sum() > radius:
-            return ids[:0], ids[:0]
-        return ids[1:], ids[:1]
-    near = bit @ (1 - bit).T
-    near = near + near.T <= radius
+    # Manhattan distance of the segments' bit counts bounds the Hamming distance from below
+    count, low = np.bitwise_count(raw).astype(np.int16), np.zeros((len(ids), len(ids)), np.int16)
+    for segment in count.T:
+        low += np.abs(segment[:, None] - segment[None, :])
+    near = np.triu(low <= radius, 1)
     if side.any():
         near &= side[:, None] != side[None, :]
+    # what is left is verified bit by bit
+    a, b = np.nonzero(near)
+    word = raw.view(np.uint64)
+    true = np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= radius
+    near[:] = False
+    near[a[true], b[true]] = near[b[true], a[true]] = True
     label = local_labels(near)
     moved = label != np.arange(len(ids))
     return ids[moved], ids[label[moved]]

@@ -1,8 +1,10 @@
 """WARC archives (a gzip member for each record) written and read as chunked record tables.
 
-Records go to archives as streams: the writer hashes a payload once and
-writes it in pieces; the reader yields rows (record, chunk number, bytes)
-with the digest of all bytes so far, so neither holds a record whole.
+Digests decide which records revisit others, so they are formed before any
+record is written.  Records go to archives as streams: the writer sends views
+of a payload in pieces; the reader yields rows (record, chunk number, bytes)
+with the running digest of all bytes so far, and neither holds a second copy
+of a record or a record whole.
 """
 
 from __future__ import annotations

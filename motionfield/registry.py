@@ -100,6 +100,13 @@ def _s4_write_thumbs(spark, d):
     return spark.read.parquet(layers.write_thumbs(thumbs(spark, d).select("th_path", "th_valid", "th_pz_name", "th_date"), root)).withColumn("th_date", F.col("th_date").cast("string"))
 
 
+@query(f"WITH {T}, {P} SELECT k AS pa_key, pz AS pa_pz_name, lpath AS pa_left_path, rpath AS pa_right_path FROM pairs")
+def _s4_write_pairs(spark, d):
+    root = fresh_path(spark, "project")
+    pairs = catalog.make_pairs(thumbs(spark, d)).select("pa_key", "pa_pz_name", "pa_left_path", "pa_right_path")
+    return spark.read.parquet(layers.write_pairs(pairs, root))
+
+
 @query("SELECT concat('k', CAST(raster_id AS STRING)) AS pa_key, row, col, concat('20_k', CAST(raster_id AS STRING), 'shift') AS layer FROM {pix}")
 def _s5_write_vectors(spark, d):
     root = fresh_path(spark, "project")

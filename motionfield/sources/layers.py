@@ -46,7 +46,8 @@ def write_layer(df: DataFrame, root: str, layer: str, partition_by: tuple[str, .
     """
     spark = df.sparkSession
     version = f"{root}/.versions/{layer}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    # few files for each folder, yet a large folder's rows are still split
+    writer = df.hint("rebalance", *map(F.col, partition_by)).write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(version)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path

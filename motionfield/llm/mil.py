@@ -1,7 +1,7 @@
 """Multiple-instance learning from document labels.
 
 ``NoisyOr``: sentence scores from hashed words, combined by noisy-or.
-``GatedAttention``: encoded passages, weighted by a learned gated attention.
+``GatedAttention``: passages encoded by their words and by counts, weighted by a learned gated attention.
 
 Both are fitted in numpy on a bounded sample of labelled rows, and score
 whole texts in Arrow batches.
@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import bounds, crc_mod, slices
+from .common import bounds, crc_mod, materialize, slices
 
 PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 #: Sentence ends become line ends, other ASCII punctuation becomes blanks.
@@ -24,7 +24,7 @@ TO_SENTENCES = bytes.maketrans(PUNCTUATION, bytes(10 if chr(c) in ".!?\n" else 3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: int = 5) -> DataFrame:
-    """(text, y) of at most ``most`` labelled documents, the first by a hash of the id.
+    """(h, text, y) of at most ``most`` labelled ids, the first by a hash of the id; rows that repeat an id all come.
 
     Held-out rows (crc32 of the id modulo ``fold`` is 0) and rows with a null
     id or label are left out; of several labels of an id the largest holds.
@@ -32,7 +32,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", fold) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max(F.col(label)).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("y").cast("int").alias("y"))
+
+
+#: Most bytes of encoded sample rows that come to the driver.
+FIT_BYTES = 192 << 20
+
+
+def bounded_rows(encoded: DataFrame, most: int, most_bytes: int, tag: str) -> list[Row]:
+    """The first of ``encoded`` (h, size, ...) by h: at most ``most`` rows, and no more than ``most_bytes`` of them but for one."""
+    encoded = materialize(encoded, tag)
+    sizes = [r["size"] for r in encoded.select("h", "size").orderBy("h", "size").limit(most).collect()]
+    n = int(np.searchsorted(np.cumsum(sizes), most_bytes, "right")) if sizes else 0
+    return encoded.orderBy("h", "size").limit(max(n, min(1, len(sizes)))).collect()
 
 
 # ---- sentences of hashed words -------------------------------------------------
@@ -68,7 +80,7 @@ class NoisyOr:
         self.bits = bits
         self.known: dict[bytes, float] = {}
 
-    def fit(self, documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_docs: int = 1, epochs: int = 120, rate: float = 0.3, sparsity: float = 1.5) -> NoisyOr:
+    def fit(self, documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_docs: int = 1, epochs: int = 120, rate: float = 0.3, sparsity: float = 0.3) -> NoisyOr:
         """documents: as from ``features``."""
         seen = np.zeros(1 << self.bits, np.int64)
         for w, _ in documents:
@@ -124,24 +136,26 @@ class NoisyOr:
 def _sentence_rows(bits):
     def run(batches):
         for b in slices(batches, 4 << 20):
-            words, starts = [], []
+            words, starts, size = [], [], []
             for text in b.column("text").to_pylist():
                 w, at = features(sentences(text), bits)
                 words.append(w.tobytes())
                 starts.append(at.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(starts, pa.binary()), b.column("y")], ["words", "starts", "y"])
+                size.append(len(words[-1]) + len(starts[-1]))
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(size, pa.int64()), pa.array(words, pa.binary()), pa.array(starts, pa.binary()), b.column("y")], ["h", "size", "words", "starts", "y"])
 
     return run
 
 
-def fit_noisy_or(sample: DataFrame, bits: int = 20) -> NoisyOr:
+def fit_noisy_or(sample: DataFrame, bits: int = 20, *, most: int = 16_000, most_bytes: int = FIT_BYTES) -> NoisyOr:
     """Fits on all features of ``sample``: none is left out for being rare or common.
 
-    Four bytes for each feature of the bounded sample come to the driver.
+    Four bytes for each feature come to the driver, of the first ``most`` rows
+    by a hash and at most ``most_bytes``, however long or often repeated they are.
     """
-    got = sample.mapInArrow(_sentence_rows(bits), "words binary, starts binary, y int").toPandas()
-    documents = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32).astype(np.int64)) for w, s in zip(got["words"], got["starts"], strict=True)]
-    return NoisyOr(bits).fit(documents, got["y"].to_numpy(np.int64))
+    got = bounded_rows(sample.mapInArrow(_sentence_rows(bits), "h long, size long, words binary, starts binary, y int"), most, most_bytes, "mil-sentences")
+    documents = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.starts, np.int32).astype(np.int64)) for r in got]
+    return NoisyOr(bits).fit(documents, np.array([r.y for r in got], np.int64))
 
 
 def _toxicity(model, text_col, columns):
@@ -180,14 +194,16 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text
 
 PASSAGE = 64
 FEATURES = 16
+#: Learned encodings of words: so many buckets of a word's hash, and numbers for each.
+WORD_BITS, WORD_SIZE = 12, 8
 
 
-def passage_features(text: str | None) -> np.ndarray:
-    """A row for each run of 64 words (one row of zeros for a text without words)."""
+def passage_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(a row for each run of 64 words, the bucket of each word); one row of zeros and no bucket for a text without words."""
     words = text.encode().split() if text else []
     n = len(words)
     if not n:
-        return np.zeros((1, FEATURES), np.float32)
+        return np.zeros((1, FEATURES), np.float32), np.empty(0, np.int16)
     starts = np.arange(0, n, PASSAGE)
     size = np.minimum(PASSAGE, n - starts).astype(np.float64)
     of = np.arange(n) // PASSAGE
@@ -219,7 +235,7 @@ def passage_features(text: str | None) -> np.ndarray:
     symbol = ~(lower | upper | digit | other)
     stop = (flat == 46) | (flat == 44)
     mean = np.bincount(of, length, len(starts)) / size
-    return np.stack(
+    rows = np.stack(
         [
             np.log1p(size) / 4, mean / 8, distinct, most / size, per_word(again), share(lower), share(upper), share(digit), share(other), share(symbol), share(stop), share(symbol & ~stop),
             per_word((first >= 65) & (first <= 90)), per_word(~((last >= 48) & (last <= 57) | (last >= 65) & (last <= 90) | (last >= 97) & (last <= 122) | (last >= 128))),
@@ -227,6 +243,20 @@ def passage_features(text: str | None) -> np.ndarray:
         ],
         axis=1,
     ).astype(np.float32)
+    return rows, (h >> np.uint64(64 - WORD_BITS)).astype(np.int16)
+
+
+class Passages:
+    """The passages of several documents, side by side."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]):
+        self.x = np.concatenate([x for x, _ in found]).astype(np.float64)
+        self.starts = bounds(np.fromiter((len(x) for x, _ in found), np.int64, len(found)))
+        self.words = np.concatenate([w for _, w in found]).astype(np.int64)
+        many = np.fromiter((len(w) for _, w in found), np.int64, len(found))
+        # the passage of each word: a document's passages begin at its first, every PASSAGE words
+        self.of = np.repeat(self.starts[:-1], many) + (np.arange(int(many.sum())) - np.repeat(bounds(many)[:-1], many)) // PASSAGE
+        self.many = np.maximum(1, np.bincount(self.of, minlength=len(self.x)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -234,11 +264,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class GatedAttention:
-    """h = tanh(A x); weight = softmax over a document's passages of w . (tanh(V h) * sigmoid(U h)); score = sigmoid(c . sum of weight * h)."""
+    """x: a passage's counts and the mean of its words' learned encodings E; h = tanh(A x); weight = softmax over a document's passages of w . (tanh(V h) * sigmoid(U h)); score = sigmoid(c . sum of weight * h)."""
 
     def __init__(self, hidden: int = 16, gate: int = 8):
         self.hidden, self.gate = hidden, gate
 
+    def _encoded(self, found: Passages) -> np.ndarray:
+        means = [np.bincount(found.of, self.p["E"][found.words, k], len(found.x)) / found.many for k in range(WORD_SIZE)]
+        return np.column_stack([(found.x - self.mean) / self.scale, *means])
+
     def _forward(self, x: np.ndarray, starts: np.ndarray) -> dict:
         p = self.p
         h = np.tanh(x @ p["A"] + p["a"])
@@ -250,26 +284,25 @@ class GatedAttention:
         z = np.add.reduceat(h * weight[:, None], starts[:-1], axis=0)
         return {"h": h, "v": v, "u": u, "weight": weight, "z": z, "doc": doc, "y": _sigmoid(z @ p["c"] + p["b"])}
 
-    def score(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, found: Passages) -> tuple[np.ndarray, np.ndarray]:
         """The documents' scores and the passages' attention weights."""
-        f = self._forward((x - self.mean) / self.scale, starts)
+        f = self._forward(self._encoded(found), found.starts)
         return f["y"], f["weight"]
 
-    def fit(self, documents: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 5) -> GatedAttention:
+    def fit(self, documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 5) -> GatedAttention:
         rng = np.random.default_rng(seed)
         k, g = self.hidden, self.gate
-        every = np.concatenate(documents) if documents else np.zeros((1, FEATURES))
+        every = np.concatenate([x for x, _ in documents]).astype(np.float64) if documents else np.zeros((1, FEATURES))
         self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
         init = lambda *s: rng.normal(size=s) / np.sqrt(s[0])
-        self.p = {"A": init(FEATURES, k), "a": np.zeros(k), "V": init(k, g), "U": init(k, g), "w": init(g), "c": np.zeros(k), "b": np.zeros(1)}
+        self.p = {"E": rng.normal(size=(1 << WORD_BITS, WORD_SIZE)) * 0.05, "A": init(FEATURES + WORD_SIZE, k), "a": np.zeros(k), "V": init(k, g), "U": init(k, g), "w": init(g), "c": np.zeros(k), "b": np.zeros(1)}
         m1, m2, t = {n: np.zeros_like(x) for n, x in self.p.items()}, {n: np.zeros_like(x) for n, x in self.p.items()}, 0
-        sizes = np.array([len(d) for d in documents], np.int64)
         for _ in range(epochs):
             order = rng.permutation(len(documents))
             for i in range(0, len(order), batch):
                 chosen = order[i : i + batch]
-                x = (np.concatenate([documents[j] for j in chosen]) - self.mean) / self.scale
-                starts = bounds(sizes[chosen])
+                found = Passages([documents[j] for j in chosen])
+                x, starts = self._encoded(found), found.starts
                 f, p = self._forward(x, starts), self.p
                 dy = (f["y"] - y[chosen]) / len(chosen)
                 dz = dy[:, None] * p["c"][None, :]
@@ -280,7 +313,9 @@ class GatedAttention:
                 dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
                 dh += dv @ p["V"].T + du @ p["U"].T
                 da = dh * (1 - f["h"] ** 2)
-                grad = {"A": x.T @ da, "a": da.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+                dmean = (da @ p["A"][FEATURES:].T) / found.many[:, None]
+                de_words = np.column_stack([np.bincount(found.words, dmean[found.of, n], 1 << WORD_BITS) for n in range(WORD_SIZE)])
+                grad = {"E": de_words, "A": x.T @ da, "a": da.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
                 t += 1
                 for n, d in grad.items():
                     m1[n], m2[n] = 0.9 * m1[n] + 0.1 * d, 0.999 * m2[n] + 0.001 * d * d
@@ -290,21 +325,24 @@ class GatedAttention:
 
 def _passage_rows(batches):
     for b in slices(batches, 4 << 20):
-        yield pa.RecordBatch.from_arrays([pa.array([passage_features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary()), b.column("y")], ["x", "y"])
+        found = [passage_features(t) for t in b.column("text").to_pylist()]
+        x, words = ([p[k].tobytes() for p in found] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([len(p) + len(q) for p, q in zip(x, words, strict=True)], pa.int64()), pa.array(x, pa.binary()), pa.array(words, pa.binary()), b.column("y")], ["h", "size", "x", "words", "y"])
 
 
-def fit_attention(sample: DataFrame) -> GatedAttention:
-    got = sample.mapInArrow(_passage_rows, "x binary, y int").toPandas()
-    return GatedAttention().fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(np.float64) for x in got["x"]], got["y"].to_numpy(np.float64))
+def fit_attention(sample: DataFrame, *, most: int = 16_000, most_bytes: int = FIT_BYTES) -> GatedAttention:
+    """Fits on the first ``most`` rows of ``sample`` by a hash, and at most ``most_bytes`` of their encodings."""
+    got = bounded_rows(sample.mapInArrow(_passage_rows, "h long, size long, x binary, words binary, y int"), most, most_bytes, "mil-passages")
+    documents = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES), np.frombuffer(r.words, np.int16)) for r in got]
+    return GatedAttention().fit(documents, np.array([r.y for r in got], np.float64))
 
 
 def _quality(model, text_col, columns):
     def run(batches):
         for b in slices(batches, 4 << 20, text_col):
-            x = [passage_features(t) for t in b.column(text_col).to_pylist()]
-            starts = bounds(np.fromiter(map(len, x), np.int64, len(x)))
-            y, weight = model.score(np.concatenate(x).astype(np.float64), starts)
-            top = [int(weight[s:e].argmax()) for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            found = Passages([passage_features(t) for t in b.column(text_col).to_pylist()])
+            y, weight = model.score(found)
+            top = [int(weight[s:e].argmax()) for s, e in zip(found.starts[:-1], found.starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(y), pa.array(top, pa.int32())], [*columns, "score", "top_passage"])
 
     return run

@@ -41,15 +41,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+def _judged(rows: DataFrame, threshold: float, *more: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *more)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_noisy_or(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_ROWS))
-    return _judged(score_toxicity(docs, model).withColumnRenamed("id", "doc_id"), 0.5)
+    return _judged(score_toxicity(docs, model).withColumnRenamed("id", "doc_id"), 0.5, "offending", "worst_sentence")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_attention(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", FIT_ROWS))
-    return _judged(score_quality(docs, model), 0.3)
+    return _judged(score_quality(docs, model), 0.3, "top_passage")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

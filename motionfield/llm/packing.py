@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import bounds, materialize, slices
 
-SPLIT = re.compile(rb"(?<=[a-z0-9])([,.]+)(?=\s|$)")
+ENDED = re.compile(rb"(.*[a-z0-9])([,.]+)", re.DOTALL).fullmatch
 PLAIN = re.compile(rb"[a-z]+").fullmatch
 WORDS_KEPT = 1_000_000
 
@@ -40,22 +41,31 @@ class WordTokenizer:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: set[bytes]) -> None:
-        for w in words:
-            ids = [t.id for t in self.model.tokenize(w.decode())] if PLAIN(w) else self.whole(w.decode())
-            self.index[w] = len(self.ends) - 1
+    def _number(self, word: bytes) -> int:
+        """Where the ids of a word are kept, which are formed if the word is new."""
+        known = self.index.get(word)
+        if known is None:
+            # the tokenizer parts a word from the commas and stops at its end
+            parted = ENDED(word)
+            if parted:
+                ids = [i for part in parted.groups() for k in [self._number(part)] for i in self.flat[self.ends[k] : self.ends[k + 1]]]
+            else:
+                ids = [t.id for t in self.model.tokenize(word.decode())] if PLAIN(word) else self.whole(word.decode())
+            known = self.index[word] = len(self.ends) - 1
             self.flat.extend(ids)
             self.ends.append(len(self.flat))
+        return known
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the number of each text's ids."""
         if len(self.index) > WORDS_KEPT:
             self.index, self.flat, self.ends = {}, array("I"), array("q", [0])
-        split = [[] if not t or "<|" in t else SPLIT.sub(rb" \1", t.encode().lower()).split() for t in texts]
-        self._learn({w for words in split for w in words if w not in self.index})
+        split = [[] if not t or "<|" in t else t.encode().lower().split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.index.__getitem__
-        word = np.fromiter((get(w) for words in split for w in words), np.int64, int(sizes.sum()))
+        words = list(itertools.chain.from_iterable(split))
+        word = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(word < 0).tolist()
+        word[new] = [self._number(words[k]) for k in new]
         ends = np.array(self.ends, np.int64)
         flat = np.array(self.flat, np.uint32)
         n = ends[word + 1] - ends[word]

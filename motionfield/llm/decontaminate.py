@@ -106,7 +106,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     fits = found.join(small(prefix), "h").filter((start >= 0) & (start + F.size("words") <= F.col("n")))
     asked = materialize(fits.groupBy(*key).agg(F.collect_set(F.struct(start.alias("start"), "words", "set")).alias("asked")), "decon-asked")
 
-    texts = base.select(*key, "text").join(asked, key).select(*key, words(F.col("text")).alias("w"), "asked")
+    # nor is there a bound for the number of documents with candidates: shuffled at every size
+    texts = base.select(*key, "text").join(asked.hint("merge"), key).select(*key, words(F.col("text")).alias("w"), "asked")
     # word by word up to the first that differs: a slice would copy all of a long document
     # (with two uses of w the planner keeps it a column of its own; with one it would be split anew for each candidate)
     true = F.filter("asked", lambda c: (c["start"] + F.size(c["words"]) <= F.size("w")) & F.forall(F.sequence(F.lit(0), F.size(c["words"]) - 1), lambda k: F.get("w", c["start"] + k) == F.get(c["words"], k)))

@@ -10,6 +10,7 @@ from .decontaminate import find_items
 from .gru import lm_scores
 from .itq import embedding_links
 from .licenses import DIGESTS, HEADERS, NAMES, PHRASES, SPELLINGS, TEXTS, license_scan
+from .linededup import line_dedup
 from .mil import fit_attention, fit_noisy_or, labelled_sample, score_quality, score_toxicity
 from .packing import pack
 from .simhash import simhash_groups
@@ -89,6 +90,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_quality(docs, model), 0.3, "top_passage")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality, op12_line_dedup, pipeline)}
 
 
 OP4_SQL = r"""
@@ -136,6 +142,16 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, p, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents)),
+held AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, p, line, coalesce(doc_id < keeper, false) AS gone FROM l LEFT JOIN held USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY 1
+"""
+
+
 def _canonical_sql(column: str) -> str:
     t = rf"regexp_replace(lower({column}), '(?m)^[ \t\r\f\v]*(copyright|\(c\)|©|portions copyright)[^\n]*$', ' ', 'g')"
     t = rf"regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', ' ', 'g')"
@@ -162,4 +178,4 @@ FROM whole LEFT JOIN reg ON c <> '' AND sha256(c) = digest LEFT JOIN found USING
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": _op9_sql()}
+    return {"op4_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": _op9_sql(), "op12_line_dedup": OP12_SQL}

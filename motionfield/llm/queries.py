@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .conversations import conversation_report
 from .decontaminate import find_items
 from .gru import lm_scores
 from .itq import embedding_links
@@ -95,6 +96,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality, op12_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_warc, op7_simhash, op8_lm_scoring, op9_license_scan, op10_quality, op12_line_dedup, op13_conversation_repair, pipeline)}
 
 
 OP4_SQL = r"""
@@ -152,6 +157,33 @@ FROM marked GROUP BY 1
 """
 
 
+#: Dynamic programming over rows and states (0 start, 1 system, 2 user, 3 assistant); crc32 bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE src AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS cv, turn, coalesce(turn::VARCHAR, ' ') AS t, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(cv || ':' || t, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS d FROM src),
+dm AS (SELECT cv, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE d <> 0),
+rw AS (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY turn NULLS FIRST, role, text, copy) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM dm),
+f AS MATERIALIZED (SELECT cv, k, turn, role, text, role[1] AS a, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY cv, role, text ORDER BY k) > 1 THEN 'd' WHEN right(said, 1) IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault FROM rw),
+ins(q, p, c, e, o) AS (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, '', ''), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')),
+ed(p, a, r, e, c) AS (VALUES (0, '', 0, 'D', 3), (1, '', 1, 'D', 3), (2, '', 2, 'D', 3), (3, '', 3, 'D', 3), (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (3, 'u', 2, 'K', 0), (0, '', 2, 'R', 2), (1, '', 2, 'R', 2), (2, '', 3, 'R', 2), (3, '', 2, 'R', 2)),
+st AS MATERIALIZED (SELECT ins.q, ed.r, ins.c + ed.c AS c, ins.e || ed.e AS e, ins.o, ed.a, ed.e AS kind FROM ins JOIN ed USING (p)),
+dp AS (SELECT DISTINCT cv, 0::BIGINT AS k, 0 AS q, 0::BIGINT AS cost, '' AS audit, '' AS done FROM src
+  UNION ALL SELECT cv, k, q, cost, audit, done FROM (
+    SELECT dp.cv, f.k, st.r AS q, dp.cost + st.c + CASE WHEN kind <> 'D' AND fault = 't' THEN 1 ELSE 0 END AS cost, dp.audit || st.e AS audit,
+      dp.done || st.o || CASE kind WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE st.r WHEN 3 THEN 'assistant:' ELSE 'user:' END || text END AS done,
+      row_number() OVER (PARTITION BY dp.cv, st.r ORDER BY dp.cost + st.c + CASE WHEN kind <> 'D' AND fault = 't' THEN 1 ELSE 0 END, dp.audit || st.e) AS rk
+    FROM dp JOIN f ON f.cv = dp.cv AND f.k = dp.k + 1 JOIN st ON st.q = dp.q WHERE (kind = 'D' OR fault IN ('-', 't')) AND (kind <> 'K' OR f.a = st.a)) WHERE rk = 1),
+n AS (SELECT cv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS b, count(*) FILTER (fault = 'd') AS d, count(*) FILTER (fault = 't') AS t FROM f GROUP BY 1),
+bad AS (SELECT cv, count(*) AS illegal FROM (SELECT cv, k, lag(a) OVER (PARTITION BY cv ORDER BY k) || a AS two FROM f) WHERE k > 1 AND two NOT IN ('su', 'ua', 'au') GROUP BY 1),
+best AS (SELECT cv, cost, audit, done FROM (SELECT dp.cv, cost + c AS cost, audit || e AS audit, done || o AS done, row_number() OVER (PARTITION BY dp.cv ORDER BY cost + c, audit || e) AS rk
+  FROM dp LEFT JOIN n ON n.cv = dp.cv JOIN ins ON ins.q = dp.q WHERE dp.k = coalesce(n.n, 0) AND ins.p IN (0, 3)) WHERE rk = 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(b, 0)::BIGINT AS blank, coalesce(d, 0)::BIGINT AS duplicate, coalesce(t, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(done[2:]) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cv FROM src) LEFT JOIN n USING (cv) LEFT JOIN bad USING (cv) JOIN best USING (cv)
+"""
+
+
 def _canonical_sql(column: str) -> str:
     t = rf"regexp_replace(lower({column}), '(?m)^[ \t\r\f\v]*(copyright|\(c\)|©|portions copyright)[^\n]*$', ' ', 'g')"
     t = rf"regexp_replace({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', ' ', 'g')"
@@ -178,4 +210,4 @@ FROM whole LEFT JOIN reg ON c <> '' AND sha256(c) = digest LEFT JOIN found USING
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": _op9_sql(), "op12_line_dedup": OP12_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_license_scan": _op9_sql(), "op12_line_dedup": OP12_SQL, "op13_conversation_repair": OP13_SQL}

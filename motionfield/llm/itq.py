@@ -7,6 +7,12 @@ codes are balanced.  The codes are cut into tables of ``table_bits`` bits
 bits are cut into ``GROUPS`` groups, and codes that differ in one bit, or in
 any bits of one group, agree in a key made of the other groups.  Candidates
 are ranked again by the cosine of the original vectors.
+
+How far apart the codes of a pair at the threshold lie depends on the vectors:
+the more they have in common, the more a pair of a given cosine differs in what
+is left.  So the tables are calibrated: vectors of the sample are moved to a
+cosine of exactly the threshold, and the number and width of tables are the
+cheapest that still find the wanted share of these pairs.
 """
 
 from __future__ import annotations
@@ -17,12 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .links import BLOCK, cell_units, components, local_labels, units_of, with_payload
+from .links import cell_units, components, local_labels, units_of, with_payload
 from .simhash import mixed
 
 
 #: Groups of a table's bits, of which one is left out of each key.
 GROUPS = 4
+#: Widths of tables to choose from, the most bits of a code, and the least vectors of one length that codes are learned from (fewer are all compared).
+WIDTHS = (32, 28, 24, 20, 16, 12, 8)
+MOST_BITS = 1024
+LEARNED_FROM = 256
+#: Work for a row of a table, in units of one comparison of two vectors.
+ROW_COST = 100.0
 
 
 class Itq:
@@ -31,10 +43,11 @@ class Itq:
     def __init__(self, tables: int, table_bits: int):
         self.tables, self.table_bits = tables, table_bits
 
-    def fit(self, x: np.ndarray, rounds: int = 30, seed: int = 11) -> Itq:
+    def fit(self, x: np.ndarray, rounds: int = 20, seed: int = 11, turned: int = 4096) -> Itq:
+        """Mean and thresholds of all of ``x``, rotations of at most ``turned`` of its vectors."""
         d = x.shape[1]
         self.mean = x.mean(axis=0)
-        v = x - self.mean
+        v = (x - self.mean)[np.random.default_rng(seed + 1).permutation(len(x))[:turned]]
         axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]
         v, rng, maps = v @ axes, np.random.default_rng(seed), []
         for _ in range(-(-self.tables * self.table_bits // d)):
@@ -49,6 +62,41 @@ class Itq:
         self.cut = (ranked[(len(x) - 1) // 2] + ranked[min(len(x) - 1, (len(x) - 1) // 2 + 1)]) / 2
         return self
 
+    def calibrated(self, x: np.ndarray, rows: float, least: float, recall: float, most: int = 2000, seed: int = 5) -> Itq:
+        """The model with the cheapest tables for ``rows`` vectors that find ``recall`` of the pairs at a cosine of ``least``.
+
+        Half of the pairs differ in any direction, half as vectors of the
+        sample differ from each other; each half has to be found.
+        """
+        rng = np.random.default_rng(seed)
+        x = x[rng.permutation(len(x))[:most]]
+        moved = [rng.normal(size=x.shape), x[rng.permutation(len(x))] - x[rng.permutation(len(x))] + 1e-9 * rng.normal(size=x.shape)]
+        bit = ((x - self.mean) @ self.maps > self.cut)
+        differ = []
+        for side in moved:
+            side = side - (side * x).sum(axis=1)[:, None] * x
+            y = least * x + np.sqrt(max(0.0, 1 - least * least)) * side / np.maximum(np.linalg.norm(side, axis=1), 1e-300)[:, None]
+            differ.append(bit != ((y - self.mean) @ self.maps > self.cut))
+        best = (np.inf, 0, 0)
+        for width in WIDTHS:
+            tables = self.maps.shape[1] // width
+            cut = lambda b: b[:, : tables * width].reshape(len(x), tables, width)  # noqa: E731, B023
+            edge = np.linspace(0, width, GROUPS + 1).astype(np.int64)
+            off = [np.add.reduceat(cut(d), edge[:-1], axis=2) > 0 for d in differ]
+            # a pair meets in a table if at most one group differs
+            met = np.stack([np.maximum.accumulate(o.sum(axis=2) <= 1, axis=1).mean(axis=0) for o in off]).min(axis=0)
+            enough = np.flatnonzero(met >= recall)
+            tables = int(enough[0]) + 1 if len(enough) else tables
+            words = cut(bit)[:, :tables] @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+            keys = table_keys(words, width)
+            # the share of other vectors that a vector meets in a key
+            share = np.mean([(np.square(np.unique(keys[:, k], return_counts=True)[1].astype(float)).sum() - len(x)) / (len(x) * max(1, len(x) - 1)) for k in range(keys.shape[1])])
+            cost = keys.shape[1] * (ROW_COST + rows * share) * (1.0 if len(enough) else 1e6 * (2 - met[-1]))
+            best = min(best, (cost, width, tables))
+        self.table_bits, self.tables = best[1:]
+        self.maps, self.cut = self.maps[:, : self.tables * self.table_bits], self.cut[: self.tables * self.table_bits]
+        return self
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """The code of each vector: a 64-bit word for each table."""
         bit = ((x - self.mean) @ self.maps > self.cut).reshape(len(x), self.tables, self.table_bits)
@@ -108,23 +156,24 @@ def _code(models, kind):
     return run
 
 
-def _cells(table_bits):
+def _cells(widths):
     def run(batches):
         for b in batches:
-            code, size, ids = b.column("code").to_pylist(), b.column("size").to_numpy(zero_copy_only=False).astype(np.uint64), b.column("id").to_numpy(zero_copy_only=False)
-            few = np.array([not c for c in code], bool)
-            if few.any():
-                # too few of this size for codes: all in one cell
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(size[few], 2).view(np.int64)), pa.array(ids[few])], ["cell", "id"])
-            if not few.all():
-                key = table_keys(np.frombuffer(b"".join(code), np.uint64).reshape(int((~few).sum()), -1), table_bits)
-                cell = cell_of(key, size[~few][:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(ids[~few], cell.shape[1]))], ["cell", "id"])
+            code, sizes, ids = b.column("code").to_pylist(), b.column("size").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                if size in widths:
+                    key = table_keys(np.frombuffer(b"".join(code[k] for k in at.tolist()), np.uint64).reshape(len(at), -1), widths[size])
+                    cell = cell_of(key, size)
+                else:
+                    # too few of this size for codes: all in one cell
+                    cell = mixed(np.full((len(at), 1), size, np.uint64), 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(ids[at], cell.shape[1]))], ["cell", "id"])
 
     return run
 
 
-def _compare(table_bits, least, kind):
+def _compare(widths, least, kind):
     def run(batches):
         for b in batches:
             out = [[], [], []]
@@ -146,7 +195,7 @@ def _compare(table_bits, least, kind):
                     out[0].append(ids[who]), out[1].append(ids[who][local_labels(near)])
                     if code[who[0]]:
                         # a pair counts in the first cell that both share; words and cells of one size correspond
-                        key = table_keys(np.frombuffer(b"".join(code[k] for k in who.tolist()), np.uint64).reshape(len(who), -1), table_bits)
+                        key = table_keys(np.frombuffer(b"".join(code[k] for k in who.tolist()), np.uint64).reshape(len(who), -1), widths[size // np.dtype(kind).itemsize])
                         t = int(np.flatnonzero((cell_of(key, size // np.dtype(kind).itemsize) == cell).all(axis=0))[0])
                         for u in range(t):
                             near &= key[:, u][:, None] != key[:, u][None, :]
@@ -157,14 +206,17 @@ def _compare(table_bits, least, kind):
     return run
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, least: float = 0.95, tables: int = 11, table_bits: int = 28, fit_rows: int = 20_000) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, least: float = 0.95, recall: float = 0.985, fit_rows: int = 20_000) -> DataFrame:
     """(id, n_links, component): a row for each row of ``vectors``.
 
     Links are found pairs with a cosine of ``least`` or more, in double
     precision.  Equal vectors are one class: they link with each other and
-    enter the tables once.  Codes are learned from at most ``fit_rows``
-    vectors (1,024 of each length, if there are many lengths); all vectors are
-    indexed and looked up.  A code is formed once and travels with its vector.
+    enter the tables once.  Codes are learned, and their tables calibrated to
+    find ``recall`` of the pairs at ``least``, on at most ``fit_rows`` vectors
+    (``LEARNED_FROM`` of each length, if there are many lengths); all vectors
+    are indexed and looked up.  A code is formed once and travels with its
+    vector.  Of a length with fewer vectors than codes are learned from all
+    are compared.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; vectors of different lengths don't link; a null id
@@ -176,16 +228,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = materialize(rows, "itq-rows", "snappy")
     classes = rows.filter("size is not null").groupBy("size", "raw").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "itq-classes", "snappy")
-    # lengths with more vectors than are compared at once get codes; each of these stands for over BLOCK rows
-    sizes = [r[0] for r in classes.groupBy("size").count().filter(F.col("count") > BLOCK).select("size").orderBy("size").collect()]
+    counts = classes.groupBy("size").count().filter(F.col("count") >= LEARNED_FROM).orderBy("size").collect()
     models = {}
-    for size in sizes:
-        of = classes.filter(F.col("size") == size).select("raw", F.xxhash64("raw").alias("h")).orderBy("h", "raw").limit(max(BLOCK, fit_rows // len(sizes)))
-        models[size] = Itq(tables, table_bits).fit(unit_rows([bytes(r.raw) for r in of.select("raw").collect()], kind))
+    for size, rows_of in counts:
+        of = classes.filter(F.col("size") == size).select("raw", F.xxhash64("raw").alias("h")).orderBy("h", "raw").limit(max(LEARNED_FROM, fit_rows // len(counts)))
+        sample = unit_rows([bytes(r.raw) for r in of.select("raw").collect()], kind)
+        models[size] = Itq(1, MOST_BITS).fit(sample).calibrated(sample, rows_of, least, recall)
+    widths = {size: m.table_bits for size, m in models.items()}
     coded = materialize(classes.mapInArrow(_code(models, kind), "size int, raw binary, least long, n long, id long, code binary"), "itq-codes", "snappy")
-    units = cell_units(coded.select("id", "size", "code").mapInArrow(_cells(table_bits), "cell long, id long"), "itq")
+    units = cell_units(coded.select("id", "size", "code").mapInArrow(_cells(widths), "cell long, id long"), "itq")
     load = coded.select("id", F.struct("raw", "n", "code").alias("load"))
-    found = materialize(with_payload(units, load, "itq").mapInArrow(_compare(table_bits, least, kind), "a long, b long, links long"), "itq-links")
+    found = materialize(with_payload(units, load, "itq").mapInArrow(_compare(widths, least, kind), "a long, b long, links long"), "itq-links")
     linked = components(found.select("a", "b"), "itq")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     named = coded.select("raw", "id", "least", "n").join(linked, "id", "left").join(links, "id", "left").select("raw", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))

@@ -5,7 +5,7 @@ A polygon is its edges, an array of struct<x1, y1, x2, y2>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -51,11 +51,24 @@ def level(box: Column) -> Column:
     return F.ceil(F.log2(F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"], F.lit(2.0**-30)))).cast("int")
 
 
-def levels_in_use(levels: DataFrame) -> Column:
-    """The distinct levels of a one-column table as an array: at most a few dozen, whatever the number of rows."""
-    return F.array(*[F.lit(r[0]) for r in levels.distinct().collect() if r[0] is not None]).cast("array<int>")
-
-
 def cell_range(low: Column, high: Column, size: Column) -> Column:
     """Numbers of the grid cells that an interval touches."""
     return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+#: Grids of polygons lie off the origin by this share of a cell, so that round coordinates are not on their lines.
+SHIFT = 0.3819660112501051
+
+
+def grid_number(v: Column, size: Column) -> Column:
+    return F.floor(v / size - F.lit(SHIFT)).cast("long")
+
+
+def grid_range(low: Column, high: Column, size: Column) -> Column:
+    """Numbers of the shifted grid's cells that an interval touches, null where it is empty."""
+    return F.when(low <= high, F.sequence(grid_number(low, size), grid_number(high, size)))
+
+
+def grid_line(n: Column, size: Column) -> Column:
+    """The lower bound of a cell of the shifted grid."""
+    return (n + F.lit(SHIFT)) * size

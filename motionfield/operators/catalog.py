@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.naming import acquisition, file_name, pair_key, pair_paths, parse_pair, thumb_parts
+from .zones import inside_cell, polygon_cells, with_level
 
 # ---- thumbs and pairs -------------------------------------------------------------
 
@@ -23,14 +24,26 @@ def dedupe_thumbs(thumbs: DataFrame) -> DataFrame:
     return thumbs.groupBy("th_path").agg(F.max("th_valid").alias("th_valid"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
 
 
-def make_pairs(thumbs: DataFrame) -> DataFrame:
-    """All ordered pairs of thumbs of one zone with different paths: an equi-join on the zone.
+def make_pairs(thumbs: DataFrame, block: int = 256) -> DataFrame:
+    """All ordered pairs of thumbs of one zone with different paths: a self-join of blocks.
 
-    A zone with many thumbs is a hot key with N * (N - 1) results by
-    definition; AQE splits its partition.
+    The thumbs of a zone are dealt to blocks of about ``block``, as many as
+    the zone's size asks for; zone and pair of blocks are the join key, so the
+    N * (N - 1) pairs of a large zone come out of all tasks in like parts.  A
+    zone of one block is joined as a whole.
     """
-    side = lambda s: thumbs.select(F.col("th_pz_name").alias("pa_pz_name"), *[F.col(f"th_{c}").alias(f"pa_{s}_{c}") for c in ("path", "date", "sensor", "year")])
-    pairs = side("left").join(side("right"), "pa_pz_name").filter("pa_left_path <> pa_right_path")
+    zone = "th_pz_name"
+    many = thumbs.groupBy(zone).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("mf_n")).filter("mf_n > 1")
+    placed = thumbs.join(many, zone, "left").select(zone, *[f"th_{c}" for c in ("path", "date", "sensor", "year")], F.coalesce("mf_n", F.lit(1)).alias("mf_n"))
+    placed = placed.withColumn("mf_b", F.pmod(F.xxhash64("th_path"), F.col("mf_n")).cast("int"))
+    tasks, others = int(thumbs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.explode(F.sequence(F.lit(0), F.col("mf_n") - 1))
+
+    def side(s: str, own: str, other: str) -> DataFrame:
+        named = [F.col(f"th_{c}").alias(f"pa_{s}_{c}") for c in ("path", "date", "sensor", "year")]
+        # a given number of tasks: few rows in are many pairs out
+        return placed.select(F.col(zone).alias("pa_pz_name"), F.col("mf_b").alias(own), others.alias(other), *named).repartition(tasks, "pa_pz_name", "mf_l", "mf_r")
+
+    pairs = side("left", "mf_l", "mf_r").join(side("right", "mf_r", "mf_l"), ["pa_pz_name", "mf_l", "mf_r"]).drop("mf_l", "mf_r").filter("pa_left_path <> pa_right_path")
     return pairs.withColumn("pa_key", pair_key(*[F.col(f"pa_{c}") for c in ("pz_name", "left_date", "left_sensor", "right_date", "right_sensor")]))
 
 
@@ -184,25 +197,37 @@ def bank_features(files: DataFrame, headers: DataFrame, xml: DataFrame, data_typ
 def images_on_zones(images: DataFrame, zones: DataFrame) -> DataFrame:
     """Images whose extent meets a zone's polygon (touching counts).
 
-    A join over grids of several levels: a rectangle goes to the cells that
-    it touches at the level of its own size and at the coarser levels in use,
-    at most four of each, whatever the units of the map.  A pair is taken at
-    the coarser level of the two, in the one cell that holds the lower left
-    corner of the common bounds, so no distinct is needed.  ``zones``:
-    zone_id, edges.
+    First the rectangles, by a join over grids of several levels: a rectangle
+    goes to the cells that it touches at the level of its own size and at the
+    coarser levels in use, at most four of each, whatever the units of the
+    map; a pair is taken at the coarser level of the two, in the one cell that
+    holds the lower left corner of the common bounds, so no distinct is
+    needed.  An image that holds a zone's bounds meets it.  Of the others the
+    cells of the zone's index (``zones.polygon_cells``) within the image are
+    tested, each with its own edges only.  ``zones``: zone_id, edges.
     """
     e, b = F.col("extent"), F.col("zb")
-    left, right = images.withColumn("el", G.level(e)), zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("zl", G.level(b))
-    levels = G.levels_in_use(left.select("el").union(right.select("zl")))
+    sized = with_level(zones)
+    left, right = images.withColumn("el", G.level(e)), sized.select("zone_id", "zb", G.level(b).alias("zl"), F.col("gl").alias("fine"))
+    levels = left.select("el").union(right.select("zl")).agg(F.array_sort(F.collect_set("el"))).scalar()
     size = F.pow(F.lit(2.0), "gl")
 
     def placed(df, own, box):
-        df = df.withColumn("gl", F.explode(F.filter(levels, lambda x: x >= F.col(own))))
+        df = df.withColumn("gl", F.explode(levels)).filter(F.col("gl") >= F.col(own))
         return df.withColumn("gx", F.explode(G.cell_range(box["xmin"], box["xmax"], size))).withColumn("gy", F.explode(G.cell_range(box["ymin"], box["ymax"], size)))
 
     met = placed(left, "el", e).join(placed(right, "zl", b), ["gl", "gx", "gy"]).filter(F.col("gl") == F.greatest("el", "zl")).filter((b["xmin"] <= e["xmax"]) & (b["xmax"] >= e["xmin"]) & (b["ymin"] <= e["ymax"]) & (b["ymax"] >= e["ymin"]))
-    met = met.filter((F.col("gx") == F.floor(F.greatest(b["xmin"], e["xmin"]) / size)) & (F.col("gy") == F.floor(F.greatest(b["ymin"], e["ymin"]) / size)))
-    return met.filter(G.box_meets_polygon(e["xmin"], e["ymin"], e["xmax"], e["ymax"], F.col("edges"))).drop("gl", "gx", "gy", "el", "zl", "zb", "edges")
+    met = met.filter((F.col("gx") == F.floor(F.greatest(b["xmin"], e["xmin"]) / size)) & (F.col("gy") == F.floor(F.greatest(b["ymin"], e["ymin"]) / size))).drop("gl", "gx", "gy", "el", "zl")
+    whole = (b["xmin"] >= e["xmin"]) & (b["xmax"] <= e["xmax"]) & (b["ymin"] >= e["ymin"]) & (b["ymax"] <= e["ymax"])
+    # the polygon and the rectangle are all that counts: one test for all images of one extent
+    asked = met.filter(~whole).select("zone_id", "extent", "zb", F.col("fine").alias("gl")).distinct()
+    asked = asked.withColumn("gy", F.explode(G.grid_range(F.greatest(b["ymin"], e["ymin"]), F.least(b["ymax"], e["ymax"]), size)))
+    asked = asked.withColumn("gx", F.explode(G.grid_range(F.greatest(b["xmin"], e["xmin"]), F.least(b["xmax"], e["xmax"]), size)))
+    touched = F.exists("edges", lambda s: G.edge_meets_box(s, e["xmin"], e["ymin"], e["xmax"], e["ymax"])) | inside_cell(e["xmin"], e["ymin"])
+    cells = polygon_cells(sized)
+    hits = asked.join(cells, ["zone_id", "gl", "gx", "gy"]).filter(touched | (F.size("edges") == 0)).select("zone_id", "extent").distinct()
+    rest = met.filter(~whole).join(hits, ["zone_id", "extent"], "left_semi")
+    return met.filter(whole).drop("zb", "fine").unionByName(rest.drop("zb", "fine"))
 
 
 def group_scenes(images: DataFrame) -> DataFrame:

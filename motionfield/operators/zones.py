@@ -13,22 +13,74 @@ def zones_from_edges(edges: DataFrame, zone: str = "zone_id") -> DataFrame:
     return edges.groupBy(zone).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
 
 
+def with_level(zones: DataFrame, most: int = 10) -> DataFrame:
+    """Adds zb, the bounds, and gl, the level of the polygon's own grid: about as many cells as edges, whatever its size."""
+    finer = F.least(F.greatest(F.ceil(F.log2(F.size("edges").cast("double")) / 2) + 1, F.lit(1)), F.lit(most))
+    return zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("gl", (G.level(F.col("zb")) - finer).cast("int"))
+
+
+def polygon_cells(sized: DataFrame) -> DataFrame:
+    """(zone_id, gl, gx, gy, parity, edges): the grid cells of each polygon that hold a part of it.
+
+    ``edges`` are those that pass the cell, none for cells that lie inside;
+    ``parity`` tells whether the cell's lower right corner is inside.  Each
+    edge is walked row by row through the cells that it passes; the lower line
+    of each row is cut by edges, and between each second and next cut, from
+    the right, lie the corners that are inside.
+    """
+    size, e = F.pow(F.lit(2.0), "gl"), F.col("e")
+    sides = sized.select("zone_id", "gl", F.explode("edges").alias("e"))
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    rows = sides.withColumn("gy", F.explode(G.grid_range(low, high, size)))
+    y0 = G.grid_line(F.col("gy"), size)
+    at = lambda y: F.coalesce(e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]), e["x1"])
+    # the part of the edge within the row; a horizontal one as a whole
+    flat, a, b = e["y1"] == e["y2"], at(F.greatest(low, y0)), at(F.least(high, y0 + size))
+    ends = [F.when(flat, e["x1"]).otherwise(a), F.when(flat, e["x2"]).otherwise(b)]
+    pad = size * 1e-9
+    passed = rows.withColumn("gx", F.explode(G.grid_range(F.least(*ends) - pad, F.greatest(*ends) + pad, size)))
+    passed = passed.groupBy("zone_id", "gl", "gx", "gy").agg(F.collect_list("e").alias("edges"))
+    # a cut at x counts for the corners to the left of it
+    cuts = rows.filter((e["y1"] > y0) != (e["y2"] > y0)).select("zone_id", "gl", "gy", (F.ceil(at(y0) / size - F.lit(G.SHIFT)).cast("long") - 2).alias("last"))
+    runs = cuts.groupBy("zone_id", "gl", "gy").agg(F.sort_array(F.collect_list("last"), asc=False).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / 2).cast("int")), lambda k: F.struct((F.get("c", 2 * k + 1) + 1).alias("first"), F.get("c", 2 * k).alias("last")))
+    odd = runs.select("zone_id", "gl", "gy", F.explode(pairs).alias("r")).filter("r.first <= r.last").select("zone_id", "gl", F.explode(F.sequence("r.first", "r.last")).alias("gx"), "gy", F.lit(1).alias("parity"))
+    cells = passed.join(odd, ["zone_id", "gl", "gx", "gy"], "full")
+    none = F.array().cast(sized.schema["edges"].dataType)
+    return cells.select("zone_id", "gl", "gx", "gy", F.coalesce("parity", F.lit(0)).alias("parity"), F.coalesce("edges", none).alias("edges"))
+
+
+def inside_cell(x, y):
+    """Whether a point is inside the polygon of its cell: from the point right to the cell's border, then down to the corner, counting edges."""
+    size = F.pow(F.lit(2.0), "gl")
+    right, low = G.grid_line(F.col("gx") + 1, size), G.grid_line(F.col("gy"), size)
+
+    def met(e):
+        at_x = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+        at_y = F.try_divide((e["y2"] - e["y1"]) * (right - e["x1"]), e["x2"] - e["x1"]) + e["y1"]
+        over = ((e["y1"] > y) != (e["y2"] > y)) & (at_x > x) & (at_x <= right)
+        down = ((e["x1"] > right) != (e["x2"] > right)) & (at_y > low) & (at_y <= y)
+        return F.coalesce(over, F.lit(False)) != F.coalesce(down, F.lit(False))
+
+    return (F.col("parity") + F.size(F.filter("edges", met))) % 2 == 1
+
+
 def zonal_join(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     """Pixels (with x, y) inside each polygon of ``zones`` (zone_id, edges).
 
-    A grid join: a polygon goes to the at most four cells of the level that
-    its own size asks for, a pixel to its cell of every level in use, whatever
-    the units of the map.  Then the bounds, then the
-    crossing count over the polygon's own edges: pixels are never regrouped.
+    An equi-join with the polygons' cells: a pixel goes to its cell of every
+    level in use (few: levels follow the size of polygons and the number of
+    their edges) and is tested against the edges that pass this cell alone;
+    cells inside a polygon are taken untested.
     """
-    b = F.col("zb")
-    cells = zones.withColumn("zb", G.bounds(F.col("edges"))).withColumn("gl", G.level(b))
-    levels = G.levels_in_use(cells.select("gl"))
+    sized = with_level(zones)
+    levels = sized.agg(F.array_sort(F.collect_set("gl"))).scalar()
     size = F.pow(F.lit(2.0), "gl")
-    cells = cells.withColumn("gx", F.explode(G.cell_range(b["xmin"], b["xmax"], size))).withColumn("gy", F.explode(G.cell_range(b["ymin"], b["ymax"], size)))
-    placed = pixels.withColumn("gl", F.explode(levels)).withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
-    met = placed.join(cells, ["gl", "gx", "gy"]).filter(F.col("x").between(b["xmin"], b["xmax"]) & F.col("y").between(b["ymin"], b["ymax"]))
-    return met.filter(G.inside(F.col("x"), F.col("y"), F.col("edges"))).drop("gl", "gx", "gy", "zb", "edges")
+    placed = pixels.withColumn("gl", F.explode(levels)).withColumns({"gx": G.grid_number(F.col("x"), size), "gy": G.grid_number(F.col("y"), size)})
+    met = placed.join(polygon_cells(sized), ["gl", "gx", "gy"]).filter((F.size("edges") == 0) | inside_cell(F.col("x"), F.col("y")))
+    met = met.drop("gl", "gx", "gy", "parity", "edges")
+    others = [c for c in zones.columns if c not in ("zone_id", "edges")]
+    return met.join(zones.select("zone_id", *others), "zone_id") if others else met
 
 
 def zone_mean(hits: DataFrame, value: str = "magn") -> DataFrame:

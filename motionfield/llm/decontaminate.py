@@ -7,6 +7,11 @@ places of the benchmark's shingles in it are kept; from these come the
 shingles' frequencies, the windows' prefix tokens and, by positional and
 length bounds, the candidates.  Only documents with candidates are read again,
 to compare the words one by one.
+
+Before anything is shuffled, a bitmap of the benchmark's shingles (two probes
+for each, at most 32 MB, whatever the benchmark's size) leaves out nearly all
+other shingles; a second one does the same for prefix tokens.  What passes by
+chance finds no partner in the joins.
 """
 
 from __future__ import annotations
@@ -19,10 +24,8 @@ from .common import materialize, with_row_key
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
-#: A benchmark of at most so many tokens is broadcast; a larger one is shuffled to the documents' shingles.
-BLOCK_TOKENS = 500_000
-#: Keys of the rows that stand for documents, so that no one of them is hot.
-HEADS = 256
+#: Bits of a bitmap for each token that it knows, and the most and least of all.
+BITS_EACH, MOST_BITS, LEAST_BITS = 16, 1 << 28, 1 << 12
 
 
 def ascii_lower(text: Column) -> Column:
@@ -60,7 +63,25 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), state, step, lambda s: s["total"])
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = 13, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def probably(tokens: DataFrame, count: int, most_bits: int = MOST_BITS):
+    """A test of hashes (a column ``h`` of ``tokens``): true for all of them and for few others."""
+    bits = LEAST_BITS
+    while bits < min(most_bits, BITS_EACH * count):
+        bits *= 2
+    probes = lambda h: [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+    place, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: p.bitwiseAND(F.lit(63)).cast("int")
+    marks = tokens.select(F.explode(F.array(*probes(F.col("h")))).alias("p")).groupBy(place(F.col("p")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))).alias("b"))
+    words = tokens.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b")).unionByName(marks).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bitmap = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"])).scalar()
+
+    def test(h: Column) -> Column:
+        first, second = [F.call_function("shiftright", F.get(bitmap, place(p)), bit(p)).bitwiseAND(F.lit(1).cast("long")) == 1 for p in probes(h)]
+        return first & second
+
+    return test
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = 13, most_bits: int = MOST_BITS) -> DataFrame:
     """(mf_id, mf_key, n_words, n_hit, item_ids, contaminated): a row for each row of ``docs``, keyed as by ``with_row_key``.
 
     A document word is hit if it lies in an occurrence of a window of any
@@ -81,29 +102,29 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     token = F.when(F.col("m") == 3, shingles(F.col("words"), 3)).when(F.col("m") == 2, shingles(F.col("words"), 2)).otherwise(shingles(F.col("words"), 1))
     tokens = materialize(sized.select("win", F.posexplode(token).alias("off", "h"), "m"), "decon-tokens")
     shapes = sorted(r[0] for r in tokens.select("m").distinct().limit(SHINGLE).collect())
-    small = F.broadcast if tokens.count() <= block_tokens else (lambda df: df)
+    n_tokens = tokens.count()
 
     # a row for each document (pos -1) and for each place of a benchmark shingle in one
     worded = base.select(*key, words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    head = F.pmod("mf_key", F.lit(HEADS))
-    grams = worded.select(*key, "n", F.posexplode(F.concat(F.array(head), *[F.coalesce(shingles(F.col("w"), m), F.array().cast("array<long>")) for m in shapes])).alias("pos", "h"))
+    grams = worded.select(*key, "n", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *[F.coalesce(shingles(F.col("w"), m), F.array().cast("array<long>")) for m in shapes])).alias("pos", "h"))
     # places are numbered shape after shape
     pos, end = F.when(F.col("pos") == 0, -1), F.lit(1)
     for m in shapes:
         begin, end = end, end + F.greatest(F.col("n") - (m - 1), F.lit(0))
         pos = pos.when(F.col("pos") < end, F.col("pos") - begin)
-    known = tokens.select("h").union(docs.sparkSession.range(HEADS)).distinct()
     grams = grams.select(*key, "n", pos.alias("pos"), "h")
-    places = materialize(grams.join(small(known), "h"), "decon-places")
+    known = probably(tokens.select("h"), n_tokens, most_bits)
+    places = materialize(grams.filter((F.col("pos") < 0) | known(F.col("h"))), "decon-places")
     found = places.filter("pos >= 0")
 
     rare = found.groupBy("h").agg(F.count("*").alias("df"))
     whole = tokens.join(rare, "h").groupBy("win").agg(F.count("*").alias("got"), F.min(F.struct("df", "off", "h")).alias("p"))
     need = tokens.groupBy("win").agg(F.count("*").alias("got"))
     # a window with a token that no document has can't occur
-    prefix = whole.join(need, ["win", "got"]).join(wins, "win").select("p.h", "p.off", "words", "set")
+    prefix = materialize(whole.join(need, ["win", "got"]).join(wins, "win").select("p.h", "p.off", "words", "set"), "decon-prefix")
     start = F.col("pos") - F.col("off")
-    fits = found.join(small(prefix), "h").filter((start >= 0) & (start + F.size("words") <= F.col("n")))
+    rarest = probably(prefix.select("h"), n_tokens, most_bits)
+    fits = found.filter(rarest(F.col("h"))).join(prefix, "h").filter((start >= 0) & (start + F.size("words") <= F.col("n")))
     asked = materialize(fits.groupBy(*key).agg(F.collect_set(F.struct(start.alias("start"), "words", "set")).alias("asked")), "decon-asked")
 
     # nor is there a bound for the number of documents with candidates: shuffled at every size

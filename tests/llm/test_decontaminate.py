@@ -1,8 +1,13 @@
+import glob
+import os
 import random
 import re
 
+import pytest
+
 from motionfield.llm.common import LAST_ID
-from motionfield.llm.decontaminate import find_items
+from motionfield.llm.decontaminate import find_items, probably
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -49,8 +54,38 @@ def test_against_brute_force(spark):
     docs += [(60, None), (61, ""), (None, items[7][1]), (None, items[7][1]), (62, docs[3][1]), (62, docs[3][1]), (63, "the lazy dog " * 20000)]
     want = brute(docs, items)
     assert run(spark, docs, items) == want
-    # a benchmark too large to broadcast gives the same
-    assert run(spark, docs, items, block_tokens=20) == want
+    # nothing is broadcast, and bitmaps too small to leave anything out change nothing
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run(spark, docs, items) == want
+        assert run(spark, docs, items, most_bits=64) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("n", [1, 100, 30_000])
+def test_bitmap_passes_all_tokens_and_few_others(spark, n):
+    tokens = spark.range(n).select(F.xxhash64("id").alias("h"))
+    test = probably(tokens, n)
+    assert tokens.filter(test(F.col("h"))).count() == n
+    others = spark.range(10_000_000, 10_100_000).select(F.xxhash64("id").alias("h"))
+    assert others.filter(test(F.col("h"))).count() < 3000
+
+
+def test_only_probable_hits_are_shuffled(spark):
+    """With a benchmark of any size, documents without its shingles send nothing but their own rows."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(50)]).alias("text"))
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"v{k}y"), "id") for k in range(30)]).alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = find_items(docs, items)
+        assert found.count() == 2000 and found.filter("n_hit > 0").count() == 0
+        assert found.agg(F.sum("n_words")).first()[0] == 100_000
+        root = spark.conf.get("spark.checkpoint.dir")
+        path = max(glob.glob(f"{root}/mf-decon-places-*"), key=os.path.getmtime)
+        assert spark.read.parquet(path).count() < 2000 + 0.05 * 96_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_empty_tables(spark):

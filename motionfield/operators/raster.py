@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.displacement import cc_filter
+from . import order
 
 
 def with_centres(pixels: DataFrame, x0: float, y0: float, px: float, py: float) -> DataFrame:
@@ -101,18 +102,22 @@ def resample_nearest(pixels: DataFrame, bands: list[str], px: float, py: float,
 def center_disp(pixels: DataFrame, value: str, how: str = "median", accuracy: int | None = None) -> DataFrame:
     """Subtracts the raster's median, or its mean (null for all if one value is missing).
 
-    ``accuracy`` takes the approximate median, for rasters of many distinct values.
+    The median is selected by rank from the counts of value ranges
+    (``order``), so no task holds a raster's values; NaN is left out.
+    ``accuracy`` takes the approximate median instead.
     """
     v = F.col(value)
-    if how == "median":
-        middle = F.percentile_approx(v, 0.5, accuracy) if accuracy else F.median(v)
+    if how == "median" and not accuracy:
+        buckets, names = order.value_buckets(pixels, value, "raster_id")
+        centre = names.join(order.quantiles(buckets, [0.5]), "g").select("raster_id", F.get("q", 0).alias("mf_m"))
+    elif how == "median":
+        centre = pixels.groupBy("raster_id").agg(F.percentile_approx(v, 0.5, accuracy).alias("mf_m"))
     elif how == "mean":
-        middle = F.when(F.count("*") == F.count(v), F.avg(v))
+        centre = pixels.groupBy("raster_id").agg(F.when(F.count("*") == F.count(v), F.avg(v)).alias("mf_m"))
     else:
         raise ValueError(how)
-    # a row for each raster
-    centre = pixels.groupBy("raster_id").agg(middle.alias("mf_m"))
-    return pixels.join(centre, "raster_id").withColumn(value, v - F.col("mf_m")).drop("mf_m")
+    # a row for each raster; one without values has no median
+    return pixels.join(centre, "raster_id", "left").withColumn(value, v - F.col("mf_m")).drop("mf_m")
 
 
 def densify(pixels: DataFrame, meta: DataFrame) -> DataFrame:

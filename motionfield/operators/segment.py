@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from . import order
 from .graph import components
 
 TILE = 512
@@ -20,29 +21,13 @@ def kmeans_1d(pixels: DataFrame, value: str, k: int = 2, rounds: int = 20, key:
 
     Starts at the quantiles (2i + 1) / 2k; a fixed number of rounds; ties go to
     the lower label; an empty cluster keeps its centre; label 0 is the lowest
-    centre.  Null and NaN values stay without a label.  Values are collapsed
-    to counts first; each round moves k sums for each raster, and the centres
-    stay a table.
+    centre.  Null and NaN values stay without a label.  The pixels are read
+    for their value counts and for their labels, whatever the rounds; a round
+    is a look-up of k - 1 bounds in the prefix sums of the sorted counts.
     """
     v = F.col(value).cast("double")
-    usable = pixels.filter(v.isNotNull() & ~F.isnan(v))
-    counts = materialize(usable.groupBy(key, v.alias("v")).agg(F.count("*").alias("n")), "kmeans")
-    quantiles = [(2 * i + 1) / (2 * k) for i in range(k)]
-    # weighted, so equal to the percentiles of all values
-    centres = counts.groupBy(key).agg(F.expr(f"percentile(v, array({', '.join(f'{q}D' for q in quantiles)}), n)").alias("c"))
-    centres = materialize(centres, "kmeans-centres")
-    at = nearest(F.col("v"), F.col("c"))
-    for _ in range(rounds):
-        # one small row for each raster and task is shuffled
-        sums = [f(F.when(F.col("label") == i, x)) for i in range(k) for f, x in ((F.sum, F.col("v") * F.col("n")), (F.sum, F.col("n")))]
-        near = counts.join(centres, key).withColumn("label", at)
-        means = F.array(*[F.coalesce(F.try_divide(sums[2 * i], sums[2 * i + 1]), F.get(F.any_value("c"), i)) for i in range(k)])
-        # ascending again: an empty cluster that kept its centre may have been passed
-        new = near.groupBy(key).agg(F.array_sort(means).alias("c"), F.any_value("c").alias("old"))
-        new = materialize(new.select(key, "c", (F.col("c") != F.col("old")).alias("moved")), "kmeans-centres")
-        centres = new.drop("moved")
-        if new.filter("moved").isEmpty():  # further rounds change nothing
-            break
+    buckets, names = order.value_buckets(pixels, value, key)
+    centres = materialize(names.join(order.centres_1d(buckets, k, rounds), "g").select(key, "c"), "kmeans-centres")
     labels = pixels.join(centres, key, "left").withColumn("label", F.when(v.isNotNull() & ~F.isnan(v), nearest(v, F.col("c")))).drop("c")
     table = centres.select(key, F.posexplode("c").alias("label", "centroid"))
     return labels, table
@@ -84,7 +69,6 @@ def _tile_areas(pdf: pd.DataFrame) -> pd.DataFrame:
     down = there[1:] & there[:-1] & (value[1:] == value[:-1])
     right = there[:, 1:] & there[:, :-1] & (value[:, 1:] == value[:, :-1])
     # smallest number over the links, with jumps through the representative
-    index = {int(x): i for i, x in enumerate(area[there])}
     at = np.cumsum(there.ravel()).reshape(h, w) - 1
     a = np.concatenate([at[1:][down], at[:, 1:][right]])
     b = np.concatenate([at[:-1][down], at[:, :-1][right]])
@@ -101,7 +85,6 @@ def _tile_areas(pdf: pd.DataFrame) -> pd.DataFrame:
             if (up == parent).all():
                 break
             parent = up
-    del index
     least = np.full(len(cells), big)
     np.minimum.at(least, parent, cells)
     order = at[r, c]

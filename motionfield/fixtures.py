@@ -29,6 +29,11 @@ VIEWS = {
             THEN CASE WHEN user_id % 17 = 0 THEN 0 ELSE 1 END ELSE CASE WHEN user_id % 13 = 0 THEN 1 ELSE 0 END END AS label,
           CAST(2 * (event_id % 32) + 1 AS DOUBLE) AS x, CAST(63 - 2 * ((event_id % 1024) // 32) AS DOUBLE) AS y
         FROM {events}""",
+    # rasters of 320 columns, larger than the default boxes
+    "wide": """
+        SELECT CAST(event_id // 102400 AS INT) AS raster_id, CAST((event_id % 102400) // 320 AS INT) AS row, CAST(event_id % 320 AS INT) AS col,
+          CASE WHEN ((event_id % 102400) // 320 - 100) * ((event_id % 102400) // 320 - 100) + (event_id % 320 - 160) * (event_id % 320 - 160) < 14400 THEN CASE WHEN user_id % 97 = 0 THEN 0 ELSE 1 END ELSE CASE WHEN user_id % 13 = 0 THEN 1 ELSE 0 END END AS label
+        FROM {events}""",
     "pair_meta": """
         SELECT raster_id, concat('pz', CAST(raster_id % 12 AS STRING)) AS pz_name, CAST(2000 + raster_id % 7 AS INT) AS left_year, CAST(2000 + (3 * raster_id + 1) % 7 AS INT) AS right_year,
           CASE raster_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'clipped' WHEN 2 THEN 'complete' ELSE 'empty' END AS pa_status

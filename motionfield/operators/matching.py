@@ -77,10 +77,12 @@ def match_blocks(clipped: DataFrame, kernel: int = 7, search: int = 10, threshol
     halo = 2 * search + 2 * (kernel // 2) + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])
+        if not own.any():  # a tile outside the image, which has a halo's cells alone
+            return pd.DataFrame({"pair_id": [], "row": [], "col": [], "dx": [], "dy": [], "good": []})
         r0, c0, (left, right) = _grid(pdf, ["left", "right"])
         dy, dx, _ = best_offsets(left, right, kernel, search)
         by, bx, _ = best_offsets(right, left, kernel, search)
-        own = (pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])
         rows, cols = pdf["row"][own].to_numpy(), pdf["col"][own].to_numpy()
         y, x = dy[rows - r0, cols - c0], dx[rows - r0, cols - c0]
         there = ~np.isnan(y)

@@ -526,6 +526,25 @@ def _w2_morph_close(spark, d):
     return raster.morph_close(dense(spark, d), "label", 6)
 
 
+WIDE = "n AS (SELECT raster_id, max(row) AS h FROM {wide} GROUP BY 1), dense AS (SELECT n.raster_id, CAST(a.r AS INT) AS row, CAST(b.c AS INT) AS col, label AS v FROM n CROSS JOIN range(0, 320) a(r) CROSS JOIN range(0, 320) b(c) LEFT JOIN {wide} p ON p.raster_id = n.raster_id AND p.row = a.r AND p.col = b.c WHERE a.r <= h)"
+
+
+def wide(spark, d):
+    rows = view(spark, d, "wide")
+    meta = rows.groupBy("raster_id").agg((F.max("row") + 1).alias("n_rows")).withColumn("n_cols", F.lit(320))
+    return raster.densify(rows, meta)
+
+
+@query(f"WITH {WIDE}, {window_sql('e', 'dense', 'min', 15, 14)}, {window_sql('o', 'e', 'max', 15, 14)} SELECT raster_id, row, col, v AS label FROM o")
+def _w1_morph_open_wide(spark, d):
+    return raster.morph_open(wide(spark, d), "label")
+
+
+@query(f"WITH {WIDE}, {window_sql('e', 'dense', 'max', 15, 14)}, {window_sql('o', 'e', 'min', 15, 14)} SELECT raster_id, row, col, v AS label FROM o")
+def _w2_morph_close_wide(spark, d):
+    return raster.morph_close(wide(spark, d), "label")
+
+
 @query(f"WITH {BANK}, {MET} SELECT zone_id, acq_date, sensor FROM (SELECT zone_id, acq_date, sensor, row_number() OVER (PARTITION BY zone_id ORDER BY acq_date, sensor) AS k FROM (SELECT DISTINCT zone_id, acq_date, sensor FROM met WHERE acq_date IS NOT NULL)) WHERE k = 1")
 def _w3_dem_thumb(spark, d):
     return catalog.dem_scenes(catalog.group_scenes(catalog.images_on_zones(bank(spark, d), polygons(spark, d)))).select("zone_id", "acq_date", "sensor")
@@ -602,31 +621,31 @@ def _r1_tiles_to_pixels(spark, d):
 
 # ---- connected areas ------------------------------------------------------------------------
 
-#: Areas of label 1: the smallest cell from which a cell can be reached.
-CC = """WITH RECURSIVE lab AS (SELECT raster_id, row, col, row * 32 + col AS cell FROM {pix} WHERE label = 1),
-  reach AS (SELECT raster_id, row, col, cell AS seed FROM lab UNION SELECT n.raster_id, n.row, n.col, r.seed FROM reach r JOIN (SELECT *, unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS o FROM lab) n
-    ON n.raster_id = r.raster_id AND n.row + o[1] = r.row AND n.col + o[2] = r.col WHERE r.seed < n.cell),
-  comp AS (SELECT raster_id, row, col, min(seed) AS component FROM reach GROUP BY 1, 2, 3)"""
+#: Areas of every label: the smallest cell from which a cell can be reached.
+CC = """WITH RECURSIVE lab AS (SELECT raster_id, row, col, label, row * 32 + col AS cell FROM {pix}),
+  reach AS (SELECT raster_id, row, col, label, cell AS seed FROM lab UNION SELECT n.raster_id, n.row, n.col, n.label, r.seed FROM reach r JOIN (SELECT *, unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS o FROM lab) n
+    ON n.raster_id = r.raster_id AND n.label = r.label AND n.row + o[1] = r.row AND n.col + o[2] = r.col WHERE r.seed < n.cell),
+  comp AS (SELECT raster_id, row, col, label, min(seed) AS component FROM reach GROUP BY 1, 2, 3, 4)"""
 
 
 def areas(spark, d):
-    return segment.connected_areas(view(spark, d, "pix").filter("label = 1").select("raster_id", "row", "col", "label"), SIZE, tile=16)
+    return segment.connected_areas(view(spark, d, "pix").select("raster_id", "row", "col", "label"), SIZE, tile=16)
 
 
-@query(f"{CC} SELECT raster_id::BIGINT AS raster_id, row, col, component::BIGINT AS component FROM comp")
+@query(f"{CC} SELECT raster_id::BIGINT AS raster_id, row, col, label::BIGINT AS label, component::BIGINT AS component FROM comp")
 def _g5_connected_areas(spark, d):
-    return areas(spark, d).select("raster_id", "row", "col", "component")
+    return areas(spark, d)
 
 
-STATS = f"{CC}, stats AS (SELECT raster_id::BIGINT AS raster_id, component::BIGINT AS component, count(*)::BIGINT AS n, count(*) * 4.0::DOUBLE AS area, min(col) * 2.0::DOUBLE AS xmin, 64 - (max(row) + 1) * 2.0::DOUBLE AS ymin, (max(col) + 1) * 2.0::DOUBLE AS xmax, 64 - min(row) * 2.0::DOUBLE AS ymax FROM comp GROUP BY 1, 2)"
+STATS = f"{CC}, stats AS (SELECT raster_id::BIGINT AS raster_id, component::BIGINT AS component, min(label)::BIGINT AS raster_val, count(*)::BIGINT AS n, count(*) * 4.0::DOUBLE AS area, min(col) * 2.0::DOUBLE AS xmin, 64 - (max(row) + 1) * 2.0::DOUBLE AS ymin, (max(col) + 1) * 2.0::DOUBLE AS xmax, 64 - min(row) * 2.0::DOUBLE AS ymax FROM comp GROUP BY 1, 2)"
 
 
-@query(f"{STATS} SELECT raster_id, component, 1::BIGINT AS raster_val, n, area, xmin, ymin, xmax, ymax FROM stats")
+@query(f"{STATS} SELECT raster_id, component, raster_val, n, area, xmin, ymin, xmax, ymax FROM stats")
 def _a12_area_stats(spark, d):
     return segment.area_stats(areas(spark, d), PX, PY, X0, Y0).select("raster_id", "component", "raster_val", "n", "area", "extent.*")
 
 
-@query(f"{STATS} SELECT raster_id, component, area FROM stats WHERE area / 1000 > 0.05")
+@query(f"{STATS} SELECT raster_id, component, area FROM stats WHERE area / 1000 > 0.05 AND raster_val = 1")
 def _f9_min_surface_filter(spark, d):
     return segment.min_surface_filter(segment.area_stats(areas(spark, d), PX, PY), 0.05, 1).select("raster_id", "component", "area")
 
@@ -645,14 +664,15 @@ def _g5_polygonize(spark, d):
 
 
 def match_sql(k: int, s: int, source: str = "{match_pairs}", ctes: str = "") -> str:
-    off = f"range(-{s}, {s + 1})"
+    """Correlation of all offsets from window sums along rows, then along columns."""
+    off, lo, hi = f"range(-{s}, {s + 1})", k // 2, k - 1 - k // 2
+    sums = lambda of, by, at: ", ".join(f"sum({c}) OVER w AS {c}" for c in ("n", "a", "b", "aa", "bb", "ab")) + f" FROM {of} WINDOW w AS (PARTITION BY pair_id, dy, dx, {by} ORDER BY {at} RANGE BETWEEN {lo} PRECEDING AND {hi} FOLLOWING)"
 
     def best(n: str, left: str, right: str) -> str:
-        h = k // 2
-        return f"""{n}o AS MATERIALIZED (SELECT c.pair_id, c.row, c.col, dy, dx, c.row + y AS lr, c.col + x AS lc FROM {left} c CROSS JOIN {off} a(dy) CROSS JOIN {off} b(dx) CROSS JOIN range(-{h}, {k - h}) oy(y) CROSS JOIN range(-{h}, {k - h}) ox(x)),
-        {n}l AS MATERIALIZED (SELECT o.*, lr + dy AS rr, lc + dx AS rc, v AS lv FROM {n}o o JOIN {left} l ON l.pair_id = o.pair_id AND l.row = lr AND l.col = lc),
-        {n}s AS MATERIALIZED (SELECT o.pair_id, o.row, o.col, dy, dx, count(*) AS n, corr(lv, v) AS s FROM {n}l o JOIN {right} r ON r.pair_id = o.pair_id AND r.row = rr AND r.col = rc GROUP BY ALL),
-        {n} AS MATERIALIZED (SELECT pair_id, row, col, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, row, col ORDER BY round(s, 7) DESC, dy * dy + dx * dx, dy, dx) AS rk FROM {n}s WHERE n = {k * k} AND s IS NOT NULL AND NOT isnan(s)) WHERE rk = 1)"""
+        return f"""{n}o AS MATERIALIZED (SELECT l.pair_id, l.row, l.col, dy, dx, 1 AS n, l.v AS a, r.v AS b, l.v * l.v AS aa, r.v * r.v AS bb, l.v * r.v AS ab FROM {left} l CROSS JOIN {off} y(dy) CROSS JOIN {off} x(dx) JOIN {right} r ON r.pair_id = l.pair_id AND r.row = l.row + dy AND r.col = l.col + dx),
+        {n}r AS MATERIALIZED (SELECT pair_id, row, col, dy, dx, {sums(n + "o", "row", "col")}), {n}c AS MATERIALIZED (SELECT pair_id, row, col, dy, dx, {sums(n + "r", "col", "row")}),
+        {n}s AS (SELECT pair_id, row, col, dy, dx, (n * ab - a * b) / sqrt((n * aa - a * a) * (n * bb - b * b)) AS s FROM {n}c WHERE n = {k * k} AND n * aa - a * a > 1e-9 * n * n AND n * bb - b * b > 1e-9 * n * n),
+        {n} AS MATERIALIZED (SELECT pair_id, row, col, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, row, col ORDER BY round(s, 7) DESC, dy * dy + dx * dx, dy, dx) AS rk FROM {n}s) WHERE rk = 1)"""
 
     return f"""WITH {ctes}lf AS MATERIALIZED (SELECT pair_id, row, col, lv AS v FROM {source}), rt AS MATERIALIZED (SELECT pair_id, row, col, rv AS v FROM {source}), {best("fwd", "lf", "rt")}, {best("bwd", "rt", "lf")}
     SELECT m.pair_id::BIGINT AS pair_id, m.row, m.col, CASE WHEN ok THEN f.dx::DOUBLE + 0.0 END AS dx, CASE WHEN ok THEN f.dy::DOUBLE + 0.0 END AS dy, CASE WHEN ok THEN 1 ELSE 0 END AS good
@@ -664,9 +684,9 @@ def matched(spark, d):
     return view(spark, d, "match_pairs").withColumnsRenamed({"lv": "left", "rv": "right"})
 
 
-@query(match_sql(3, 1))
+@query(match_sql(7, 10))
 def _g6_match_blocks(spark, d):
-    return r6(matching.match_blocks(matched(spark, d), kernel=3, search=1, tile=16), "dx", "dy")
+    return r6(matching.match_blocks(matched(spark, d)), "dx", "dy")
 
 
 G7 = """WITH ev AS MATERIALIZED (SELECT a.raster_id AS pair_id, a.row, a.col, a.dx AS lv, b.dy + b.dx / 2 AS rv FROM {pix} a JOIN {pix} b ON b.raster_id = a.raster_id AND b.row = a.row + 1 AND b.col = a.col),
@@ -727,19 +747,19 @@ def _d1_cut_scenes(spark, d):
 CLIP = """pr AS (SELECT raster_id AS pair_id, raster_id AS left_id, raster_id + 1 AS right_id FROM {pair_meta}),
   pl AS (SELECT raster_id, row + raster_id % 3 AS row, col + raster_id % 2 AS col, dx FROM {pix}),
   clip AS MATERIALIZED (SELECT pair_id, l.row, l.col, l.dx AS lv, r.dx AS rv FROM pr JOIN pl l ON l.raster_id = left_id JOIN pl r ON r.raster_id = right_id AND r.row = l.row AND r.col = l.col), """
-FIELD = match_sql(3, 1, "clip", CLIP)
+FIELD = match_sql(7, 10, "clip", CLIP)
 D2 = f"""{FIELD[: FIELD.rindex("SELECT m.pair_id")].rstrip()}, disp AS MATERIALIZED ({FIELD[FIELD.rindex("SELECT m.pair_id") :]}),
-  o AS MATERIALIZED (SELECT pair_id, row, col, row + y AS lr, col + x AS lc, row + y + dy::INT AS rr, col + x + dx::INT AS rc FROM disp CROSS JOIN range(-1, 2) a(y) CROSS JOIN range(-1, 2) b(x) WHERE dx IS NOT NULL),
+  o AS MATERIALIZED (SELECT pair_id, row, col, row + y AS lr, col + x AS lc, row + y + dy::INT AS rr, col + x + dx::INT AS rc FROM disp CROSS JOIN range(-3, 4) a(y) CROSS JOIN range(-3, 4) b(x) WHERE dx IS NOT NULL),
   ol AS MATERIALIZED (SELECT o.*, lv FROM o JOIN clip c ON c.pair_id = o.pair_id AND c.row = lr AND c.col = lc),
   cc AS (SELECT o.pair_id, o.row, o.col, count(*) AS n, corr(o.lv, c.rv) AS s FROM ol o JOIN clip c ON c.pair_id = o.pair_id AND c.row = rr AND c.col = rc GROUP BY ALL),
-  cells AS (SELECT pair_id, CAST(floor(row * 2 / 4.0) AS INT) AS row, CAST(floor(col * 2 / 4.0) AS INT) AS col, avg(dx) AS dx, avg(dy) AS dy, avg(CASE WHEN n = 9 AND NOT isnan(s) THEN s END) AS cc FROM disp LEFT JOIN cc USING (pair_id, row, col) GROUP BY 1, 2, 3)"""
+  cells AS (SELECT pair_id, CAST(floor(row * 2 / 20.0) AS INT) AS row, CAST(floor(col * 2 / 20.0) AS INT) AS col, avg(dx) AS dx, avg(dy) AS dy, avg(CASE WHEN n = 49 AND NOT isnan(s) THEN s END) AS cc FROM disp LEFT JOIN cc USING (pair_id, row, col) GROUP BY 1, 2, 3)"""
 
 
 def project_pairs(spark, d):
     meta = view(spark, d, "pair_meta")
     pairs = meta.select(F.col("raster_id").cast("long").alias("pair_id"), F.col("raster_id").alias("left_id"), (F.col("raster_id") + 1).alias("right_id"), "pz_name", "left_year", "right_year")
     origin = meta.select("raster_id", (F.col("raster_id") % 3).alias("row0"), (F.col("raster_id") % 2).alias("col0"))
-    return flows.process_project(view(spark, d, "pix"), "dx", pairs, PX, PY, origin, kernel=3, search=1, vector_size=4.0)
+    return flows.process_project(view(spark, d, "pix"), "dx", pairs, PX, PY, origin)
 
 
 @query(f"""{D2}, m AS (SELECT c.*, dx * 2 * s AS mx, dy * -2 * s AS my, nullif(abs(left_year - right_year), 0) AS n FROM cells c JOIN (SELECT raster_id, left_year, right_year, CASE WHEN left_year > right_year THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM {{pair_meta}}) ON raster_id = pair_id WHERE dx IS NOT NULL AND dy IS NOT NULL)
@@ -765,7 +785,7 @@ D3 = f"""WITH RECURSIVE done AS (SELECT p.*, pz_name AS zone FROM {{pix}} p JOIN
   good AS MATERIALIZED (SELECT zone, row, col, total FROM (SELECT zone, row, col, sum(label) AS total, count(*) AS n FROM lab GROUP BY 1, 2, 3) JOIN want USING (zone, n)), {kmeans_sql('good', 'zone', 'total', name='z')},
   two AS MATERIALIZED (SELECT zone AS raster_id, row, col, CASE WHEN abs(total - a) <= abs(total - b) THEN 0 ELSE 1 END AS label FROM good JOIN z20 ON g = zone),
   dense AS (SELECT r.raster_id, CAST(i.r AS INT) AS row, CAST(j.c AS INT) AS col, label AS v FROM (SELECT DISTINCT raster_id FROM two) r CROSS JOIN range(0, 32) i(r) CROSS JOIN range(0, 32) j(c) LEFT JOIN two t ON t.raster_id = r.raster_id AND t.row = i.r AND t.col = j.c),
-  {window_sql('e', 'dense', 'max', 1, 1)}, {window_sql('o', 'e', 'min', 1, 1)},
+  {window_sql('e', 'dense', 'max', 15, 14)}, {window_sql('o', 'e', 'min', 15, 14)},
   one AS MATERIALIZED (SELECT o.raster_id, o.row, o.col, o.row * 32 + o.col AS cell FROM o JOIN two t USING (raster_id, row, col) WHERE v = 1),
   reach AS (SELECT raster_id, row, col, cell AS seed FROM one UNION SELECT n.raster_id, n.row, n.col, r.seed FROM reach r JOIN (SELECT *, unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS o FROM one) n
     ON n.raster_id = r.raster_id AND n.row + o[1] = r.row AND n.col + o[2] = r.col WHERE r.seed < n.cell)
@@ -774,4 +794,4 @@ D3 = f"""WITH RECURSIVE done AS (SELECT p.*, pz_name AS zone FROM {{pix}} p JOIN
 
 @query(D3)
 def _d3_moving_areas(spark, d):
-    return flows.moving_areas(view(spark, d, "pix"), view(spark, d, "pair_meta"), "dx", SIZE, SIZE, PX, PY, box=3).select("zone", "component", "raster_val", "n", "area")
+    return flows.moving_areas(view(spark, d, "pix"), view(spark, d, "pair_meta"), "dx", SIZE, SIZE, PX, PY).select("zone", "component", "raster_val", "n", "area")

@@ -1,5 +1,7 @@
 """Properties of segmentation, morphology and matching."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -26,6 +28,38 @@ def box(a, n, fn):
     return np.array([[fn(a[max(0, r - lo) : r + hi + 1, max(0, c - lo) : c + hi + 1]) for c in range(w)] for r in range(h)])
 
 
+def straight(a, b, c):
+    return (b[0] - a[0]) * (c[1] - b[1]) == (b[1] - a[1]) * (c[0] - b[0])
+
+
+def chain_rings(sides: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Directed sides to closed rings; at a corner that two sides leave, the one that keeps the area's own cell on its inside is taken, so the rings of 4-connected areas are simple."""
+    out = defaultdict(list)
+    for r1, c1, r2, c2 in sorted(sides):
+        out[(r1, c1)].append((r2, c2))
+    rings = []
+    for start in [c for c in sorted(out) for _ in out[c]]:
+        if start not in out:
+            continue
+        ring, at, came = [start], start, None
+        while True:
+            nxt = out[at]
+            if len(nxt) > 1 and came is not None:
+                turn = lambda n: (n[1] - at[1]) * came[0] - (n[0] - at[0]) * came[1]  # noqa: E731, B023
+                step = min(nxt, key=turn)
+            else:
+                step = nxt[0]
+            nxt.remove(step)
+            if not nxt:
+                del out[at]
+            came, at = (step[0] - at[0], step[1] - at[1]), step
+            if at == start:
+                break
+            ring.append(at)
+        rings.append([p for k, p in enumerate(ring) if not straight(ring[k - 1], p, ring[(k + 1) % len(ring)])])
+    return rings
+
+
 @pytest.mark.parametrize("n", [3, 5, 4])
 def test_opening_and_closing(spark, n):
     a = np.random.default_rng(n).integers(0, 4, (14, 17))
@@ -71,6 +105,34 @@ def test_outlines(spark):
     assert twice(rings[15][0]) / 2 == 4
 
 
+def turned(ring):
+    k = ring.index(min(ring))
+    return tuple(ring[k:] + ring[:k])
+
+
+@pytest.mark.parametrize("tile", [2, 5, 64])
+def test_outlines_dont_depend_on_tiles(spark, tile):
+    """Rings pass many tiles, touch themselves at corners and lie within each other; all labels are traced."""
+    rng = np.random.default_rng(7)
+    a = (rng.random((23, 19)) < 0.35).astype(int)
+    a[2:20, 3], a[2:20, 15], a[2, 3:16], a[19, 3:16] = 1, 1, 1, 1
+    labels = flood(a)
+    want = {}
+    for component in np.unique(labels):
+        cells = {(int(r), int(c)) for r, c in zip(*np.where(labels == component), strict=True)}
+        sides = [s for r, c in cells for (dr, dc), s in (((-1, 0), (r, c + 1, r, c)), ((1, 0), (r + 1, c, r + 1, c + 1)), ((0, -1), (r, c, r + 1, c)), ((0, 1), (r + 1, c + 1, r, c + 1))) if (r + dr, c + dc) not in cells]
+        want[int(component)] = sorted(turned(ring) for ring in chain_rings(sides))
+    areas = segment.connected_areas(frame(spark, a), 19, 8)
+    got = {}
+    for row in segment.ring_pieces(areas, tile).orderBy("component", "ring", "place").collect():
+        got.setdefault(row.component, {}).setdefault(row.ring, []).extend(zip(row.pr, row.pc, strict=True))
+    assert {c: sorted(turned(r) for r in rings.values()) for c, rings in got.items()} == want
+    polygons = {r.component: r.rings for r in segment.polygonize(areas, 2.0, -2.0, 5.0, 46.0, tile).collect()}
+    for c, rings in polygons.items():
+        twice = [sum(s.x * t.y - t.x * s.y for s, t in zip(p, p[1:] + p[:1], strict=True)) for p in rings]
+        assert twice[0] > 0 and all(t < 0 for t in twice[1:]) and sum(twice) / 2 == 4 * int((labels == c).sum())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**36 - 1))
 def test_rings_close_and_hold_the_area(bits):
@@ -83,7 +145,7 @@ def test_rings_close_and_hold_the_area(bits):
             for (dr, dc), s in (((-1, 0), (r, c + 1, r, c)), ((1, 0), (r + 1, c, r + 1, c + 1)), ((0, -1), (r, c, r + 1, c)), ((0, 1), (r + 1, c + 1, r, c + 1))):
                 if (r + dr, c + dc) not in cells:
                     sides.append(s)
-        rings = segment.chain_rings(sides)
+        rings = chain_rings(sides)
         area = sum(sum(p[1] * q[0] - q[1] * p[0] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) for ring in rings) / 2
         assert abs(area) == len(cells)
         assert all(len(set(ring)) == len(ring) for ring in rings)

@@ -99,6 +99,42 @@ def resample_nearest(pixels: DataFrame, bands: list[str], px: float, py: float,
     return rows.select("raster_id", F.col("mf_r").cast("int").alias("row"), F.col("mf_c").cast("int").alias("col"), *bands)
 
 
+def regrid(pixels: DataFrame, grids: DataFrame, res: float, how: str = "nearest", value: str = "value") -> DataFrame:
+    """Pixels of files of any origin and pixel size on the grids that they are asked for.
+
+    ``pixels``: filepath, row, col, value.  ``grids``: filepath, x0, y0, px, py
+    of the file and gx0, gy0, n_rows, n_cols of a grid of ``res`` from its
+    upper left corner, with any other columns, once for each grid that the
+    file goes to.  'nearest' takes the value of the source cell that holds the
+    centre of a cell, 'average' the mean of the source cells whose centres lie
+    in it, where there are any, else as nearest.  A file on the grid's own
+    pixel size is moved, not averaged.
+
+    A source cell knows the cells of the grid that it serves, so nothing is
+    joined but the grids, by file.
+    """
+    if how not in ("nearest", "average"):
+        raise ValueError(how)
+    f = pixels.join(grids, "filepath")
+
+    def centres(first: Column, size: Column, n: Column) -> Column:
+        """Numbers of the grid cells whose centres lie in [first, first + size)."""
+        lo, hi = F.greatest(F.ceil(first / res - 0.5), F.lit(0)), F.least(F.ceil((first + size) / res - 0.5), n.cast("long")) - 1
+        return F.when(hi >= lo, F.sequence(lo, hi))
+
+    px, py = F.abs("px"), F.abs("py")
+    # from the grid's upper left corner right and down
+    right, down = F.col("x0") + F.col("col") * px - F.col("gx0"), F.col("gy0") - F.col("y0") + F.col("row") * py
+    rows, cols = centres(down, py, F.col("n_rows")), centres(right, px, F.col("n_cols"))
+    if how == "average":
+        inner = lambda first, size, n: F.when((first + size / 2 >= 0) & (first + size / 2 < n * res), F.array(F.floor((first + size / 2) / res)))
+        finer = (px < res) & (py < res)
+        rows, cols = F.when(finer, inner(down, py, F.col("n_rows"))).otherwise(rows), F.when(finer, inner(right, px, F.col("n_cols"))).otherwise(cols)
+    others = [c for c in f.columns if c not in ("row", "col", "x0", "y0", "px", "py", "gx0", "gy0", "n_rows", "n_cols", value)]
+    out = f.withColumn("mf_r", F.explode(rows)).withColumn("mf_c", F.explode(cols)).select(*others, F.col("mf_r").cast("int").alias("row"), F.col("mf_c").cast("int").alias("col"), value)
+    return out if how == "nearest" else out.groupBy(*others, "row", "col").agg(F.avg(value).alias(value))
+
+
 def center_disp(pixels: DataFrame, value: str, how: str = "median", accuracy: int | None = None) -> DataFrame:
     """Subtracts the raster's median, or its mean (null for all if one value is missing).
 

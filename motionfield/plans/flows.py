@@ -29,17 +29,22 @@ def sieve(images: DataFrame, polygons: DataFrame, stored: DataFrame, data_type:
     return catalog.pending_thumbs(scenes.withColumn("th_path", path), stored)
 
 
-def cut_scenes(scenes: DataFrame, pixels: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(th_path, row, col, value): the mosaic of each scene's files within the zone's bounds.
+def cut_scenes(scenes: DataFrame, pixels: DataFrame, headers: DataFrame, polygons: DataFrame, res: float, how: str = "nearest") -> DataFrame:
+    """(th_path, row, col, value): the mosaic of each scene's files within the zone's bounds, on a grid of ``res`` from their upper left corner.
 
-    ``pixels``: filepath, row, col, x, y, value on one grid.
+    ``pixels``: filepath, row, col, value; ``headers``: filepath, x0, y0, px,
+    py.  Each file is brought from its own grid to the scene's first, so a
+    scene may mix origins and pixel sizes; cells whose centres lie outside of
+    the bounds are left out.
     """
     from ..functions.geometry import bounds
 
+    b = F.col("b")
     box = polygons.select("zone_id", bounds(F.col("edges")).alias("b"))
-    files = scenes.join(box, "zone_id").select("th_path", "b", F.explode("files").alias("filepath"))
-    inside = pixels.join(files, "filepath").filter(F.col("x").between(F.col("b.xmin"), F.col("b.xmax")) & F.col("y").between(F.col("b.ymin"), F.col("b.ymax")))
-    return raster.mosaic(inside, ["th_path", "row", "col"])
+    n = lambda lo, hi: F.ceil((b[hi] - b[lo]) / res - 0.5).cast("int")
+    grid = scenes.join(box, "zone_id").select("th_path", F.explode("files").alias("filepath"), b["xmin"].alias("gx0"), b["ymax"].alias("gy0"), n("ymin", "ymax").alias("n_rows"), n("xmin", "xmax").alias("n_cols"))
+    grids = grid.join(headers.select("filepath", "x0", "y0", "px", "py"), "filepath")
+    return raster.mosaic(raster.regrid(pixels, grids, res, how), ["th_path", "row", "col"])
 
 
 def process_project(pixels: DataFrame, value: str, pairs: DataFrame, px: float, py: float, origin: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:

@@ -729,19 +729,36 @@ def _d1_sieve(spark, d):
     return flows.sieve(images, zone, done).select("th_path", F.array_join("files", ",").alias("files"))
 
 
-@query(f"""WITH {BANK}, {MET}, sc AS (SELECT zone_id, filepath, concat('/thumbs/', CAST(zone_id AS STRING), '/opticals/', CAST(zone_id AS STRING), '_', acq_date, '_', sensor, '.tif') AS th_path FROM met WHERE acq_date IS NOT NULL),
-  cells AS (SELECT filepath, i.r - y0::INT AS row, x0::INT + j.c AS col, x0 + j.c + 0.5::DOUBLE AS x, y0 - i.r - 0.5::DOUBLE AS y FROM {{bank_headers}}, range(0, 4) i(r), range(0, 4) j(c))
-  SELECT th_path, row::INT AS row, col::INT AS col, round(arg_min(length(filepath) + row * 0.25::DOUBLE + (length(filepath) % 7) * 0.5::DOUBLE, filepath), 6) + 0.0 AS value
-  FROM sc JOIN zb USING (zone_id) JOIN cells USING (filepath) WHERE x BETWEEN a AND c AND y BETWEEN b AND d GROUP BY 1, 2, 3""")
-def _d1_cut_scenes(spark, d):
-    images, zone = bank(spark, d), polygons(spark, d)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    cells = view(spark, d, "bank_headers").select("filepath", "x0", "y0", steps.alias("i")).withColumn("j", steps)
+CUT = f"""WITH {BANK}, {MET}, sc AS (SELECT zone_id, filepath, concat('/thumbs/', CAST(zone_id AS STRING), '/opticals/', CAST(zone_id AS STRING), '_', acq_date, '_', sensor, '.tif') AS th_path FROM met WHERE acq_date IS NOT NULL),
+  f AS (SELECT th_path, h.*, a, b, c, d FROM sc JOIN zb USING (zone_id) JOIN {{bank_headers}} h USING (filepath)),
+  g AS (SELECT *, a + j + 0.5::DOUBLE AS x, d - i - 0.5::DOUBLE AS y FROM (SELECT *, unnest(range(0, CAST(ceil((c - a) - 0.5) AS INT))) AS j FROM (SELECT *, unnest(range(0, CAST(ceil((d - b) - 0.5) AS INT))) AS i FROM f)))"""
+VALUE = "length(filepath) + r * 0.25::DOUBLE + k * 0.125::DOUBLE + (length(filepath) % 7) * 0.5::DOUBLE"
+
+
+def cut(spark, d, how: str) -> DataFrame:
+    """Scenes of files of 0.5 m and 1 m, each on a grid of its own, at 1 m."""
+    headers, steps = view(spark, d, "bank_headers"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = headers.select("filepath", "n_cols", steps("n_rows").alias("row")).select("filepath", "row", steps("n_cols").alias("col"))
     size = F.length("filepath")
-    pixels = cells.select("filepath", (F.col("i") - F.col("y0").cast("int")).alias("row"), (F.col("x0").cast("int") + F.col("j")).alias("col"), (F.col("x0") + F.col("j") + 0.5).alias("x"), (F.col("y0") - F.col("i") - 0.5).alias("y"))
-    pixels = pixels.withColumn("value", size + F.col("row") * 0.25 + (size % 7) * 0.5)
-    scenes = flows.sieve(images, zone, spark.createDataFrame([], "th_path string"))
-    return r6(flows.cut_scenes(scenes, pixels, zone), "value")
+    pixels = cells.withColumn("value", size + F.col("row") * 0.25 + F.col("col") * 0.125 + (size % 7) * 0.5)
+    zone = polygons(spark, d)
+    scenes = flows.sieve(bank(spark, d), zone, spark.createDataFrame([], "th_path string"))
+    return r6(flows.cut_scenes(scenes, pixels, headers, zone, 1.0, how), "value")
+
+
+@query(f"""{CUT}, v AS (SELECT *, CAST(floor((y0 - y) / abs(py)) AS INT) AS r, CAST(floor((x - x0) / px) AS INT) AS k FROM g)
+  SELECT th_path, i::INT AS row, j::INT AS col, round(arg_min({VALUE}, filepath), 6) + 0.0 AS value FROM v WHERE r BETWEEN 0 AND n_rows - 1 AND k BETWEEN 0 AND n_cols - 1 GROUP BY 1, 2, 3""")
+def _d1_cut_scenes(spark, d):
+    return cut(spark, d, "nearest")
+
+
+@query(f"""{CUT}, src AS (SELECT *, unnest(range(0, n_cols)) AS k FROM (SELECT *, unnest(range(0, n_rows)) AS r FROM f)),
+  fine AS (SELECT th_path, filepath, CAST(floor(d - y0 + (r + 0.5) * abs(py)) AS INT) AS i, CAST(floor(x0 + (k + 0.5) * px - a) AS INT) AS j, avg({VALUE}) AS value, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d FROM src WHERE px < 1 GROUP BY 1, 2, 3, 4),
+  v AS (SELECT *, CAST(floor((y0 - y) / abs(py)) AS INT) AS r, CAST(floor((x - x0) / px) AS INT) AS k FROM g WHERE px >= 1),
+  laid AS (SELECT th_path, filepath, i, j, value FROM fine WHERE i >= 0 AND j >= 0 AND i < ceil((d - b) - 0.5) AND j < ceil((c - a) - 0.5) UNION ALL SELECT th_path, filepath, i, j, {VALUE} FROM v WHERE r BETWEEN 0 AND n_rows - 1 AND k BETWEEN 0 AND n_cols - 1)
+  SELECT th_path, i::INT AS row, j::INT AS col, round(arg_min(value, filepath), 6) + 0.0 AS value FROM laid GROUP BY 1, 2, 3""")
+def _d1_cut_scenes_average(spark, d):
+    return cut(spark, d, "average")
 
 
 CLIP = """pr AS (SELECT raster_id AS pair_id, raster_id AS left_id, raster_id + 1 AS right_id FROM {pair_meta}),

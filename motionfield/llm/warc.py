@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, slices
 
 CHUNK = 64 << 10
+#: Fixed: the profile of records whose payload equals another's; the address of a page without one; the name space of ids of records that others refer to.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+NOWHERE = "urn:x-no-address:"
+NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -41,7 +46,8 @@ def _open(path: str, mode: str):
     from pyarrow import fs
 
     system, local = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system.open_output_stream(local) if mode == "w" else system.open_input_stream(local)
+    # as it is: by its name the stream would be compressed a second time
+    return system.open_output_stream(local, compression=None) if mode == "w" else system.open_input_stream(local, compression=None)
 
 
 def _header(fields: dict) -> bytes:
@@ -52,37 +58,46 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _write(folder: str, chunk: int):
+def record_id(page: int, digest: str) -> str:
+    """The id of a response that others refer to: known to all who know its page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page}:{digest}')}>"
+
+
+def _write(folder: str, chunk: int, date: str):
     def run(batches):
         from pyspark import TaskContext
 
         t = TaskContext.get()
         # a name of its own for every attempt: only what a finished task reports is read
         path = f"{folder}/part-{t.partitionId():06d}-{t.taskAttemptId()}.warc.gz"
-        out, n = None, 0
+        out, n, named = None, 0, set()
         for b in slices(batches, 8 << 20, "payload"):
             payloads = b.column("payload")
             for k, r in enumerate(b.drop_columns(["payload"]).to_pylist()):
                 out = out or _open(path, "w")
                 # a view of the batch: the payload isn't copied
                 payload, revisit = memoryview(payloads[k].as_buffer()), r["refers_to"] is not None
+                own = record_id(r["page_id"], r["digest"])
+                # a repeated row is a record of its own
+                if revisit or own in named:
+                    own = f"<urn:uuid:{uuid.uuid4()}>"
+                named.add(own)
+                head = {
+                    "WARC-Type": "revisit" if revisit else "response",
+                    "WARC-Record-ID": own,
+                    "WARC-Date": date,
+                    "WARC-Target-URI": _clean(r["url"]) or NOWHERE,
+                    "WARC-Payload-Digest": f"sha256:{r['digest']}",
+                    "WARC-Profile": PROFILE if revisit else None,
+                    "WARC-Refers-To": record_id(r["refers_to"], r["digest"]) if revisit else None,
+                    "X-Page-Id": r["page_id"],
+                    "X-Refers-To-Page": r["refers_to"],
+                    "X-Payload-Length": r["bytes"],
+                    "Content-Type": "text/html; charset=utf-8",
+                    "Content-Length": 0 if revisit else len(payload),
+                }
                 gz = zlib.compressobj(3, zlib.DEFLATED, 31)  # a gzip member for each record
-                out.write(
-                    gz.compress(
-                        _header(
-                            {
-                                "WARC-Type": "revisit" if revisit else "response",
-                                "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
-                                "WARC-Target-URI": _clean(r["url"]),
-                                "X-Page-Id": r["page_id"],
-                                "WARC-Payload-Digest": f"sha256:{r['digest']}",
-                                "X-Payload-Length": r["bytes"],
-                                "WARC-Refers-To": f"<page:{r['refers_to']}>" if revisit else None,
-                                "Content-Length": 0 if revisit else len(payload),
-                            }
-                        )
-                    )
-                )
+                out.write(gz.compress(_header(head)))
                 for at in range(0, 0 if revisit else len(payload), chunk):
                     out.write(gz.compress(payload[at : at + chunk]))
                 out.write(gz.compress(b"\r\n\r\n") + gz.flush())
@@ -106,7 +121,8 @@ def write_warc(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         system, local = fs.FileSystem.from_uri(folder)
         system.create_dir(local, recursive=True)
-    return materialize(pages.mapInArrow(_write(folder, chunk), "path string, records long"), "warc-manifest")
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return materialize(pages.mapInArrow(_write(folder, chunk, date), "path string, records long"), "warc-manifest")
 
 
 class Inflated:
@@ -174,11 +190,11 @@ def records(stream, chunk: int):
         held = held[4:]
 
 
-CHUNKS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, chunk int, last boolean, digest_so_far string, data binary"
+CHUNKS = "archive string, record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, chunk int, last boolean, digest_so_far string, data binary"
 
 
 def _read(chunk: int):
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.binary()]
     names = [f.split(" ")[0] for f in CHUNKS.split(", ")]
 
     def run(batches):
@@ -187,8 +203,8 @@ def _read(chunk: int):
                 rows, size = [], 0
                 with _open(path, "r") as stream:
                     for h, number, piece, sha, last in records(Inflated(stream), chunk):
-                        page, ref = h.get("X-Page-Id"), h.get("WARC-Refers-To")
-                        rows.append((h["WARC-Record-ID"], page and int(page), h.get("WARC-Target-URI"), h["WARC-Type"], ref and int(ref[6:-1]), h["WARC-Payload-Digest"][7:], int(h["X-Payload-Length"]), number, last, sha, piece))
+                        page, ref, uri = h.get("X-Page-Id"), h.get("X-Refers-To-Page"), h["WARC-Target-URI"]
+                        rows.append((path, h["WARC-Record-ID"], page and int(page), None if uri == NOWHERE else uri, h["WARC-Type"], ref and int(ref), h["WARC-Payload-Digest"][7:], int(h["X-Payload-Length"]), number, last, sha, piece))
                         size += len(piece) + 300
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -218,8 +234,8 @@ def warc_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     chunks = read_warc(write_warc(roles(rows), chunk), chunk)
-    seen = chunks.select("record_id", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "chunk", "digest_so_far", F.octet_length("data").cast("long").alias("n"))
-    per = seen.groupBy("record_id").agg(
+    seen = chunks.select("archive", "record_id", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "chunk", "digest_so_far", F.octet_length("data").cast("long").alias("n"))
+    per = seen.groupBy("archive", "record_id").agg(
         F.first("page_id").alias("page_id"), F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"),
         F.first("payload_digest").alias("told"), F.first("payload_bytes").alias("told_bytes"), F.sum("n").alias("n"), F.max_by("digest_so_far", "chunk").alias("sha"),
     )

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import zlib
 
 import pytest
@@ -49,6 +50,41 @@ def test_chunks_carry_digests(spark):
     assert so_far == BIG.encode()
 
 
+def strict(data: bytes):
+    """Records of an archive, by the rules of WARC/1.0; each is a gzip member."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        raw, data = member.decompress(data), member.unused_data
+        assert member.eof
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = [re.fullmatch(r"([!-9;-~]+): (.*)", x).groups() for x in lines]
+        h = dict(fields)
+        assert version == "WARC/1.0" and len(h) == len(fields)
+        assert h["WARC-Type"] in ("response", "revisit") and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", h["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) and re.fullmatch(r"[a-z]+:\S*", h["WARC-Target-URI"]) and re.fullmatch(r"sha256:[0-9a-f]{64}", h["WARC-Payload-Digest"]) and h["Content-Type"]
+        n = int(h["Content-Length"])
+        assert rest[n:] == b"\r\n\r\n"
+        assert (h["WARC-Type"] == "revisit") == ("WARC-Profile" in h) == ("WARC-Refers-To" in h)
+        out.append((h, rest[:n]))
+    return out
+
+
+def test_archives_are_read_by_the_rules(spark):
+    pages = [(k, "http://x/" + str(k) if k % 3 else None, ("a page of over a hundred bytes " * 9 if k % 2 else f"{k}")) for k in range(20)]
+    pages.append(pages[1])
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", F.col("html").cast("binary").alias("payload")).repartition(2)
+    found = [r for m in write_warc(roles(rows)).collect() for r in strict(open(m.path.removeprefix("file:"), "rb").read())]
+    ids = {h["WARC-Record-ID"]: (h, body) for h, body in found}
+    assert len(found) == 21 and len({(h["WARC-Record-ID"], h["WARC-Type"]) for h, _ in found}) >= 20
+    for h, body in found:
+        if h["WARC-Type"] == "revisit":
+            target, payload = ids[h["WARC-Refers-To"]]
+            assert target["WARC-Type"] == "response" and not body and h["WARC-Payload-Digest"] == target["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+    assert sum(h["WARC-Type"] == "revisit" for h, _ in found) == 9
+
+
 def test_damaged_archives_are_refused():
     one = b"WARC/1.0\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     whole = zlib.compress(one, wbits=31) * 2

@@ -97,7 +97,7 @@ def _s3_bank_map(spark, d):
 @query(f"WITH {T} SELECT th_path, th_valid, th_pz_name, th_date FROM thumbs")
 def _s4_write_thumbs(spark, d):
     root = fresh_path(spark, "project")
-    return spark.read.parquet(layers.write_thumbs(thumbs(spark, d).select("th_path", "th_valid", "th_pz_name", "th_date"), root)).withColumn("th_date", F.col("th_date").cast("string"))
+    return spark.read.parquet(layers.write_thumbs(thumbs(spark, d).select("th_path", "th_valid", "th_pz_name", "th_date"), root))
 
 
 @query(f"WITH {T}, {P} SELECT k AS pa_key, pz AS pa_pz_name, lpath AS pa_left_path, rpath AS pa_right_path FROM pairs")
@@ -107,13 +107,6 @@ def _s4_write_pairs(spark, d):
     return spark.read.parquet(layers.write_pairs(pairs, root))
 
 
-@query("SELECT concat('k', CAST(raster_id AS STRING)) AS pa_key, row, col, concat('20_k', CAST(raster_id AS STRING), 'shift') AS layer FROM {pix}")
-def _s5_write_vectors(spark, d):
-    root = fresh_path(spark, "project")
-    rows = view(spark, d, "pix").select(F.concat(F.lit("k"), F.col("raster_id").cast("string")).alias("pa_key"), "row", "col")
-    return spark.read.parquet(layers.write_vectors(rows, root, 20))
-
-
 @query("SELECT raster_id, label, count(*)::BIGINT AS n, 'areas_N2_min5' AS layer FROM {pix} GROUP BY 1, 2")
 def _s6_write_areas(spark, d):
     root = fresh_path(spark, "project")
@@ -186,15 +179,32 @@ def _p8_magnitude(spark, d):
     return r6(view(spark, d, "pix").select("raster_id", "row", "col", D.magnitude(F.col("dx"), F.col("dy"), F.lit(PX)).alias("magn")), "magn")
 
 
-@query(f"""WITH m AS (SELECT {XY}, dx, dy, dx * 2 * s AS mx, dy * -2 * s AS my, nullif(abs(left_year - right_year), 0) AS n FROM (SELECT p.*, left_year, right_year, CASE WHEN left_year > right_year THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM {{pix}} p JOIN {{pair_meta}} USING (raster_id)))
+P9_SQL = f"""WITH m AS (SELECT {XY}, dx, dy, dx * 2 * s AS mx, dy * -2 * s AS my, nullif(abs(left_year - right_year), 0) AS n FROM (SELECT p.*, left_year, right_year, CASE WHEN left_year > right_year THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM {{pix}} p JOIN {{pair_meta}} USING (raster_id)))
   SELECT {XY}, round(dx, 6) + 0.0 AS dx_in_pixels, round(dy, 6) + 0.0 AS dy_in_pixels, round(mx, 6) + 0.0 AS dx_in_meters, round(my, 6) + 0.0 AS dy_in_meters, round(sqrt(mx * mx + my * my), 6) AS d_in_meters,
-  round(mx / n, 6) + 0.0 AS dx_in_meters_per_year, round(my / n, 6) + 0.0 AS dy_in_meters_per_year, round(sqrt(mx * mx + my * my) / n, 6) AS d_in_meters_per_year, round(degrees(atan2(dy + 0.0, dx + 0.0)), 6) AS direction FROM m""")
+  round(mx / n, 6) + 0.0 AS dx_in_meters_per_year, round(my / n, 6) + 0.0 AS dy_in_meters_per_year, round(sqrt(mx * mx + my * my) / n, 6) AS d_in_meters_per_year, round(degrees(atan2(dy + 0.0, dx + 0.0)), 6) AS direction FROM m"""
+
+
+@query(P9_SQL)
 def _p9_vector_attributes(spark, d):
     rows = view(spark, d, "pix").join(view(spark, d, "pair_meta"), "raster_id")
     a = D.vector_attributes(F.col("dx"), F.col("dy"), F.lit(PX), F.lit(PY), F.col("left_year"), F.col("right_year"))
     return r6(rows.select("raster_id", "row", "col", *[c.alias(n) for n, c in a.items()]), *a)
 
 
+#: The same rows with zone, pair and layer.
+S5_SQL = P9_SQL.replace("SELECT raster_id, row, col, dx, dy,", "SELECT raster_id, row, col, pz_name, dx, dy,").replace("SELECT p.*, left_year", "SELECT p.*, pz_name, left_year")
+S5_SQL = S5_SQL.replace(" FROM m", ", pz_name AS pa_pz_name, concat('k', CAST(raster_id AS STRING)) AS pa_key, concat('20_k', CAST(raster_id AS STRING), 'shift') AS layer FROM m")
+
+
+@query(S5_SQL)
+def _s5_write_vectors(spark, d):
+    root = fresh_path(spark, "project")
+    rows = view(spark, d, "pix").join(view(spark, d, "pair_meta"), "raster_id")
+    a = D.vector_attributes(F.col("dx"), F.col("dy"), F.lit(PX), F.lit(PY), F.col("left_year"), F.col("right_year"))
+    fields = rows.select(F.col("pz_name").alias("pa_pz_name"), F.concat(F.lit("k"), F.col("raster_id").cast("string")).alias("pa_key"), "raster_id", "row", "col", *[c.alias(n) for n, c in a.items()])
+    return r6(spark.read.parquet(layers.write_vectors(fields, root, 20)), *a)
+
+
 @query(f"SELECT {XY}, round(dx / nullif({YEARS}, 0), 6) + 0.0 AS vx, round(dy / nullif({YEARS}, 0), 6) + 0.0 AS vy, round(sqrt(dx * dx + dy * dy) * 2 / nullif({YEARS}, 0), 6) AS vm FROM {{pix}} JOIN {{pair_meta}} USING (raster_id)")
 def _p10_velocity(spark, d):
     rows = view(spark, d, "pix").join(view(spark, d, "pair_meta"), "raster_id")

@@ -122,7 +122,7 @@ def test_layers(spark, tmp_path):
     with pytest.raises(ValueError):
         layers.read_layers(spark, root, 21781, ("pzones",))
     layers.write_layer(rows.limit(1), root, "pzones")
-    assert spark.read.parquet(f"{root}/pzones").count() == 1
+    assert layers.read_layer(spark, root, "pzones").count() == 1
     assert layers.read_bank_map(spark, root) is None
     assert layers.list_files(spark, f"{root}/pzones").filter(F.col("filepath").endswith(".parquet")).count() >= 1
     files = spark.createDataFrame([("/a/x.tif",), ("/a/x.TIF",), ("/a/x.Tif",), ("/a/x.JP2",), ("/a/tif",)], "filepath string")
@@ -150,3 +150,43 @@ def test_joins_by_place_in_any_unit(spark):
     assert hits == {(p, k) for p, px, py in points for k, x, y, w, h in zone if x < px < x + w and y < py < y + h} and hits
     cells = ims.withColumn("s", F.pow(F.lit(2.0), G.level(F.col("extent"))))
     assert cells.select(F.max(F.size(G.cell_range(F.col("extent.xmin"), F.col("extent.xmax"), F.col("s"))))).first()[0] <= 2
+
+
+def test_layer_versions(spark, tmp_path):
+    """A reader keeps its snapshot through writes that fail or succeed, and replaced versions go after a time."""
+    import threading
+
+    root = str(tmp_path)
+    table = lambda n: spark.range(n).select(F.col("id").alias("k"))
+    with pytest.raises(FileNotFoundError):
+        layers.read_layer(spark, root, "t")
+    layers.write_layer(table(5), root, "t")
+    old = layers.read_layer(spark, root, "t")
+    with pytest.raises(Exception, match="no such number"):
+        layers.write_layer(table(9).withColumn("k", F.when(F.col("k") == 8, F.raise_error(F.lit("no such number")).cast("long")).otherwise(F.col("k"))), root, "t")
+    assert layers.read_layer(spark, root, "t").count() == 5
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            seen.append(layers.read_layer(spark, root, "t").count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in (6, 7, 8):
+        layers.write_layer(table(n), root, "t")
+    stop.set()
+    reader.join()
+    assert seen and seen == sorted(seen) and set(seen) <= {5, 6, 7, 8}
+    assert old.count() == 5 and layers.read_layer(spark, root, "t").count() == 8
+    assert layers.clean_layer(spark, root, "t", 3600) == 0 and layers.clean_layer(spark, root, "t", -1) == 3
+    assert len(layers.manifests(spark, root, "t")) == 1 and layers.read_layer(spark, root, "t").count() == 8
+
+
+def test_files_follow_bytes_and_pairs(spark, tmp_path):
+    """2,000 pairs of two zones are few files, and a pair's rows lie in one or two of them."""
+    rows = spark.range(0, 40_000, 1, 8).select(F.concat(F.lit("k"), F.col("id") % 2000).alias("pa_key"), (F.col("id") / 2000).cast("int").alias("row"), F.lit(0).alias("col"), F.concat(F.lit("pz"), F.col("id") % 2).alias("pa_pz_name"))
+    path = layers.write_vectors(rows, str(tmp_path), 20)
+    assert len(spark.read.parquet(path).inputFiles()) <= 16
+    one = spark.read.parquet(path).filter("pa_key = 'k77'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(one) <= 2 and sum(r[1] for r in one) == 20

@@ -19,8 +19,30 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Folders that were handed out and not removed yet, oldest first.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/mf-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/mf-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_since(spark: SparkSession, mark: int, but: tuple[str, ...] = ()) -> int:
+    """Removes the folders handed out since there were ``mark`` of them, other than ``but``; returns how many are left.
+
+    For a caller that has written what it needs: tables that are still read
+    from such a folder fail afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in [p for p in _made[mark:] if p not in but]:
+        path(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(name), True)
+        _made.remove(name)
+    return len(_made)
+
+
+def handed_out() -> int:
+    return len(_made)
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

@@ -45,12 +45,16 @@ def handed_out() -> int:
     return len(_made)
 
 
+def write_table(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it again."""
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+    """Write ``df`` to a new folder of the shared one and read it again.
 
     The lineage ends there, so lost executors cost no recomputation, and the
     planner knows the size of what it reads.
     """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, fresh_path(df.sparkSession, tag), codec)

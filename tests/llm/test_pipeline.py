@@ -53,7 +53,11 @@ def test_stages_on_edges(spark):
     cut = {r.doc_id: r for r in P.repeated_passages(spark, docs, SF).collect()}
     assert cut[1].text == body and cut[2].text == "" and cut[2].n_chars == 0 and cut[5].text == "end" and cut[3].text is None and cut[6].text == "short text"
     assert len(P.benchmark_passages(spark, docs, SF).collect()) == len(rows)
-    assert len(P.quality_filter(spark, docs, SF).limit(0).collect()) == 0
+    judged = {r.doc_id or 0 for r in P.quality_filter(spark, docs, SF).collect()}
+    assert judged <= {0, 1, 2, 3, 4, 5, 6}
+    pieces = P.packing(spark, docs, SF).collect()
+    assert sorted({(r.doc_id or 0, r.doc_tokens) for r in pieces if not r.start}) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert [r.doc_tokens for r in pieces if r.doc_id in (3, 4)] == [1, 1] and sum(r.doc_id == 6 for r in pieces) >= 2
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
 
@@ -79,5 +83,82 @@ def test_stages_keep_columns_of_any_name(spark):
         assert sorted((tuple(r)[:5] for r in rows), key=str) == plain and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
 
 
+def test_very_long_texts(spark):
+    """A text of 150,000 words goes through every stage; its copy goes."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(40_000)}" for _ in range(150_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, "short", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r[0] for r in P.quality_filter(spark, docs, SF).select("doc_id").collect()} <= {1, 2, 3}
+    assert sorted(r[0] for r in P.near_dedup(spark, docs, SF).select("doc_id").collect()) == [1, 3]
+    cut = {r.doc_id: r.text for r in P.repeated_passages(spark, docs, SF).collect()}
+    assert cut == {1: long, 2: "", 3: "short"}
+    assert P.benchmark_passages(spark, docs, SF).count() == 3
+    pieces = P.packing(spark, docs, SF).filter("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 150_000
+
+
+def test_whole_pipeline_against_brute_force(spark):
+    """All stages on all given documents, the classifier's scores taken as they are."""
+    import glob
+    import re
+
+    from tokenizers import Tokenizer
+
+    from motionfield.llm.queries import tokenizer_path
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id: r.text for r in P.quality_filter(spark, docs, sf).collect()}
+    sets = {i: shingles(t) for i, t in left.items()}
+    ids, label = sorted(left), {i: i for i in left}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if (both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)) or not (sets[a] or sets[b]):
+                x, y = top(a), top(b)
+                label[max(x, y)] = min(x, y)
+    left = {i: left[i] for i in ids if top(i) == i}
+    starts, cut = {}, {}
+    for i in sorted(left):
+        w = (left[i] or "").encode().split()
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        gone = {p for k, x in enumerate(windows) if starts.get(x, i) < i for p in range(k, k + 50)}
+        for x in windows:
+            starts.setdefault(x, i)
+        cut[i] = b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else left[i]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    held = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        v = words(r.text)
+        n = min(13, len(v))
+        held |= {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if v else set()
+    kept = {}
+    for i, t in cut.items():
+        w = words(t)
+        hit = {p for n in {len(x) for x in held} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in held for p in range(k, k + n)}
+        if not hit or 20 * len(hit) < len(w):
+            kept[i] = t
+    tool = Tokenizer.from_file(tokenizer_path())
+    want = {i: tool.encode(t or "", add_special_tokens=False).ids + [1] for i, t in kept.items()}
+    rows = P.run(spark, sf).collect()
+    got, windows = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        piece = [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
+        assert r.start == len(got.setdefault(r.doc_id, [])) and len(piece) == r.length
+        got[r.doc_id] += piece
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == want and 0 < len(want) < docs.count()
+    for parts in windows.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    # of the pipeline's tables the last stage's alone is left
+    assert len(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/mf-stage*")) == 1
+
+
 def test_query(spark):
     assert pipeline(spark, "/root/testdata/sf0.001").count() > 0

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 TILE = 256
 
 
@@ -67,6 +69,56 @@ def with_halo(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
     return pixels.withColumn("tr", span("row")).withColumn("tc", span("col"))
 
 
+def moved_by(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The array whose cell (r, c) is ``a``'s (r + dy, c + dx), NaN outside."""
+    h, w = a.shape
+    out = np.full((h, w), np.nan)
+    if abs(dy) < h and abs(dx) < w:
+        out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = a[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    return out
+
+
+def scores_at(left: np.ndarray, right: np.ndarray, k: int, dy: int, dx: int) -> np.ndarray:
+    """Correlation of each cell's window with the one displaced by (dy, dx); -inf without a full window."""
+    out = np.full(left.shape, -np.inf)
+    if min(left.shape) >= k:
+        found = ncc(left, moved_by(right, dy, dx), k)
+        out[k // 2 : k // 2 + found.shape[0], k // 2 : k // 2 + found.shape[1]] = np.where(np.isnan(found), -np.inf, found)
+    return out
+
+
+def log_kernel(sigma: float) -> np.ndarray:
+    """Laplacian of a Gaussian within three deviations, with a sum of zero."""
+    half = int(np.ceil(3 * sigma))
+    y, x = np.mgrid[-half : half + 1, -half : half + 1]
+    r2 = (x * x + y * y).astype(float)
+    w = (r2 - 2 * sigma**2) / sigma**4 * np.exp(-r2 / (2 * sigma**2))
+    return w - w.mean()
+
+
+def convolved(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Weighted sums over full windows, NaN where a value is missing."""
+    half, out = kernel.shape[0] // 2, np.zeros(a.shape)
+    for (i, j), w in np.ndenumerate(kernel):
+        out += w * moved_by(a, i - half, j - half)
+    return out
+
+
+def filter_pixels(pixels: DataFrame, columns: list[str], kernel: np.ndarray, tile: int = TILE, key: str = "pair_id") -> DataFrame:
+    """(key, row, col, columns): each column convolved with ``kernel``, over tiles with a halo; null without a full window."""
+    half = kernel.shape[0] // 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])
+        r0, c0, found = _grid(pdf, columns)
+        rows, cols = pdf["row"][own].to_numpy(), pdf["col"][own].to_numpy()
+        return pd.DataFrame({key: pdf[key].iloc[0], "row": rows, "col": cols, **{c: convolved(a, kernel)[rows - r0, cols - c0] for c, a in zip(columns, found, strict=True)}})
+
+    rows = pixels.select(F.col(key).cast("long").alias(key), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *columns)
+    found = with_halo(rows, tile, half).groupBy(key, "tr", "tc").applyInPandas(run, f"{key} long, row int, col int, " + ", ".join(f"{c} double" for c in columns))
+    return found.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns})
+
+
 def match_blocks(clipped: DataFrame, kernel: int = 7, search: int = 10, threshold: float = 10.0, tile: int = TILE) -> DataFrame:
     """(pair_id, row, col, dx, dy, good): integer displacements of each cell of a pair's common area.
 
@@ -96,12 +148,15 @@ def match_blocks(clipped: DataFrame, kernel: int = 7, search: int = 10, threshol
     return found.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("dx", "dy")})
 
 
-def corr_eval(clipped: DataFrame, disp: DataFrame, kernel: int = 7) -> DataFrame:
+def corr_eval(clipped: DataFrame, disp: DataFrame, kernel: int = 7, prefilter: float | None = None) -> DataFrame:
     """(pair_id, row, col, cc): Pearson correlation of each left window with the right window at its rounded displacement.
 
     Equi-joins on cells: kernel offsets, left cells, displaced right cells.
-    Full windows only; flat windows are null.
+    Full windows only; flat windows are null.  ``prefilter`` is the deviation
+    of a Laplacian of Gaussian that both images go through first.
     """
+    if prefilter:
+        clipped = filter_pixels(clipped, ["left", "right"], log_kernel(prefilter))
     half = kernel // 2
     offsets = F.explode(F.sequence(F.lit(-half), F.lit(kernel - 1 - half)))
     step = lambda c: F.floor(F.col(c) + 0.5).cast("int")
@@ -116,14 +171,17 @@ def corr_eval(clipped: DataFrame, disp: DataFrame, kernel: int = 7) -> DataFrame
     return disp.select("pair_id", "row", "col").join(c, ["pair_id", "row", "col"], "left").select("pair_id", "row", "col", full.alias("cc"))
 
 
-def corr_eval_tiles(clipped: DataFrame, disp: DataFrame, kernel: int = 7, reach: int = 10, tile: int = TILE) -> DataFrame:
+def corr_eval_tiles(clipped: DataFrame, disp: DataFrame, kernel: int = 7, reach: int = 10, tile: int = TILE, prefilter: float | None = None) -> DataFrame:
     """The same from tiles, without the kernel-squared join; displacements are at most ``reach`` cells."""
     half = kernel // 2
-    halo = reach + half + 1
+    log = log_kernel(prefilter) if prefilter else None
+    halo = reach + half + 1 + (log.shape[0] // 2 if prefilter else 0)
     rows = clipped.join(disp.select("pair_id", "row", "col", "dx", "dy"), ["pair_id", "row", "col"], "left").withColumn("pair_id", F.col("pair_id").cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0, (left, right, dx, dy) = _grid(pdf, ["left", "right", "dx", "dy"])
+        if log is not None:
+            left, right = convolved(left, log), convolved(right, log)
         h, w = left.shape
         sx, sy = np.floor(dx + 0.5), np.floor(dy + 0.5)
         out = np.full((h, w), np.nan)
@@ -144,3 +202,93 @@ def corr_eval_tiles(clipped: DataFrame, disp: DataFrame, kernel: int = 7, reach:
 
     found = with_halo(rows, tile, halo).groupBy("pair_id", "tr", "tc").applyInPandas(run, "pair_id long, row int, col int, cc double")
     return found.withColumn("cc", F.nanvl("cc", F.lit(None).cast("double")))
+
+
+def _level(joined: DataFrame, kernel: int, search: int, halo: int, tile: int, subpixel: bool) -> DataFrame:
+    """(pair_id, row, col, dx, dy, score): the best displacement within ``search`` cells of each cell's own (px, py)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])
+        if not own.any():
+            return pd.DataFrame({c: [] for c in ("pair_id", "row", "col", "dx", "dy", "score")})
+        r0, c0, (left, right, px, py) = _grid(pdf, ["left", "right", "px", "py"])
+        rows, cols = pdf["row"][own].to_numpy() - r0, pdf["col"][own].to_numpy() - c0
+        py, px = py[rows, cols], px[rows, cols]
+        known = ~np.isnan(py) & ~np.isnan(px)
+        steps = sorted(((y, x) for y in range(-search, search + 1) for x in range(-search, search + 1)), key=lambda o: (o[0] ** 2 + o[1] ** 2, *o))
+        best, top = np.full((len(rows), 2), np.nan), np.full(len(rows), -np.inf)
+        starts = np.unique(np.stack([py[known], px[known]], axis=1), axis=0).astype(int)
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def score(dy: int, dx: int) -> np.ndarray:
+            # cells that start from different displacements ask for the same ones
+            if (dy, dx) not in held:
+                held[dy, dx] = scores_at(left, right, kernel, dy, dx)[rows, cols]
+            return held[dy, dx]
+
+        for y0, x0 in starts.tolist():
+            here = known & (py == y0) & (px == x0)
+            for y, x in steps:
+                s = score(y0 + y, x0 + x)
+                better = here & (s > top + 1e-9)
+                best[better], top[better] = (y0 + y, x0 + x), s[better]
+        found = ~np.isnan(best[:, 0])
+        exact = best.copy()
+        if subpixel:
+            for y, x in np.unique(best[found], axis=0).astype(int).tolist():
+                here = np.flatnonzero(found & (best[:, 0] == y) & (best[:, 1] == x))
+                for axis, (a, b) in enumerate((((y - 1, x), (y + 1, x)), ((y, x - 1), (y, x + 1)))):
+                    low, high = score(*a)[here], score(*b)[here]
+                    # the top of the parabola through the peak and its neighbours
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        shift = (low - high) / (2 * (low - 2 * top[here] + high))
+                    ok = np.isfinite(low) & np.isfinite(high) & (np.abs(shift) <= 0.5)
+                    exact[here, axis] += np.where(ok, shift, 0.0)
+        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "row": rows + r0, "col": cols + c0, "dx": exact[:, 1], "dy": exact[:, 0], "score": np.where(found, top, np.nan)})
+
+    found = with_halo(joined, tile, halo).groupBy("pair_id", "tr", "tc").applyInPandas(run, "pair_id long, row int, col int, dx double, dy double, score double")
+    return found.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("dx", "dy", "score")})
+
+
+def _pyramid(images: list[DataFrame], kernel: int, search: int, step: int, tile: int, subpixel: bool) -> DataFrame:
+    """Displacements from the coarsest image to the finest; a cell starts from twice its parent's."""
+    at, reach = None, 0
+    for k in range(len(images) - 1, -1, -1):
+        cells, last = images[k], k == 0
+        if at is None:
+            joined, reach = cells.withColumns({"px": F.lit(0.0), "py": F.lit(0.0)}), search
+        else:
+            parent = at.select("pair_id", F.col("row").alias("mf_r"), F.col("col").alias("mf_c"), (F.round("dx") * 2).alias("px"), (F.round("dy") * 2).alias("py"))
+            # a cell whose parent has no match starts from no displacement
+            joined = cells.withColumns({"mf_r": F.floor(F.col("row") / 2).cast("int"), "mf_c": F.floor(F.col("col") / 2).cast("int")}).join(parent, ["pair_id", "mf_r", "mf_c"], "left").drop("mf_r", "mf_c")
+            joined = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("px", "py")})
+            reach = 2 * reach + step
+        own = search if at is None else step
+        at = materialize(_level(joined, kernel, own, reach + kernel // 2 + 2, tile, subpixel and last), "pyramid")
+    return at
+
+
+def match_pyramid(clipped: DataFrame, kernel: int = 7, search: int = 10, levels: int = 3, step: int = 2, threshold: float = 10.0, subpixel: bool = True, tile: int = TILE) -> DataFrame:
+    """(pair_id, row, col, dx, dy, good): displacements from coarse to fine.
+
+    Each level halves the images (means of 2 x 2 cells).  The coarsest is
+    searched within ``search`` of its cells, so displacements reach about
+    ``search * 2 ** (levels - 1)`` cells; each finer level within ``step``
+    cells of twice the displacement of the cell above.  The finest gets the
+    top of the parabola through the best score and its neighbours.  Matches
+    are dropped as by ``match_blocks``.  Work grows with the reach's logarithm
+    and tiles carry a halo, so results don't depend on ``tile``.
+    """
+    cells = clipped.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right"))
+    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    images = [cells]
+    for k in range(1, levels):
+        # a cell of which one value is missing is missing
+        mean = lambda c: F.when(F.count(c) == 4, F.avg(c)).alias(c)
+        images.append(materialize(images[-1].groupBy("pair_id", half("row"), half("col")).agg(mean("left"), mean("right")), f"level{k}"))
+    there = _pyramid(images, kernel, search, step, tile, subpixel)
+    swapped = [i.withColumnsRenamed({"left": "mf_l", "right": "left"}).withColumnRenamed("mf_l", "right") for i in images]
+    back = _pyramid(swapped, kernel, search, step, tile, False).select("pair_id", F.col("row").alias("mf_r"), F.col("col").alias("mf_c"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
+    placed = there.withColumns({"mf_r": (F.col("row") + F.round("dy")).cast("int"), "mf_c": (F.col("col") + F.round("dx")).cast("int")}).join(back, ["pair_id", "mf_r", "mf_c"], "left")
+    good = F.coalesce((F.abs(F.round("dx") + F.col("bx")) <= threshold) & (F.abs(F.round("dy") + F.col("by")) <= threshold), F.lit(False))
+    return placed.select("pair_id", "row", "col", F.when(good, F.col("dx")).alias("dx"), F.when(good, F.col("dy")).alias("dy"), good.cast("int").alias("good"))

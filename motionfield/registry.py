@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -694,6 +695,12 @@ def matched(spark, d):
     return view(spark, d, "match_pairs").withColumnsRenamed({"lv": "left", "rv": "right"})
 
 
+@query()
+def _g6_match_pyramid(spark, d):
+    """Held against a plain pyramid in the tests: its SQL would be three searches within each other."""
+    return r6(matching.match_pyramid(matched(spark, d), search=4, levels=2), "dx", "dy")
+
+
 @query(match_sql(7, 10))
 def _g6_match_blocks(spark, d):
     return r6(matching.match_blocks(matched(spark, d)), "dx", "dy")
@@ -723,6 +730,21 @@ def _g7_corr_eval_tiles(spark, d):
     return r6(matching.corr_eval_tiles(*eval_pairs(spark, d), kernel=5, reach=2, tile=16), "cc")
 
 
+#: Weights of the filter, the same on both sides.
+LOG = ", ".join(f"({y - 4}, {x - 4}, {w!r}::DOUBLE)" for (y, x), w in np.ndenumerate(matching.log_kernel(1.25).astype(float)) for w in [float(w)])
+
+
+@query(f"""WITH raw AS MATERIALIZED (SELECT a.raster_id AS pair_id, a.row, a.col, a.dx AS lv, b.dy + b.dx / 2 AS rv FROM {{pix}} a JOIN {{pix}} b ON b.raster_id = a.raster_id AND b.row = a.row + 1 AND b.col = a.col),
+  k(y, x, w) AS (VALUES {LOG}),
+  ev AS MATERIALIZED (SELECT pair_id, row, col, CASE WHEN n = 81 THEN lv END AS lv, CASE WHEN n = 81 THEN rv END AS rv FROM (SELECT t.pair_id, t.row, t.col, count(*) AS n, sum(w * r.lv) AS lv, sum(w * r.rv) AS rv FROM (SELECT pair_id, row, col, y, x, w, row + y AS ry, col + x AS rx FROM raw CROSS JOIN k) t JOIN raw r ON r.pair_id = t.pair_id AND r.row = t.ry AND r.col = t.rx GROUP BY 1, 2, 3)),
+  o AS MATERIALIZED (SELECT pair_id, row, col, row + y AS lr, col + x AS lc FROM ev CROSS JOIN range(-2, 3) a(y) CROSS JOIN range(-2, 3) b(x)),
+  l AS MATERIALIZED (SELECT o.*, ev.lv FROM o JOIN ev ON ev.pair_id = o.pair_id AND ev.row = lr AND ev.col = lc WHERE ev.lv IS NOT NULL),
+  s AS (SELECT l.pair_id, l.row, l.col, count(*) AS n, corr(l.lv, ev.rv) AS cc FROM l JOIN ev ON ev.pair_id = l.pair_id AND ev.row = lr - 1 AND ev.col = lc WHERE ev.rv IS NOT NULL GROUP BY ALL)
+  SELECT ev.pair_id::BIGINT AS pair_id, ev.row, ev.col, CASE WHEN n = 25 AND NOT isnan(cc) THEN round(cc, 6) + 0.0 END AS cc FROM ev LEFT JOIN s USING (pair_id, row, col)""")
+def _g7_corr_eval_prefilter(spark, d):
+    return r6(matching.corr_eval_tiles(*eval_pairs(spark, d), kernel=5, reach=2, prefilter=1.25), "cc")
+
+
 # ---- flows ------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,69 @@ def to_tiles(pixels: DataFrame, keys: list[str], width: int) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(at)), lambda s: s["value"]).alias("data"))
 
 
+TILE = 64
+
+
+def tile_rasters(pixels: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
+    """(raster_id, tr, tc, an array for each column): rasters as row-major tiles, to be stored and sampled by place.
+
+    A value of the arrays is null where the cell's is, and NaN where there is
+    no cell; ``tr``, ``tc`` are the index of the tiles.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = pixels.schema["raster_id"].dataType.simpleString()
+
+    def run(key, table):
+        at = table.column("row").to_numpy() % tile * tile + table.column("col").to_numpy() % tile
+        out = {"raster_id": table.column("raster_id").slice(0, 1), "tr": pa.array([key[1].as_py()], pa.int32()), "tc": pa.array([key[2].as_py()], pa.int32())}
+        for c in columns:
+            v, null = np.full(tile * tile, np.nan), np.zeros(tile * tile, bool)
+            own = table.column(c).combine_chunks()
+            # NaN is no value either
+            gone = own.is_null(nan_is_null=True).to_numpy(zero_copy_only=False)
+            v[at], null[at] = np.where(gone, 0.0, own.fill_null(0.0).to_numpy(zero_copy_only=False)), gone
+            out[c] = pa.array([pa.array(v, mask=null)], pa.list_(pa.float64()))
+        return pa.table(out)
+
+    rows = pixels.select("raster_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(c).cast("double").alias(c) for c in columns])
+    placed = rows.withColumns({"tr": F.floor(F.col("row") / tile).cast("int"), "tc": F.floor(F.col("col") / tile).cast("int")})
+    return placed.groupBy("raster_id", "tr", "tc").applyInArrow(run, f"raster_id {kind}, tr int, tc int, " + ", ".join(f"`{c}` array<double>" for c in columns))
+
+
+def as_tiles(rasters: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
+    """Stored tiles as they are, pixels as tiles."""
+    return rasters if {"tr", "tc"} <= set(rasters.columns) else tile_rasters(rasters, columns, tile)
+
+
+def tile_place(row: Column, col: Column, tile: int = TILE) -> dict[str, Column]:
+    """Tile and position within it of a cell."""
+    return {"tr": F.floor(row / tile).cast("int"), "tc": F.floor(col / tile).cast("int"), "mf_pos": (F.pmod(row, F.lit(tile)) * tile + F.pmod(col, F.lit(tile))).cast("int")}
+
+
+def sample_cells(cells: DataFrame, rasters: DataFrame, columns: list[str], tile: int = TILE, block: int = 1024) -> DataFrame:
+    """The rows of ``cells`` (row, col, ...) with raster_id and the columns' values, for each raster that has the cell.
+
+    Cells go to the tiles in blocks, so an array is read many times where it
+    lies; tiles are dealt by raster as well as by place, so rasters that all
+    cover one place are shared by all tasks.
+    """
+    tiles, salts = as_tiles(rasters, columns, tile), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [c for c in cells.columns]
+    placed = cells.withColumns(tile_place(F.col("row"), F.col("col"), tile)).withColumn("mf_row", F.struct(*own))
+    # blocks of about so many cells by their number in the tile
+    many = placed.groupBy("tr", "tc").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("mf_n"))
+    blocks = placed.join(many, ["tr", "tc"]).withColumn("mf_b", F.pmod(F.xxhash64(*own), "mf_n"))
+    blocks = blocks.groupBy("tr", "tc", "mf_b").agg(F.collect_list(F.struct("mf_pos", "mf_row")).alias("mf_cells"))
+    blocks = blocks.withColumn("mf_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = tiles.withColumn("mf_s", F.pmod(F.hash("raster_id"), F.lit(salts)).cast("int")).join(blocks, ["tr", "tc", "mf_s"])
+    rows = met.select("raster_id", *[F.col(c).alias(f"mf_{k}") for k, c in enumerate(columns)], F.explode("mf_cells").alias("mf_c"))
+    found = rows.select("mf_c.mf_row.*", "raster_id", *[F.get(f"mf_{k}", F.col("mf_c.mf_pos")).alias(f"mf_{k}") for k in range(len(columns))])
+    # NaN in the first column is a cell that the raster doesn't have
+    return found.filter("mf_0 is null or not isnan(mf_0)").withColumnsRenamed({f"mf_{k}": c for k, c in enumerate(columns)})
+
+
 def crop_pixels(pixels: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, x0: float, y0: float, px: float, py: float) -> DataFrame:
     """Pixels whose centres lie in the bounds, as row and column ranges that reach the scan."""
     import math

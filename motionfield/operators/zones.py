@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import raster
 
 
 def zones_from_edges(edges: DataFrame, zone: str = "zone_id") -> DataFrame:
@@ -106,25 +107,29 @@ def point_cells(points: DataFrame, x0: float, y0: float, px: float, py: float) -
     return points.withColumns({"row": F.floor((F.col("y") - y0) / py).cast("int"), "col": F.floor((F.col("x") - x0) / px).cast("int")})
 
 
-def sample_points(points: DataFrame, pixels: DataFrame, value: str, name: str, x0: float, y0: float, px: float, py: float) -> DataFrame:
+def sample_points(points: DataFrame, rasters: DataFrame, value: str, name: str, x0: float, y0: float, px: float, py: float) -> DataFrame:
     """Adds raster_id and the value of the cell under each point, for each raster on the grid that has the cell.
 
-    The value's column is named after the raster file up to the first dot; a
-    point off all rasters is one row of nulls.
+    ``rasters``: pixels, or tiles as by ``tile_rasters``, of which an element
+    is read.  The value's column is named after the raster file up to the
+    first dot; a point off all rasters is one row of nulls.
     """
     column = name.split(".")[0]
     cells = point_cells(points, x0, y0, px, py)
-    return cells.join(pixels.select("raster_id", "row", "col", F.col(value).alias(column)), ["row", "col"], "left").drop("row", "col")
+    tiles = raster.as_tiles(rasters, [value])
+    found = raster.sample_cells(cells, tiles, [value]).withColumnRenamed(value, column)
+    off = cells.join(found.select("row", "col").distinct(), ["row", "col"], "left_anti").withColumns({"raster_id": F.lit(None).cast(tiles.schema["raster_id"].dataType), column: F.lit(None).cast("double")})
+    return found.unionByName(off).drop("row", "col")
 
 
-def sample_points_buffer(points: DataFrame, pixels: DataFrame, value: str, radius: float, x0: float, y0: float, px: float, py: float, key: str = "point_id") -> DataFrame:
+def sample_points_buffer(points: DataFrame, rasters: DataFrame, value: str, radius: float, x0: float, y0: float, px: float, py: float, key: str = "point_id") -> DataFrame:
     """(key, raster_id, mean): mean of a raster's cells whose centres are within ``radius`` of the point; one row of nulls where there is none.
 
-    The points' own cells are listed, not the pixels.
+    The points' own cells are listed and read from the rasters' tiles, not the pixels.
     """
     span = lambda c, o, size: F.sequence(F.floor(F.least((F.col(c) - radius - o) / size, (F.col(c) + radius - o) / size)), F.ceil(F.greatest((F.col(c) - radius - o) / size, (F.col(c) + radius - o) / size)))
     cells = points.select(key, "x", "y", F.explode(span("y", y0, py).cast("array<int>")).alias("row")).select("*", F.explode(span("x", x0, px).cast("array<int>")).alias("col"))
     cx, cy = F.lit(x0) + (F.col("col") + 0.5) * px, F.lit(y0) + (F.col("row") + 0.5) * py
-    near = cells.filter((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y")) <= radius * radius)
-    means = near.join(pixels.select("raster_id", "row", "col", F.col(value).alias("v")), ["row", "col"]).groupBy(key, "raster_id").agg(F.avg("v").alias("mean"))
+    near = cells.filter((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y")) <= radius * radius).select(key, "row", "col")
+    means = raster.sample_cells(near, rasters, [value]).groupBy(key, "raster_id").agg(F.avg(value).alias("mean"))
     return points.select(key).join(means, key, "left")

@@ -190,3 +190,31 @@ def test_files_follow_bytes_and_pairs(spark, tmp_path):
     assert len(spark.read.parquet(path).inputFiles()) <= 16
     one = spark.read.parquet(path).filter("pa_key = 'k77'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
     assert len(one) <= 2 and sum(r[1] for r in one) == 20
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_sampling_from_tiles(spark, tmp_path, stored):
+    """Many points and rasters, nulls, gaps and cells on both sides of tile borders, from pixels or from stored tiles."""
+    import random
+
+    rng = random.Random(1)
+    cells = {(k, r, c): rng.choice([None, rng.random()]) for k in range(5) for r in range(-3, 70) for c in (*range(60, 68), 130) if rng.random() < 0.7}
+    pixels = spark.createDataFrame([(*at, v) for at, v in cells.items()], "raster_id int, row int, col int, v double")
+    if stored:
+        raster.tile_rasters(pixels, ["v"]).write.parquet(f"{tmp_path}/tiles")
+        pixels = spark.read.parquet(f"{tmp_path}/tiles")
+    points = [(k, rng.uniform(55, 135), -rng.uniform(-5, 75)) for k in range(400)] + [(7, 61.5, -3.5)] * 2
+    df = spark.createDataFrame(points, "point_id int, x double, y double")
+    got = sorted((r.point_id, r.raster_id if r.raster_id is not None else -1, r.s or 0) for r in zones.sample_points(df, pixels, "v", "s.tif", 0.0, 0.0, 1.0, -1.0).collect())
+    want = []
+    for i, x, y in points:
+        hit = [(i, k, cells[k, math.floor(-y), math.floor(x)] or 0) for k in range(5) if (k, math.floor(-y), math.floor(x)) in cells]
+        want += hit or [(i, -1, 0)]
+    assert got == sorted(want) and sum(w[1] >= 0 for w in want) > 100
+    means = {(r.point_id, r.raster_id): r["mean"] for r in zones.sample_points_buffer(df.filter("point_id < 50").distinct(), pixels, "v", 2.0, 0.0, 0.0, 1.0, -1.0).filter("mean is not null").collect()}
+    near = {}
+    for i, x, y in {p for p in points if p[0] < 50}:
+        for (k, r, c), v in cells.items():
+            if v is not None and (c + 0.5 - x) ** 2 + (-(r + 0.5) - y) ** 2 <= 4:
+                near.setdefault((i, k), []).append(v)
+    assert means.keys() == near.keys() and all(abs(means[k] - sum(v) / len(v)) < 1e-12 for k, v in near.items()) and near

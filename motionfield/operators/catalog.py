@@ -225,9 +225,8 @@ def images_on_zones(images: DataFrame, zones: DataFrame) -> DataFrame:
     asked = asked.withColumn("gx", F.explode(G.grid_range(F.greatest(b["xmin"], e["xmin"]), F.least(b["xmax"], e["xmax"]), size)))
     touched = F.exists("edges", lambda s: G.edge_meets_box(s, e["xmin"], e["ymin"], e["xmax"], e["ymax"])) | inside_cell(e["xmin"], e["ymin"])
     cells = polygon_cells(sized)
-    hits = asked.join(cells, ["zone_id", "gl", "gx", "gy"]).filter(touched | (F.size("edges") == 0)).select("zone_id", "extent").distinct()
-    rest = met.filter(~whole).join(hits, ["zone_id", "extent"], "left_semi")
-    return met.filter(whole).drop("zb", "fine").unionByName(rest.drop("zb", "fine"))
+    hits = asked.join(cells, ["zone_id", "gl", "gx", "gy"]).filter(touched | (F.size("edges") == 0)).select("zone_id", "extent", F.lit(True).alias("mf_hit")).distinct()
+    return met.join(hits, ["zone_id", "extent"], "left").filter(whole | F.coalesce("mf_hit", F.lit(False))).drop("zb", "fine", "mf_hit")
 
 
 def group_scenes(images: DataFrame) -> DataFrame:

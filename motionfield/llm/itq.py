@@ -33,8 +33,8 @@ GROUPS = 4
 WIDTHS = (32, 28, 24, 20, 16, 12, 8)
 MOST_BITS = 1024
 LEARNED_FROM = 256
-#: Work for a row of a table, in units of one comparison of two vectors.
-ROW_COST = 100.0
+#: Work for a row of a table, and for the vector that is sent along where its cell has others, in units of one comparison of two vectors.
+ROW_COST, SEND_COST = 100.0, 2500.0
 
 
 class Itq:
@@ -58,8 +58,10 @@ class Itq:
             maps.append(axes @ r)
         self.maps = np.concatenate(maps, axis=1)[:, : self.tables * self.table_bits]
         # between two projections, so that no fitted vector lies on a threshold
-        ranked = np.sort((x - self.mean) @ self.maps, axis=0)
-        self.cut = (ranked[(len(x) - 1) // 2] + ranked[min(len(x) - 1, (len(x) - 1) // 2 + 1)]) / 2
+        self.cut, low = np.empty(self.maps.shape[1]), (len(x) - 1) // 2
+        for at in range(0, self.maps.shape[1], 64):  # a few bits at a time, for memory
+            ranked = np.sort((x - self.mean) @ self.maps[:, at : at + 64], axis=0)
+            self.cut[at : at + 64] = (ranked[low] + ranked[min(len(x) - 1, low + 1)]) / 2
         return self
 
     def calibrated(self, x: np.ndarray, rows: float, least: float, recall: float, most: int = 2000, seed: int = 5) -> Itq:
@@ -91,7 +93,7 @@ class Itq:
             keys = table_keys(words, width)
             # the share of other vectors that a vector meets in a key
             share = np.mean([(np.square(np.unique(keys[:, k], return_counts=True)[1].astype(float)).sum() - len(x)) / (len(x) * max(1, len(x) - 1)) for k in range(keys.shape[1])])
-            cost = keys.shape[1] * (ROW_COST + rows * share) * (1.0 if len(enough) else 1e6 * (2 - met[-1]))
+            cost = keys.shape[1] * (ROW_COST + SEND_COST * min(1.0, rows * share) + rows * share) * (1.0 if len(enough) else 1e6 * (2 - met[-1]))
             best = min(best, (cost, width, tables))
         self.table_bits, self.tables = best[1:]
         self.maps, self.cut = self.maps[:, : self.tables * self.table_bits], self.cut[: self.tables * self.table_bits]

@@ -55,3 +55,10 @@ def test_digests_are_those_of_the_texts(spark):
     for r in known(spark.createDataFrame(rows, "license string, text string")).collect():
         assert DIGESTS[r.license] == r.digest
     assert {r.license for r in license_scan(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", F.col("license")).collect()} == {k for k, _ in rows}
+
+
+def test_two_licences_of_one_wording(spark):
+    """Known texts that are equal once canonical: the smaller name is given."""
+    texts = spark.createDataFrame([("B-2", "Permission is granted, to ALL."), ("A-1", "permission is granted to all")], "license string, text string")
+    docs = spark.createDataFrame([(1, "Permission is granted to all!"), (2, "none")], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in license_scan(docs, registry=known(texts)).collect()} == {1: "A-1", 2: None}

@@ -1,14 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets.
-
-SimHash grids of the sets and bands of min-wise hashes propose candidates;
-a pair is linked only if the Jaccard similarity of its two sets, counted on
-the sets themselves, reaches the threshold.  Two sets agree in a min-wise hash
-with a chance equal to their similarity, so bands find pairs at the threshold
-that SimHash grids, which need all of some 20 bits to agree, mostly miss.
+"""Near-duplicates by SimHash of shingle sets, followed by an exact check of their Jaccard similarity.
+
+1. A class of equal sets has a SimHash fingerprint of 256 bits, and 768 bits
+   more for grids: a bit is 1 if set in over half the shingle hashes.
+2. A grid is a draw of 20 one-bit segments; a cell of it is their bit counts.
+   Bits with a clear majority hardly differ between near sets, so that of
+   4,096 grids a set enters the 224 whose bits are clearest, and near sets
+   choose mostly the same ones.
+3. Fingerprints in one cell are compared by the Manhattan distance of the bit
+   counts of 4-bit segments, which bounds the Hamming distance from below,
+   then by the Hamming distance itself.
+4. Pairs within ``RADIUS`` of the 256 bits are linked if the Jaccard similarity of their
+   sets, counted on the sets themselves, reaches the threshold.
 """
 
 from __future__ import annotations
 
+from math import erf, sqrt
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,86 +25,147 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, bounds, materialize, slices, text_key, with_row_key
 from .links import cell_units, components, units_of, with_payload
-from .simhash import _cells, exhaustive_grids, majority_bits, mixed, shingle_hashes
+from .simhash import bit_counts, mixed, random_grids, shingle_hashes
 
-#: 32 bands of 6: a pair at 0.8 shares none with a chance of (1 - 0.8^6)^32, under 1 in 10,000.
-BANDS, BAND_ROWS = 32, 6
+#: Words of 64 bits: of a fingerprint, and of all bits that grids draw on.
+WORDS, ALL_WORDS = 4, 16
+GRIDS, GRID_BITS, ENTERED = 4096, 20, 224
+#: Of 256 bits two sets at a Jaccard similarity of 0.8 differ in 39 on average (sd 5.7; four of five shingles: 48, 6.2), unrelated ones in 128.
+RADIUS = 76
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, n), np.uint64))
 
 
-def band_keys(values: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 11) -> np.ndarray:
-    """A 64-bit key for each band and each of the (non-empty) runs of 64-bit hashes."""
-    rng = np.random.default_rng(seed)
-    odd, add = rng.integers(0, 2**64, (2, bands * rows), np.uint64)
-    out = np.empty((bands, len(starts) - 1), np.uint64)
-    for t in range(bands):
-        key = np.full(len(starts) - 1, t + 1, np.uint64)
-        for k in range(t * rows, (t + 1) * rows):
-            key = mixed(key ^ np.minimum.reduceat(values * (odd[k] | np.uint64(1)) + add[k], starts[:-1]), 1)
-        out[t] = key
-    return out
+def grid_table() -> np.ndarray:
+    """The bits of each grid."""
+    return np.array(random_grids(GRIDS, GRID_BITS, 64 * ALL_WORDS), np.int64)[:, :, 0]
+
+
+def fingerprints_of_sets(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, margins) of runs of shingle hashes: uint8 and float32, a row for each run."""
+    counts = np.concatenate([bit_counts(mixed(flat, k), bounds(size)) for k in range(ALL_WORDS)], axis=1)
+    over = 2 * counts - size[:, None]
+    return (over > 0).astype(np.uint8), np.abs(over).astype(np.float32) / np.sqrt(np.maximum(size, 1), dtype=np.float32)[:, None]
 
 
-def _marks(shingle):
+def clearest_grids(margins: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The ``ENTERED`` grids whose bits all agree most probably with those of a near set; of equal ones the first."""
+    steps = 32
+    # chance of agreement of a bit at a cosine of 8/9 (0.8 of equal sizes), in logarithms of whole ten-thousandths
+    chance = np.array([round(1e4 * np.log(0.5 + 0.5 * erf(8 / sqrt(17) * z / steps / sqrt(2)))) for z in range(4 * steps)], np.int32)
+    each = chance[np.minimum((margins * steps).astype(np.int32), len(chance) - 1)].T.copy()
+    score = np.zeros((len(table), len(margins)), np.int32)
+    for k in range(GRID_BITS):
+        score += each[table[:, k]]
+    rank = np.arange(len(table), dtype=np.int32)[:, None] - score * np.int32(len(table))
+    return np.sort(np.argpartition(np.ascontiguousarray(rank.T), ENTERED - 1, axis=1)[:, :ENTERED], axis=1).astype(np.uint16)
+
+
+def _marks(shingle, least):
     def run(batches):
+        table = grid_table()
         for b in slices(batches, 4 << 20):
             sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.concatenate(sets)
-            fp = majority_bits(flat, bounds(size)).astype(">u8").tobytes()
-            bands = np.zeros((len(sets), BANDS), np.uint64)
-            if len(flat):
-                bands[size > 0] = band_keys(flat, bounds(size[size > 0])).T
-            packed = bands.tobytes()
-            columns = [
-                b.column("id"), b.column("text_hash"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                pa.array([fp[i : i + 8] for i in range(0, len(fp), 8)], pa.binary()), pa.array([packed[i * 8 * BANDS : (i + 1) * 8 * BANDS] if n else None for i, n in enumerate(size)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "key", "fp", "bands"])
+            # a set so small that one shingle more takes it below the threshold is near to its equals alone
+            full = np.flatnonzero(size >= least * (size + 1))
+            fps, grids = [None] * len(sets), [None] * len(sets)
+            for part in np.split(full, range(256, len(full), 256)) if len(full) else []:
+                bits, margins = fingerprints_of_sets(np.concatenate([sets[i] for i in part]), size[part])
+                packed, chosen = np.packbits(bits, axis=1, bitorder="little"), clearest_grids(margins, table)
+                for k, i in enumerate(part.tolist()):
+                    fps[i], grids[i] = packed[k].tobytes(), chosen[k].tobytes()
+            columns = [b.column("id"), b.column("text_hash"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(fps, pa.binary()), pa.array(grids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "key", "fp", "grids"])
 
     return run
 
 
-def _bands(batches):
+def _cells(batches):
+    table, place = grid_table(), 1 << np.arange(GRID_BITS, dtype=np.int64)
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
-        keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64).reshape(b.num_rows, BANDS)
-        for t in range(BANDS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, t])), b.column("id")], ["cell", "id"])
+        bit = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(n, 8 * ALL_WORDS), axis=1, bitorder="little")
+        grids = np.frombuffer(b"".join(b.column("grids").to_pylist()), np.uint16).reshape(n, ENTERED).astype(np.int64)
+        row = np.arange(n)[:, None]
+        for k in range(ENTERED):
+            # counts of one-bit segments
+            cell = (grids[:, k] << GRID_BITS) + bit[row, table[grids[:, k]]] @ place
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(cell.view(np.uint64), 1).view(np.int64)), b.column("id")], ["cell", "id"])
+
+
+def first_reached(n: int, near) -> np.ndarray:
+    """The smallest index reachable from each of ``n`` indexes; ``near(i, left)`` says which of ``left`` are linked to ``i``."""
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and len(left):
+            hit = near(todo.pop(), left)
+            label[left[hit]] = root
+            todo += left[hit].tolist()
+            left = left[~hit]
+    return label
+
+
+def hamming_labels(fps: np.ndarray, radius: int) -> np.ndarray:
+    """``first_reached`` of fingerprints (rows of bytes) by pairs of ``radius`` or fewer differing bits."""
+    count = np.bitwise_count(np.concatenate([fps & 15, fps >> 4], axis=1)).astype(np.int8)
+    word = np.ascontiguousarray(fps).view(np.uint64)
+
+    def near(i, left):
+        out = np.abs(count[left] - count[i]).sum(axis=1, dtype=np.int32) <= radius
+        # what is left is verified bit by bit
+        some = left[out]
+        out[out] = np.bitwise_count(word[some] ^ word[i]).sum(axis=1, dtype=np.int32) <= radius
+        return out
+
+    return first_reached(len(fps), near)
 
 
 def set_links(sets: list[np.ndarray], least: float) -> np.ndarray:
     """The smallest index reachable from each set by pairs of a Jaccard similarity of ``least`` or more."""
     n = len(sets)
-    label = np.arange(n)
     size = np.fromiter(map(len, sets), np.int64, n)
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.zeros(2, np.int64) if both and both >= least * (size.sum() - both) else label
+        return np.zeros(2, np.int64) if both and both >= least * (size.sum() - both) else np.arange(n)
     at = bounds(size)
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(place), np.int64)
-    left = np.flatnonzero(size)
-    while len(left):
-        root, left = left[0], left[1:]
-        todo = [root]
-        while todo and len(left):
-            i = todo.pop()
-            fit = left[(np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i]))]
-            if not len(fit):
-                continue
-            mark[place[at[i] : at[i + 1]]] = 1
-            both = np.fromiter((mark[place[at[j] : at[j + 1]]].sum() for j in fit), np.int64, len(fit))
-            mark[place[at[i] : at[i + 1]]] = 0
-            near = fit[both >= least * (size[fit] + size[i] - both)]
-            label[near] = root
-            todo += near.tolist()
-            left = np.setdiff1d(left, near, assume_unique=True)
-    return label
+
+    def near(i, left):
+        out = (size[left] > 0) & (np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i]))
+        fit = left[out]
+        mark[place[at[i] : at[i + 1]]] = 1
+        both = np.fromiter((mark[place[at[j] : at[j + 1]]].sum() for j in fit), np.int64, len(fit))
+        mark[place[at[i] : at[i + 1]]] = 0
+        out[out] = both >= least * (size[fit] + size[i] - both)
+        return out
+
+    return first_reached(n, near)
+
+
+def _near(radius):
+    """Members of units to (left): the ids of each group of two or more that Hamming distances hold together."""
+
+    def run(batches):
+        for b in batches:
+            groups = []
+            for _, _, ids, load in units_of(b):
+                label = hamming_labels(np.frombuffer(b"".join(load.to_pylist()), np.uint8).reshape(len(ids), 8 * WORDS), radius)
+                order = np.argsort(label, kind="stable")
+                parts = np.split(ids[order], np.flatnonzero(np.diff(label[order])) + 1)
+                groups += [np.sort(x) for x in parts if len(x) > 1]
+            flat = np.concatenate(groups) if groups else np.empty(0, np.int64)
+            offsets = bounds(np.fromiter(map(len, groups), np.int64, len(groups)))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["left"])
+
+    return run
 
 
 def _verify(shingle, least):
@@ -112,7 +181,11 @@ def _verify(shingle, least):
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _units(lists: DataFrame) -> DataFrame:
+    return lists.select(F.monotonically_increasing_id().alias("cell"), "left", F.lit(None).cast("array<long>").alias("right"))
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(mf_id, mf_key, id, key, component, label): a row for each row of ``docs``, keyed as by ``with_row_key``.
 
     ``label`` numbers the groups; ``component`` is the smallest id reachable by links between texts whose
@@ -120,24 +193,33 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     or more.  Rows with one set are one class and are compared once, whatever
     their number; null, empty and blank texts are one class that links to no
     other.  A null id takes part in no minimum; other columns are not read;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  Only pairs whose fingerprints differ
+    in at most ``radius`` bits are looked at; it and the grids are made for a
+    ``least`` of 0.8 or more.
     """
     tag = "nearsets"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", text_key(F.col("text")))
-    marks = materialize(rows.mapInArrow(_marks(shingle), "id long, text_hash long, key binary, fp binary, bands binary"), f"{tag}-marks", "snappy")
+    marks = materialize(rows.mapInArrow(_marks(shingle, least), "id long, text_hash long, key binary, fp binary, grids binary"), f"{tag}-marks", "snappy")
     # a class, and the row whose text stands for it
-    firsts = marks.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    firsts = marks.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("grids").alias("grids"))
     classes = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), f"{tag}-class", "snappy")
-    full = classes.filter("bands is not null")
-    cells = full.select("id", "fp").mapInArrow(_cells(exhaustive_grids(2, 5), 1), "cell long, id long").unionByName(full.select("id", "bands").mapInArrow(_bands, "cell long, id long"))
-    # near copies meet in many bands; units of the same members are compared once
-    units = materialize(cell_units(cells, tag).groupBy("left", "right").agg(F.min("cell").alias("cell")), f"{tag}-distinct")
-    met = units.select(F.explode("left").alias("id")).unionByName(units.filter("right is not null").select(F.explode("right").alias("id"))).distinct()
-    wanted = met.join(full.select("id", F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("text_hash")), "id")
+    full = classes.filter("fp is not null")
+    # near copies meet in many grids; units of the same members are compared once
+    units = cell_units(full.select("id", "fp", "grids").mapInArrow(_cells, "cell long, id long"), tag).groupBy("left", "right").agg(F.min("cell").alias("cell"))
+    close = with_payload(units, full.select("id", F.substring("fp", 1, 8 * WORDS).alias("load")), f"{tag}-fp").mapInArrow(_near(radius), "left array<long>")
+    lists = materialize(close.distinct().withColumn("list", F.monotonically_increasing_id()), f"{tag}-close")
+    of_list = lists.select("list", F.col("left")[0].alias("head"), F.explode("left").alias("id"))
+    wanted = of_list.select("id").distinct().join(full.select("id", F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("text_hash")), "id")
     match = F.col("w.row_id").eqNullSafe(F.col("r.id")) & (F.col("w.text_hash") == F.col("r.text_hash"))
     texts = materialize(rows.alias("r").join(wanted.alias("w"), match).select("w.id", "r.text").groupBy("id").agg(F.first("text").alias("load")), f"{tag}-texts")
-    members = with_payload(units, texts, tag)
-    linked = components(members.mapInArrow(_verify(shingle, least), "a long, b long"), tag)
+    # first each text with the smallest id that it meets, then all pairs of the lists that are not one group by then
+    verify = lambda lists, name: materialize(with_payload(_units(lists), texts, f"{tag}-{name}").mapInArrow(_verify(shingle, least), "a long, b long"), f"{tag}-{name}")
+    heads = of_list.groupBy("id").agg(F.min("head").alias("head")).filter("head < id").select(F.array("head", "id").alias("left"))
+    stars = verify(heads, "stars")
+    joined = of_list.join(components(stars, f"{tag}-joined"), "id", "left").select("list", F.coalesce("component", "id").alias("c"))
+    open_lists = joined.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    rest = verify(lists.join(open_lists, "list").select("left"), "rest")
+    linked = components(stars.unionByName(rest), tag)
     named = classes.join(linked, "id", "left").select("key", "least", F.coalesce("component", "id").alias("c"))
     top = named.groupBy("c").agg(F.min("least").alias("component"))
     of_class = named.join(top, "c").select("key", "component", F.col("c").alias("label"))

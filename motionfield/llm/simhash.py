@@ -53,25 +53,28 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def majority_bits(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Fingerprints of hash runs: a bit is 1 if set in over half the hashes of a run.  Runs may be empty (0)."""
+def bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many hashes of each run have each of the 64 bits set.  Runs may be empty."""
     sizes = np.diff(starts)
-    out = np.zeros(len(sizes), np.uint64)
+    out = np.zeros((len(sizes), 64), np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
     chunks = -(-sizes[full] // 255)
     first = bounds(chunks)
     at = np.repeat(starts[full], chunks) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], chunks))
-    counts = np.zeros((len(full), 64), np.int64)
     for j in range(8):
         lanes = np.add.reduceat((h >> np.uint64(j)) & LANES, at).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        counts[:, j::8] = np.add.reduceat(lanes, first[:-1], axis=0)
-    bits = (2 * counts > sizes[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[full, j::8] = np.add.reduceat(lanes, first[:-1], axis=0)
     return out
 
 
+def majority_bits(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Fingerprints of hash runs: a bit is 1 if set in over half the hashes of a run.  Runs may be empty (0)."""
+    bits = (2 * bit_counts(h, starts) > np.diff(starts)[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int = 1) -> DataFrame:
     """(id, fp): fingerprints of ``64 * words`` bits as big-endian binary, for every row; all bits zero without words."""
 

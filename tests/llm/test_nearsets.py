@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as P
-from motionfield.llm.nearsets import set_links
+from motionfield.llm.nearsets import GRID_BITS, RADIUS, clearest_grids, fingerprints_of_sets, grid_table, hamming_labels, jaccard_groups, set_links
 
 
 def shingles(text, n=5):
@@ -60,3 +60,47 @@ def test_set_links_equals_brute_force():
                 if n == 2:
                     break
             assert set_links(sets, 0.8).tolist() == label
+
+
+def test_links_come_through_hamming_distances(spark):
+    """Near sets are linked only if their fingerprints lie within the radius; equal sets have one fingerprint."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join(words[:-2] + ["x", "y"]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {radius: {r.id: r.component for r in jaccard_groups(docs, radius=radius).collect()} for radius in (-1, RADIUS)}
+    assert found[-1] == {k: k if k % 3 < 2 else k - 2 for k in range(len(texts))}
+    assert found[RADIUS] == {k: k - k % 3 for k in range(len(texts))}
+
+
+def test_grids_bring_near_sets_together():
+    """Pairs at a Jaccard similarity of exactly 0.8 share a cell and lie within the radius; unrelated sets hardly meet."""
+    rng, table = np.random.default_rng(9), grid_table()
+    for shared, left, right in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (40, 5, 5), (360, 0, 90)):
+        sides = []
+        common = [rng.integers(0, 2**64, shared, np.uint64) for _ in range(250)]
+        for own in (left, right):
+            sets = [np.concatenate([c, rng.integers(0, 2**64, own, np.uint64)]) for c in common]
+            bits, margins = fingerprints_of_sets(np.concatenate(sets), np.full(len(sets), shared + own))
+            sides.append((bits, clearest_grids(margins, table).astype(np.int64)))
+        (x, gx), (y, gy) = sides
+        cells = lambda bits, g: {(int(k), bits[table[k]].tobytes()) for k in g}
+        met = [len(cells(a, g) & cells(b, h)) for a, g, b, h in zip(x, gx, y, gy, strict=True)]
+        near = (x[:, :256] != y[:, :256]).sum(axis=1) <= RADIUS
+        assert min(met) > 0 and near.all(), (shared, left, right)
+        assert sum(len(cells(x[k], gx[k]) & cells(y[k - 1], gy[k - 1])) for k in range(250)) <= 5
+    assert table.shape[1] == GRID_BITS and table.max() < 1024
+
+
+def test_hamming_labels_equal_brute_force():
+    rng = np.random.default_rng(10)
+    for n in (2, 3, 60):
+        base = rng.integers(0, 256, (3, 32), np.uint8)
+        fps = base[rng.integers(0, 3, n)] ^ np.packbits(rng.random((n, 256)) < 0.16, axis=1)
+        far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+        label = list(range(n))
+        for _ in range(n):
+            label = [min(label[j] for j in range(n) if far[i, j] <= 76) for i in range(n)]
+        assert hamming_labels(fps, 76).tolist() == label

@@ -25,14 +25,15 @@ SALTS = 16
 
 def _gather(block: int):
     def run(batches):
-        key, val, chunk = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        key, val, group, chunk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-        def out(k, v, first_chunk, always):
+        def out(k, v, g, first_chunk, always):
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(cut, len(k)))
             chunks = np.zeros(len(cut), np.int32)
             chunks[0] = first_chunk
-            keep = size >= 2
+            low, high = np.minimum.reduceat(g, cut), np.maximum.reduceat(g, cut)
+            keep = low < high
             keep[0] |= first_chunk > 0 or always
             offsets = np.zeros(int(keep.sum()) + 1, np.int32)
             np.cumsum(size[keep], out=offsets[1:])
@@ -40,8 +41,8 @@ def _gather(block: int):
             if always:
                 many[:] = True
             return pa.RecordBatch.from_arrays(
-                [pa.array(k[cut][keep]), pa.array(chunks[keep]), pa.array(many), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[np.repeat(keep, size)]))],
-                ["cell", "chunk", "many", "ids"],
+                [pa.array(k[cut][keep]), pa.array(chunks[keep]), pa.array(many), pa.array(low[keep]), pa.array(high[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[np.repeat(keep, size)]))],
+                ["cell", "chunk", "many", "low", "high", "ids"],
             )
 
         for batch in batches:
@@ -49,16 +50,17 @@ def _gather(block: int):
                 continue
             key = np.concatenate([key, batch.column("cell").to_numpy(zero_copy_only=False)])
             val = np.concatenate([val, batch.column("id").to_numpy(zero_copy_only=False)])
+            group = np.concatenate([group, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)])
             cut = int(np.flatnonzero(key == key[-1])[0])
             if cut:
                 # the carried cell ended: a long one may still be over the block size
-                yield out(key[:cut], val[:cut], chunk, False)
-                key, val, chunk = key[cut:], val[cut:], 0
+                yield out(key[:cut], val[:cut], group[:cut], chunk, False)
+                key, val, group, chunk = key[cut:], val[cut:], group[cut:], 0
             while len(key) > block:
-                yield out(key[:block], val[:block], chunk, True)
-                key, val, chunk = key[block:], val[block:], chunk + 1
+                yield out(key[:block], val[:block], group[:block], chunk, True)
+                key, val, group, chunk = key[block:], val[block:], group[block:], chunk + 1
         if len(key):
-            yield out(key, val, chunk, False)
+            yield out(key, val, group, chunk, False)
 
     return run
 
@@ -67,19 +69,20 @@ def cell_units(cells: DataFrame, tag: str, block: int = BLOCK) -> DataFrame:
     """(cell, id) rows to units (unit, left ids, right ids) that hold every pair of a cell exactly once.
 
     ``right`` is null where the pairs are those within ``left``.  Ids of a cell
-    must be distinct.  Cells of one row give nothing.
+    must be distinct.  Cells of one row give nothing.  With a column ``known``
+    units whose rows all have one value of it are left out.
     """
     spark = cells.sparkSession
     grouped = materialize(
-        cells.select("cell", "id").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "id").mapInArrow(_gather(block), "cell long, chunk int, many boolean, ids array<long>"),
+        cells.select("cell", "id", *["known"] * ("known" in cells.columns)).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "id").mapInArrow(_gather(block), "cell long, chunk int, many boolean, low long, high long, ids array<long>"),
         f"{tag}-cells",
     )
-    within = grouped.filter(F.size("ids") >= 2).select("cell", F.col("ids").alias("left"), F.lit(None).cast("array<long>").alias("right"))
-    big = grouped.filter("many").select("cell", "chunk", "ids")
+    within = grouped.filter("low < high").select("cell", F.col("ids").alias("left"), F.lit(None).cast("array<long>").alias("right"))
+    big = grouped.filter("many").select("cell", "chunk", "low", "high", "ids")
     # the pairs of a cell's chunks are dealt to SALTS tasks by the right chunk
-    other = big.select("cell", (F.col("chunk") % SALTS).alias("salt"), F.col("chunk").alias("chunk2"), F.col("ids").alias("right"))
+    other = big.select("cell", (F.col("chunk") % SALTS).alias("salt"), F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("ids").alias("right"))
     left = big.withColumnRenamed("ids", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    across = left.join(other, ["cell", "salt"]).filter("chunk < chunk2").select("cell", "left", "right")
+    across = left.join(other, ["cell", "salt"]).filter("chunk < chunk2 and least(low, low2) < greatest(high, high2)").select("cell", "left", "right")
     return within.unionByName(across)
 
 

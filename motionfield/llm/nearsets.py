@@ -2,9 +2,9 @@
 
 1. A class of equal sets has a SimHash fingerprint of 256 bits, and 768 bits
    more for grids: a bit is 1 if set in over half the shingle hashes.
-2. A grid is a draw of 20 one-bit segments; a cell of it is their bit counts.
+2. A grid is a draw of 18 one-bit segments; a cell of it is their bit counts.
    Bits with a clear majority hardly differ between near sets, so that of
-   4,096 grids a set enters the 224 whose bits are clearest, and near sets
+   4,096 grids a set enters the 192 whose bits are clearest, and near sets
    choose mostly the same ones.
 3. Fingerprints in one cell are compared by the Manhattan distance of the bit
    counts of 4-bit segments, which bounds the Hamming distance from below,
@@ -29,7 +29,9 @@ from .simhash import bit_counts, mixed, random_grids, shingle_hashes
 
 #: Words of 64 bits: of a fingerprint, and of all bits that grids draw on.
 WORDS, ALL_WORDS = 4, 16
-GRIDS, GRID_BITS, ENTERED = 4096, 20, 224
+GRIDS, GRID_BITS, ENTERED = 4096, 18, 192
+#: Grids that are searched first.
+FIRST_GRIDS = GRIDS // 16
 #: Of 256 bits two sets at a Jaccard similarity of 0.8 differ in 39 on average (sd 5.7; four of five shingles: 48, 6.2), unrelated ones in 128.
 RADIUS = 76
 
@@ -83,19 +85,28 @@ def _marks(shingle, least):
     return run
 
 
-def _cells(batches):
-    table, place = grid_table(), 1 << np.arange(GRID_BITS, dtype=np.int64)
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        bit = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(n, 8 * ALL_WORDS), axis=1, bitorder="little")
-        grids = np.frombuffer(b"".join(b.column("grids").to_pylist()), np.uint16).reshape(n, ENTERED).astype(np.int64)
-        row = np.arange(n)[:, None]
-        for k in range(ENTERED):
-            # counts of one-bit segments
-            cell = (grids[:, k] << GRID_BITS) + bit[row, table[grids[:, k]]] @ place
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(cell.view(np.uint64), 1).view(np.int64)), b.column("id")], ["cell", "id"])
+def _cells(most):
+    """Cells in those grids of each set that are among the first ``most``."""
+
+    def run(batches):
+        table, place = grid_table(), 1 << np.arange(GRID_BITS, dtype=np.int64)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            bit = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(n, 8 * ALL_WORDS), axis=1, bitorder="little")
+            grids = np.frombuffer(b"".join(b.column("grids").to_pylist()), np.uint16).reshape(n, ENTERED).astype(np.int64)
+            ids, known = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "known"))
+            for k in range(ENTERED):
+                row = np.flatnonzero(grids[:, k] < most)
+                if not len(row):
+                    break
+                grid = grids[row, k]
+                # counts of one-bit segments
+                cell = (grid << GRID_BITS) + bit[row[:, None], table[grid]] @ place
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(cell.view(np.uint64), 1).view(np.int64)), pa.array(ids[row]), pa.array(known[row])], ["cell", "id", "known"])
+
+    return run
 
 
 def first_reached(n: int, near) -> np.ndarray:
@@ -181,10 +192,6 @@ def _verify(shingle, least):
     return run
 
 
-def _units(lists: DataFrame) -> DataFrame:
-    return lists.select(F.monotonically_increasing_id().alias("cell"), "left", F.lit(None).cast("array<long>").alias("right"))
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(mf_id, mf_key, id, key, component, label): a row for each row of ``docs``, keyed as by ``with_row_key``.
 
@@ -204,22 +211,45 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = marks.groupBy("key").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("grids").alias("grids"))
     classes = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), f"{tag}-class", "snappy")
     full = classes.filter("fp is not null")
-    # near copies meet in many grids; units of the same members are compared once
-    units = cell_units(full.select("id", "fp", "grids").mapInArrow(_cells, "cell long, id long"), tag).groupBy("left", "right").agg(F.min("cell").alias("cell"))
-    close = with_payload(units, full.select("id", F.substring("fp", 1, 8 * WORDS).alias("load")), f"{tag}-fp").mapInArrow(_near(radius), "left array<long>")
-    lists = materialize(close.distinct().withColumn("list", F.monotonically_increasing_id()), f"{tag}-close")
-    of_list = lists.select("list", F.col("left")[0].alias("head"), F.explode("left").alias("id"))
-    wanted = of_list.select("id").distinct().join(full.select("id", F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("text_hash")), "id")
-    match = F.col("w.row_id").eqNullSafe(F.col("r.id")) & (F.col("w.text_hash") == F.col("r.text_hash"))
-    texts = materialize(rows.alias("r").join(wanted.alias("w"), match).select("w.id", "r.text").groupBy("id").agg(F.first("text").alias("load")), f"{tag}-texts")
-    # first each text with the smallest id that it meets, then all pairs of the lists that are not one group by then
-    verify = lambda lists, name: materialize(with_payload(_units(lists), texts, f"{tag}-{name}").mapInArrow(_verify(shingle, least), "a long, b long"), f"{tag}-{name}")
-    heads = of_list.groupBy("id").agg(F.min("head").alias("head")).filter("head < id").select(F.array("head", "id").alias("left"))
-    stars = verify(heads, "stars")
-    joined = of_list.join(components(stars, f"{tag}-joined"), "id", "left").select("list", F.coalesce("component", "id").alias("c"))
-    open_lists = joined.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    rest = verify(lists.join(open_lists, "list").select("left"), "rest")
-    linked = components(stars.unionByName(rest), tag)
+
+    def close(full, most, name):
+        """(left, list): ids that distances within the radius hold together, from the cells whose ``known`` isn't one value."""
+        # near copies meet in many grids; units of the same members are compared once
+        cells = full.select("id", "fp", "grids", "known").mapInArrow(_cells(most), "cell long, id long, known long")
+        units = cell_units(cells, f"{tag}-{name}").groupBy("left", "right").agg(F.min("cell").alias("cell"))
+        found = with_payload(units, full.select("id", F.substring("fp", 1, 8 * WORDS).alias("load")), f"{tag}-{name}-fp").mapInArrow(_near(radius), "left array<long>")
+        return materialize(found.distinct().withColumn("list", F.monotonically_increasing_id()), f"{tag}-{name}-close")
+
+    def texts_of(lists, name):
+        ids = lists.select(F.explode("left").alias("id")).distinct()
+        wanted = ids.join(full.select("id", F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("text_hash")), "id")
+        match = F.col("w.row_id").eqNullSafe(F.col("r.id")) & (F.col("w.text_hash") == F.col("r.text_hash"))
+        return materialize(rows.alias("r").join(wanted.alias("w"), match).select("w.id", "r.text").groupBy("id").agg(F.first("text").alias("load")), f"{tag}-{name}-texts")
+
+    def verified(lists, texts, name):
+        units = lists.select(F.monotonically_increasing_id().alias("cell"), "left", F.lit(None).cast("array<long>").alias("right"))
+        return materialize(with_payload(units, texts, f"{tag}-{name}-pairs").mapInArrow(_verify(shingle, least), "a long, b long"), f"{tag}-{name}-links")
+
+    def joined(links, name):
+        """``full`` with the group ``known`` that each class is in by ``links``."""
+        return materialize(full.join(components(links, f"{tag}-{name}-groups"), "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component"), f"{tag}-{name}-known", "snappy")
+
+    def unjoined(lists, known, name):
+        """Those of the lists that aren't one group yet."""
+        ends = lists.select("list", F.explode("left").alias("id")).join(known.select("id", "known"), "id").groupBy("list").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+        return materialize(lists.join(ends.filter("low < high"), "list").select("left"), f"{tag}-{name}-open")
+
+    # some of the grids: each text with the smallest id that it meets there, then all pairs of the lists that this leaves in parts
+    lists = close(full.withColumn("known", F.col("id")), FIRST_GRIDS, "some")
+    texts = texts_of(lists, "some")
+    heads = lists.select(F.col("left")[0].alias("head"), F.explode("left").alias("id")).groupBy("id").agg(F.min("head").alias("head")).filter("head < id")
+    links = verified(heads.select(F.array("head", "id").alias("left")), texts, "heads")
+    links = links.unionByName(verified(unjoined(lists, joined(links, "heads"), "some"), texts, "some"))
+    # all grids: all pairs of a cell, but for cells and lists that are one group by then
+    known = joined(links, "some")
+    lists = unjoined(close(known, GRIDS, "all"), known, "all")
+    links = links.unionByName(verified(lists, texts_of(lists, "all"), "all"))
+    linked = components(links, tag)
     named = classes.join(linked, "id", "left").select("key", "least", F.coalesce("component", "id").alias("c"))
     top = named.groupBy("c").agg(F.min("least").alias("component"))
     of_class = named.join(top, "c").select("key", "component", F.col("c").alias("label"))

@@ -47,7 +47,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent 64-bit word derived from a hash; the hash itself for 0."""
     if not k:
         return h
-    x = h + GOLDEN * np.uint64(k)
+    x = h + np.uint64(int(GOLDEN) * k % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

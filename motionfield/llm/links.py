@@ -16,19 +16,61 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import materialize, partitions
 
-__all__ = ["cell_units", "components", "local_labels", "units_of", "with_payload"]
+__all__ = ["cell_units", "components", "first_reached", "local_labels", "units_of", "with_payload"]
 
 BLOCK = 1024
 #: Tasks that share the pairs of chunks of a cell with over BLOCK rows.
 SALTS = 16
 
 
-def _gather(block: int):
+def first_reached(n: int, near) -> np.ndarray:
+    """The smallest index reachable from each of ``n`` indexes; ``near(i, left)`` says which of ``left`` are linked to ``i``."""
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and len(left):
+            hit = near(todo.pop(), left)
+            label[left[hit]] = root
+            todo += left[hit].tolist()
+            left = left[~hit]
+    return label
+
+
+def alike(k: np.ndarray, g: np.ndarray, w: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of runs of ``k`` the first row of its run that it reaches by words ``w`` of ``radius`` or fewer differing bits.
+
+    Runs whose ``g`` are all one value aren't compared.
+    """
+    part = np.arange(len(k))
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size, some = np.diff(np.append(cut, len(k))), np.minimum.reduceat(g, cut) < np.maximum.reduceat(g, cut)
+    two = cut[some & (size == 2)]
+    two = two[np.bitwise_count(w[two] ^ w[two + 1]) <= radius]
+    part[two + 1] = two
+    more = some & (size > 2)
+    for s, n in zip(cut[more].tolist(), size[more].tolist(), strict=True):
+        word = w[s : s + n]
+        part[s : s + n] = s + first_reached(n, lambda i, left, word=word: np.bitwise_count(word[left] ^ word[i]) <= radius)
+    return part
+
+
+def _gather(block: int, bits: int = 0, radius: int = 0):
     def run(batches):
         key, val, group, chunk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-        def out(k, v, g, first_chunk, always):
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        word = np.empty(0, np.int64)
+
+        def out(k, v, g, w, first_chunk, always):
+            same = k
+            if bits and not always:
+                # the rest of a cell of several chunks stays whole
+                rest = int(np.searchsorted(k != k[0], True)) if first_chunk else 0
+                part = np.zeros(len(k), np.int64)
+                if rest < len(k):
+                    part[rest:] = rest + alike(k[rest:], g[rest:], w[rest:], radius)
+                order = np.argsort(part, kind="stable")
+                k, v, g, same = k[order], v[order], g[order], part[order]
+            cut = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
             size = np.diff(np.append(cut, len(k)))
             chunks = np.zeros(len(cut), np.int32)
             chunks[0] = first_chunk
@@ -48,33 +90,39 @@ def _gather(block: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.concatenate([key, batch.column("cell").to_numpy(zero_copy_only=False)])
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            key = np.concatenate([key, cell >> bits])
+            word = np.concatenate([word, cell & ((1 << bits) - 1)])
             val = np.concatenate([val, batch.column("id").to_numpy(zero_copy_only=False)])
             group = np.concatenate([group, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)])
             cut = int(np.flatnonzero(key == key[-1])[0])
             if cut:
                 # the carried cell ended: a long one may still be over the block size
-                yield out(key[:cut], val[:cut], group[:cut], chunk, False)
-                key, val, group, chunk = key[cut:], val[cut:], group[cut:], 0
+                yield out(key[:cut], val[:cut], group[:cut], word[:cut], chunk, False)
+                key, val, group, word, chunk = key[cut:], val[cut:], group[cut:], word[cut:], 0
             while len(key) > block:
-                yield out(key[:block], val[:block], group[:block], chunk, True)
-                key, val, group, chunk = key[block:], val[block:], group[block:], chunk + 1
+                yield out(key[:block], val[:block], group[:block], word[:block], chunk, True)
+                key, val, group, word, chunk = key[block:], val[block:], group[block:], word[block:], chunk + 1
         if len(key):
-            yield out(key, val, group, chunk, False)
+            yield out(key, val, group, word, chunk, False)
 
     return run
 
 
-def cell_units(cells: DataFrame, tag: str, block: int = BLOCK) -> DataFrame:
+def cell_units(cells: DataFrame, tag: str, block: int = BLOCK, bits: int = 0, radius: int = 0) -> DataFrame:
     """(cell, id) rows to units (unit, left ids, right ids) that hold every pair of a cell exactly once.
 
     ``right`` is null where the pairs are those within ``left``.  Ids of a cell
     must be distinct.  Cells of one row give nothing.  With a column ``known``
-    units whose rows all have one value of it are left out.
+    units whose rows all have one value of it are left out.  The low ``bits``
+    of ``cell`` are not the cell's but a word of the row's: a cell that fits a
+    block falls into the groups that ``radius`` or fewer differing bits of
+    their words hold together.
     """
     spark = cells.sparkSession
+    place = F.shiftright("cell", bits) if bits else F.col("cell")
     grouped = materialize(
-        cells.select("cell", "id", *["known"] * ("known" in cells.columns)).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "id").mapInArrow(_gather(block), "cell long, chunk int, many boolean, low long, high long, ids array<long>"),
+        cells.select("cell", "id", *["known"] * ("known" in cells.columns)).repartition(partitions(spark), place).sortWithinPartitions(place, "id").mapInArrow(_gather(block, bits, radius), "cell long, chunk int, many boolean, low long, high long, ids array<long>"),
         f"{tag}-cells",
     )
     within = grouped.filter("low < high").select("cell", F.col("ids").alias("left"), F.lit(None).cast("array<long>").alias("right"))

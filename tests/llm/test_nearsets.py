@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline as P
+from motionfield.llm import nearsets
+from motionfield.llm.links import cell_units, with_payload
 from motionfield.llm.nearsets import GRID_BITS, RADIUS, clearest_grids, fingerprints_of_sets, grid_table, hamming_labels, jaccard_groups, set_links
 
 
@@ -104,3 +107,58 @@ def test_hamming_labels_equal_brute_force():
         for _ in range(n):
             label = [min(label[j] for j in range(n) if far[i, j] <= 76) for i in range(n)]
         assert hamming_labels(fps, 76).tolist() == label
+
+
+def test_check_bits_part_a_cell(spark):
+    """Rows of a cell stay together if their words hold them together; a cell longer than a block stays whole."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**34, 3)
+    rows, want = [], set()
+    for cell, n in ((-7, 2), (3, 5), (4, 40), (2**29 - 1, 90)):
+        word = [int(base[rng.integers(0, 3)]) ^ sum(1 << int(p) for p in rng.choice(34, rng.integers(0, 8), replace=False)) for _ in range(n)]
+        ids = [1000 * len(rows) + k for k in range(n)]
+        rows += [((cell << 34) + w, i, i) for w, i in zip(word, ids, strict=True)]
+        label = list(range(n))
+        for _ in range(n):
+            label = [min(label[j] for j in range(n) if (word[i] ^ word[j]).bit_count() <= 11) for i in range(n)]
+        groups = [tuple(i for i, x in zip(ids, label, strict=True) if x == root) for root in set(label)] if n <= 64 else [tuple(ids[:64]), tuple(ids[64:])]
+        want |= {g for g in groups if len(g) > 1}
+    units = cell_units(spark.createDataFrame(rows, "cell long, id long, known long"), "parted", 64, bits=34, radius=11).collect()
+    assert {tuple(r.left) for r in units if r.right is None} == want
+    assert [(len(r.left), len(r.right)) for r in units if r.right is not None] == [(64, 26)]
+
+
+def test_near_copies_are_compared_a_few_times_each(spark, monkeypatch):
+    """A group of near copies, of which many aren't linked, isn't compared once for each cell in which it meets."""
+    rng = random.Random(12)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(150)], []
+    for k in range(240):
+        words = list(base)
+        for p in rng.sample(range(150), k % 8):
+            words[p] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = Counter()
+
+    def counted(units, payload, tag):
+        units = units.cache()
+        rows["texts" if tag.endswith("-pairs") else "fingerprints"] += units.selectExpr("size(left) + greatest(size(right), 0) as n").groupBy().sum("n").collect()[0][0] or 0
+        return with_payload(units, payload, tag)
+
+    monkeypatch.setattr(nearsets, "with_payload", counted)
+    found = {}
+    for clump in (nearsets.CLUMP, 100):
+        # clumps of one unit, of several (chunks of 32), and too large for any
+        for chunk in (nearsets.CHUNK, 32) if clump > 100 else (nearsets.CHUNK,):
+            monkeypatch.setattr(nearsets, "CLUMP", clump), monkeypatch.setattr(nearsets, "CHUNK", chunk)
+            rows.clear()
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            found[clump, chunk] = {r.id: r.component for r in jaccard_groups(docs).collect()}
+            if clump > 100:
+                assert rows["texts"] <= 12 * len(texts) and rows["fingerprints"] <= 40 * len(texts), rows
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if jaccard(sets[i], sets[j]) >= 0.8] for i in range(len(texts))]
+    for _ in range(len(texts)):
+        label = [min(label[j] for j in near[i]) for i in range(len(texts))]
+    assert 10 < len(set(label)) < 200
+    assert all(f == dict(enumerate(label)) for f in found.values())

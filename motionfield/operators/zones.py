@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..storage import materialize
 from . import raster
 
 
@@ -115,21 +118,61 @@ def sample_points(points: DataFrame, rasters: DataFrame, value: str, name: str,
     first dot; a point off all rasters is one row of nulls.
     """
     column = name.split(".")[0]
-    cells = point_cells(points, x0, y0, px, py)
-    tiles = raster.as_tiles(rasters, [value])
+    cells, tiles = point_cells(points, x0, y0, px, py), raster.stored_tiles(rasters, [value])
     found = raster.sample_cells(cells, tiles, [value]).withColumnRenamed(value, column)
-    off = cells.join(found.select("row", "col").distinct(), ["row", "col"], "left_anti").withColumns({"raster_id": F.lit(None).cast(tiles.schema["raster_id"].dataType), column: F.lit(None).cast("double")})
+    there = raster.as_pixels(tiles, [value]).select("row", "col").distinct()
+    off = cells.join(there.hint("merge"), ["row", "col"], "left_anti").withColumns({"raster_id": F.lit(None).cast(tiles.schema["raster_id"].dataType), column: F.lit(None).cast("double")})
     return found.unionByName(off).drop("row", "col")
 
 
 def sample_points_buffer(points: DataFrame, rasters: DataFrame, value: str, radius: float, x0: float, y0: float, px: float, py: float, key: str = "point_id") -> DataFrame:
     """(key, raster_id, mean): mean of a raster's cells whose centres are within ``radius`` of the point; one row of nulls where there is none.
 
-    The points' own cells are listed and read from the rasters' tiles, not the pixels.
+    Tiles have a halo of the radius, so a point's cells lie in one tile and
+    its means need no shuffle.  Points with the same cells are one class,
+    which is averaged once for each raster; its keys are listed in parts.
+    Keys of several rows, whose cells count together, and radii beyond a
+    tile's side are averaged from the rows of single cells.
     """
+    halo, tile = math.ceil(max(radius / abs(px), radius / abs(py))) + 1, raster.TILE
+    side, pixels = tile + 2 * halo, raster.as_pixels(rasters, [value])
     span = lambda c, o, size: F.sequence(F.floor(F.least((F.col(c) - radius - o) / size, (F.col(c) + radius - o) / size)), F.ceil(F.greatest((F.col(c) - radius - o) / size, (F.col(c) + radius - o) / size)))
-    cells = points.select(key, "x", "y", F.explode(span("y", y0, py).cast("array<int>")).alias("row")).select("*", F.explode(span("x", x0, px).cast("array<int>")).alias("col"))
     cx, cy = F.lit(x0) + (F.col("col") + 0.5) * px, F.lit(y0) + (F.col("row") + 0.5) * py
-    near = cells.filter((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y")) <= radius * radius).select(key, "row", "col")
-    means = raster.sample_cells(near, rasters, [value]).groupBy(key, "raster_id").agg(F.avg(value).alias("mean"))
-    return points.select(key).join(means, key, "left")
+
+    def near(p: DataFrame) -> DataFrame:
+        cells = p.withColumn("row", F.explode(span("y", y0, py).cast("array<int>"))).withColumn("col", F.explode(span("x", x0, px).cast("array<int>")))
+        return cells.filter((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y")) <= radius * radius).drop("x", "y")
+
+    def averaged(p: DataFrame) -> DataFrame:
+        means = raster.sample_cells(near(p.select(key, "x", "y")), raster.stored_tiles(rasters, [value]), [value]).groupBy(key, "raster_id").agg(F.avg(value).alias("mean"))
+        return p.select(key).join(means.hint("merge"), key, "left")
+
+    if halo > tile:
+        return averaged(points)
+    many = points.groupBy(key).agg(F.count("*").alias("mf_n")).filter((F.col("mf_n") > 1) & F.col(key).isNotNull()).select(key)
+    once = points.select(key, "x", "y").join(many.hint("merge"), key, "left_anti")
+    again = points.join(many.hint("merge"), key, "left_semi")
+    place = point_cells(once, x0, y0, px, py).filter(F.col(key).isNotNull()).select(key, "x", "y", F.floor(F.col("row") / tile).cast("int").alias("tr"), F.floor(F.col("col") / tile).cast("int").alias("tc"))
+    at = (F.col("row") - F.col("tr") * tile + halo) * side + F.col("col") - F.col("tc") * tile + halo
+    classed = near(place).groupBy(key, "tr", "tc").agg(F.sort_array(F.collect_list(at)).alias("mf_at"))
+    tiles = materialize(raster.tile_rasters(pixels, [value], tile, halo), "tiles")
+    # parts of a class: as many as its size asks for
+    own = ["tr", "tc", "mf_at"]
+    sizes = classed.groupBy(*own).agg(F.ceil(F.count("*") / F.lit(raster.BLOCK)).cast("int").alias("mf_n"))
+    parts = classed.join(sizes.hint("merge"), own).withColumn("mf_p", F.pmod(F.xxhash64(key), "mf_n")).groupBy(*own, "mf_p").agg(F.collect_list(key).alias("mf_keys"))
+    met = raster.meet_tiles(parts, tiles, ["tr", "tc"], F.struct("mf_at", "mf_keys"), ["mf_at", "mf_p"], F.size("mf_keys"), raster.PASSED)
+
+    def add(a, p):
+        v = F.get(value, p)
+        known = v.isNotNull() & ~F.isnan(v)
+        # NaN is a cell that the raster doesn't have
+        return F.struct((a["s"] + F.when(known, v).otherwise(0.0)).alias("s"), (a["k"] + F.when(known, 1).otherwise(0)).alias("k"), (a["n"] + F.when(F.coalesce(F.isnan(v), F.lit(False)), 0).otherwise(1)).alias("n"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+    seen = F.filter(F.transform("mf_cells", lambda c: F.struct(c["mf_keys"].alias("keys"), F.aggregate(c["mf_at"], zero, add).alias("a"))), lambda c: c["a"]["n"] > 0)
+    means = met.select("raster_id", F.explode(seen).alias("c")).select("raster_id", F.try_divide("c.a.s", "c.a.k").alias("mean"), F.explode("c.keys").alias(key)).select(key, "raster_id", "mean")
+    there, pos = pixels.select("row", "col").distinct(), F.col("pos")
+    cells = sizes.select(*own, F.explode("mf_at").alias("pos")).select(*own, (F.col("tr") * tile + F.floor(pos / side) - halo).cast("int").alias("row"), (F.col("tc") * tile + pos % side - halo).cast("int").alias("col"))
+    hit = classed.join(cells.join(there.hint("merge"), ["row", "col"], "left_semi").select(*own).distinct().hint("merge"), own, "left_semi")
+    off = once.join(hit.select(key).hint("merge"), key, "left_anti").select(key, F.lit(None).cast(tiles.schema["raster_id"].dataType).alias("raster_id"), F.lit(None).cast("double").alias("mean"))
+    return means.unionByName(off).unionByName(averaged(again))

@@ -218,3 +218,53 @@ def test_sampling_from_tiles(spark, tmp_path, stored):
             if v is not None and (c + 0.5 - x) ** 2 + (-(r + 0.5) - y) ** 2 <= 4:
                 near.setdefault((i, k), []).append(v)
     assert means.keys() == near.keys() and all(abs(means[k] - sum(v) / len(v)) < 1e-12 for k, v in near.items()) and near
+
+
+def test_sampling_in_groups(spark, monkeypatch):
+    """Points in classes, groups of tiles and of cells, keys of several rows, null keys and points off all rasters."""
+    monkeypatch.setattr(raster, "HELD", 4)
+    monkeypatch.setattr(raster, "PASSED", 32)
+    monkeypatch.setattr(raster, "BLOCK", 8)
+    cells = {(k, r, c): (None if (k + r) % 7 == 0 else float(k * 100 + r * 10 + c)) for k in range(30) for r in range(-2, 4) for c in range(62, 67) if (k + r * c) % 5}
+    pixels = spark.createDataFrame([(*at, v) for at, v in cells.items()], "raster_id int, row int, col int, v double")
+    points = [(k, 61.3 + (k % 4) * 1.2, 2.2 - (k % 3) * 1.1) for k in range(200)] + [(5, 64.5, -1.5), (5, 64.5, -1.5), (None, 64.5, -1.5), (1000, 500.0, 500.0), (1001, 70.0, 0.0)]
+    df = spark.createDataFrame(points, "point_id int, x double, y double")
+    near = {}
+    for i, x, y in points:
+        for (k, r, c), v in cells.items():
+            if i is not None and (c + 0.5 - x) ** 2 + (-(r + 0.5) - y) ** 2 <= 2.25:
+                near.setdefault(i, {}).setdefault(k, []).append(v)
+    want = []
+    for i, _, _ in points:
+        for k, found in near.get(i, {None: [None]}).items():
+            known = [v for v in found if v is not None]
+            want.append((str(i), str(k), None if not known else round(sum(known) / len(known), 9)))
+    means = zones.sample_points_buffer(df, pixels, "v", 1.5, 0.0, 0.0, 1.0, -1.0)
+    got = [(str(r.point_id), str(r.raster_id), None if r["mean"] is None else round(r["mean"], 9)) for r in means.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 3000
+
+
+def shuffled(spark, frame):
+    """(rows, bytes) that a run of ``frame`` writes to its shuffles."""
+    sc = spark.sparkContext
+    known = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    before = {known().apply(k).stageId() for k in range(known().size())}
+    frame.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    after = [s for s in (known().apply(k) for k in range(known().size())) if s.stageId() not in before]
+    return sum(s.shuffleWriteRecords() for s in after), sum(s.shuffleWriteBytes() for s in after)
+
+
+def test_sampling_shuffles_no_product(spark):
+    """Of 3,000 points and 200 rasters neither the 600,000 rows nor a copy of the points for each task are shuffled."""
+    pixels = spark.range(1800).select((F.col("id") / 9).cast("int").alias("raster_id"), (F.col("id") / 3 % 3).cast("int").alias("row"), (F.col("id") % 3).cast("int").alias("col"), F.rand(1).alias("v"))
+    points = spark.range(3000).select(F.col("id").alias("point_id"), (F.rand(2) * 3).alias("x"), (F.rand(3) * -3).alias("y"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert shuffled(spark, zones.sample_points_buffer(points, pixels, "v", 1.5, 0.0, 0.0, 1.0, -1.0))[0] < 200_000
+        assert shuffled(spark, zones.sample_points(points, pixels, "v", "s.tif", 0.0, 0.0, 1.0, -1.0))[1] < 1_500_000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motionfield.functions import displacement as D
 from motionfield.functions import naming
 from motionfield.operators import catalog, raster, zones
+from motionfield.plans import flows
 from motionfield.sources import layers
 
 
@@ -268,3 +269,17 @@ def test_sampling_shuffles_no_product(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_banks_are_not_broadcast(spark):
+    """Tables with a row for each file or pixel, however small they are when compressed."""
+    headers = spark.createDataFrame([("/b/aerial/img-20010704-1.tif", 0.0, 4.0, 1.0, -1.0, 1, 4, 4)], "filepath string, x0 double, y0 double, px double, py double, bands int, n_rows int, n_cols int")
+    xml = headers.select("filepath", F.lit("").alias("xml"))
+    zone = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 0.0), (1, 4.0, 0.0, 4.0, 4.0), (1, 4.0, 4.0, 0.0, 0.0)], "zone_id int, x1 double, y1 double, x2 double, y2 double")
+    features = catalog.bank_features(headers.select("filepath"), headers, xml)
+    pixels = headers.select("filepath", F.lit(1).alias("row"), F.lit(2).alias("col"), F.lit(3.0).alias("value"))
+    scenes = spark.createDataFrame([(1, "2001-07-04", "aerial", ["/b/aerial/img-20010704-1.tif"], "/t/1.tif")], "zone_id int, acq_date string, sensor string, files array<string>, th_path string")
+    cut = flows.cut_scenes(scenes, pixels, headers, zones.zones_from_edges(zone), 1.0)
+    joins = [line for df in (features, cut) for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "filepath" in line]
+    assert len(joins) == 4 and not [line for line in joins if "Broadcast" in line]
+    assert features.count() == 1 and [tuple(r) for r in cut.collect()] == [("/t/1.tif", 1, 2, 3.0)]

@@ -111,3 +111,38 @@ def test_prefilter(spark):
     by_tile = {(r.row, r.col): r.cc for r in matching.corr_eval_tiles(df, disp, 5, 3, 10, prefilter=1.0).collect()}
     assert by_join.keys() == by_tile.keys() and sum(v is not None for v in by_join.values()) > 100
     assert all((by_join[k] is None) == (by_tile[k] is None) and (by_join[k] is None or abs(by_join[k] - by_tile[k]) < 1e-6) for k in by_join)
+
+
+@pytest.mark.parametrize("h, w", [(8, 40), (40, 8), (7, 7), (9, 5)])
+def test_images_smaller_than_the_search(spark, h, w):
+    """The last raster of a table may have fewer rows or columns than the search reaches."""
+    image = np.random.default_rng(h + w).random((h + 1, w + 1))
+    cells = [(r, c, float(image[r, c]), float(image[r + 1, c])) for r in range(h) for c in range(w)]
+    rows = spark.createDataFrame([(p, *c) for p in (1, 2) for c in cells], "pair_id int, row int, col int, left double, right double")
+    got = {(r.row, r.col): (r.dx, r.dy, r.good) for r in matching.match_blocks(rows.filter("pair_id = 2"), kernel=7, search=10).collect()}
+    left, right = np.array([c[2] for c in cells]).reshape(h, w), np.array([c[3] for c in cells]).reshape(h, w)
+
+    def best(a, b):
+        """Plain search: the best offset of each full window, by score, length, dy and dx."""
+        out = {}
+        for r in range(3, h - 3):
+            for c in range(3, w - 3):
+                found = []
+                for y in range(-10, 11):
+                    for x in range(-10, 11):
+                        if 3 <= r + y < h - 3 and 3 <= c + x < w - 3:
+                            s = np.corrcoef(a[r - 3 : r + 4, c - 3 : c + 4].ravel(), b[r + y - 3 : r + y + 4, c + x - 3 : c + x + 4].ravel())[0, 1]
+                            found.append((-round(s, 7), y * y + x * x, y, x))
+                out[r, c] = min(found)[2:]
+        return out
+
+    there, back = best(left, right), best(right, left)
+    want = {}
+    for r in range(h):
+        for c in range(w):
+            y, x = there.get((r, c), (None, None))
+            ok = y is not None and abs(y + back[r + y, c + x][0]) <= 10 and abs(x + back[r + y, c + x][1]) <= 10
+            want[r, c] = (float(x), float(y), 1) if ok else (None, None, 0)
+    assert got == want and len(got) == h * w
+    disp = matching.match_blocks(rows, kernel=7, search=10)
+    assert matching.corr_eval_tiles(rows, disp, 7, 10).filter("cc is not null").count() == 2 * sum(g for _, _, g in want.values())

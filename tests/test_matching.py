@@ -146,3 +146,19 @@ def test_images_smaller_than_the_search(spark, h, w):
     assert got == want and len(got) == h * w
     disp = matching.match_blocks(rows, kernel=7, search=10)
     assert matching.corr_eval_tiles(rows, disp, 7, 10).filter("cc is not null").count() == 2 * sum(g for _, _, g in want.values())
+
+
+@pytest.mark.parametrize("name", ["d2_process_pairs"])
+def test_flow_of_a_last_raster_of_eight_rows(spark, tmp_path, name):
+    import duckdb
+
+    from motionfield.registry import QUERIES, SQL
+
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.01/events.parquet' WHERE event_id < 2 * 1024 + 256) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)), duck.sql(SQL[name])
+    columns = sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    assert sorted(tuple(map(text, r)) for r in got.select(*columns).collect()) == sorted(tuple(text(r[k]) for k in at) for r in want.fetchall())

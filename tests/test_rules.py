@@ -283,3 +283,22 @@ def test_banks_are_not_broadcast(spark):
     joins = [line for df in (features, cut) for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "filepath" in line]
     assert len(joins) == 4 and not [line for line in joins if "Broadcast" in line]
     assert features.count() == 1 and [tuple(r) for r in cut.collect()] == [("/t/1.tif", 1, 2, 3.0)]
+
+
+def test_slicing_shuffles_no_product(spark):
+    """Of 60 lines of 41 samples and 40 rasters of a zone the 98,400 rows are not shuffled; samples off a raster are null rows."""
+    from motionfield.operators import profiles
+
+    pixels = spark.range(40 * 64).select((F.col("id") / 64).cast("int").alias("raster_id"), (F.col("id") / 8 % 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), F.col("id").cast("double").alias("dx"), F.lit(0.0).alias("dy"))
+    pairs = spark.range(41).select(F.col("id").cast("int").alias("raster_id"), F.lit(2000).alias("left_year"), F.lit(2001).alias("right_year"), F.lit("z").alias("zone"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    lines = spark.range(60).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("sp_id"), F.lit("z").alias("zone"), F.array(point(F.lit(-20.5), -(F.col("id") % 8) - 0.5), point(F.lit(19.5), -(F.col("id") % 8) - 0.5)).alias("line"))
+    got = profiles.slice_lines(lines, "sp_id", pixels, pairs, ("x",), 0.0, 0.0, 1.0, -1.0)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert shuffled(spark, got)[0] < 5_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    want = {(f"L{i}", k, pos): (float(k * 64 + (i % 8) * 8 + pos - 21) if k < 40 and 21 <= pos < 29 else None) for i in range(60) for k in range(41) for pos in range(41)}
+    assert {(r.sp_id, r.raster_id, r.pos): r.x for r in got.collect()} == want and got.count() == len(want)

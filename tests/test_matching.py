@@ -148,7 +148,7 @@ def test_images_smaller_than_the_search(spark, h, w):
     assert matching.corr_eval_tiles(rows, disp, 7, 10).filter("cc is not null").count() == 2 * sum(g for _, _, g in want.values())
 
 
-@pytest.mark.parametrize("name", ["d2_process_pairs"])
+@pytest.mark.parametrize("name", ["d2_process_pairs", "d2_log"])
 def test_flow_of_a_last_raster_of_eight_rows(spark, tmp_path, name):
     import duckdb
 
